@@ -174,22 +174,14 @@ def time_windowed(
     keys = list(order.keys)
     numbered = number_rows(df, order).withColumn("_cell", F.expr(f"(_rn - 1) div {size}")).drop("_rn")
     spans = numbered.groupBy(*keys, "_cell").agg(F.min(order.ts).alias("_from"), F.max(order.ts).alias("_to"))
-    later = (
-        Window.partitionBy(*keys).orderBy("_from").rangeBetween(0, Window.unboundedFollowing)
-    )
-    reach = (
-        spans.select(*keys, F.struct(F.col("_from").alias("at"), F.col("_cell").alias("cell")).alias("_s"), "_cell")
-        .withColumnRenamed("_cell", "_next")
-    )
-    # (cell, later cell) pairs that overlap after widening by before_ns: neighbours only,
-    # joined on the coarse clock bucket so no cell is paired with all others.
+    # Later cells start no earlier than this cell ends, so only starts in
+    # [_to, _to + before_ns] matter: an equi-join on two clock buckets finds them.
     width = max(before_ns, 1)
-    buckets = F.explode(F.sequence(F.expr(f"_from div {width}"), F.expr(f"(_to + {before_ns}) div {width}")))
+    buckets = F.explode(F.sequence(F.expr(f"_to div {width}"), F.expr(f"(_to + {before_ns}) div {width}")))
     left = spans.withColumn("_b", buckets)
     right = spans.select(*keys, F.col("_cell").alias("_next"), F.col("_from").alias("_start")).withColumn(
         "_b", F.expr(f"_start div {width}")
     )
-    del later, reach
     pairs = (
         left.join(right, [*keys, "_b"])
         .filter((F.col("_next") > F.col("_cell")) & (F.col("_start") <= F.col("_to") + before_ns))

@@ -1 +1,9 @@
+"""Queries over the supplied tables, one module per operator family."""
 
+import importlib
+import pkgutil
+
+
+def load_all() -> None:
+    for module in pkgutil.iter_modules(__path__):
+        importlib.import_module(f"{__name__}.{module.name}")
