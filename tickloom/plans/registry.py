@@ -48,7 +48,7 @@ def _shaped_sql(q: Query) -> str:
         r = f"round(CAST({c} AS DOUBLE), {q.digits})"
         return f"CASE WHEN {r} = 0 THEN 0.0::DOUBLE ELSE {r} END AS {c}"
 
-    cols = ", ".join([*q.exact, *[rounded(c) for c in q.floats]])
+    cols = ", ".join([*[f'"{c}"' for c in q.exact], *[rounded(c) for c in q.floats]])
     return f"SELECT {cols} FROM (\n{q.sql.strip()}\n) AS answer"
 
 
