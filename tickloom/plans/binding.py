@@ -7,7 +7,7 @@ mapping is stated once as a Spark projection and once as SQL.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tickloom.order import EventOrder
@@ -19,8 +19,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def mbo(spark: SparkSession, sf_dir: str) -> DataFrame:
+def mbo(spark: SparkSession, sf_dir: str, where: Column | None = None) -> DataFrame:
+    """The event table; ``where`` on stored columns reaches the Parquet scan."""
     e = table(spark, sf_dir, "events")
+    if where is not None:
+        e = e.filter(where)
     k = F.get_json_object("props", "$.k").cast("int")
     ts = F.col("ts").cast("timestamp")
     ns = F.unix_micros(ts) * 1000

@@ -52,3 +52,10 @@ def pin(df: DataFrame) -> DataFrame:
     layout (such as a partition id) are computed once and survive lost executors."""
     checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A new folder name next to the checkpoints, visible to every executor."""
+    import uuid
+
+    return f"{checkpoint_dir(spark).rstrip('/')}/tickloom-{name}-{uuid.uuid4().hex}"
