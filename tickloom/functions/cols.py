@@ -28,7 +28,8 @@ def flag(cond: Column) -> Column:
 
 
 def clip(c: Column, lo: float, hi: float) -> Column:
-    return F.least(F.greatest(c, F.lit(float(lo))), F.lit(float(hi)))
+    """c held inside [lo, hi]; NULL stays NULL (greatest/least alone would skip it)."""
+    return F.when(c.isNotNull(), F.least(F.greatest(c, F.lit(float(lo))), F.lit(float(hi))))
 
 
 def full(value: Column, w: WindowSpec, n: int, on: Column | None = None) -> Column:

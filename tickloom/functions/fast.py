@@ -7,23 +7,33 @@ suffixes. Quantiles and ranks of wide frames run in Arrow batches per group.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tickloom.functions.cols import roll
 from tickloom.order import EventOrder, Frames, windowed
 
+NATIVE_ROWS = 60
+
 
 def rolling(df: DataFrame, f: Frames, specs: dict[str, tuple[str, int, str]], strict: bool = False) -> DataFrame:
     """Add ``{out: (column, n, how)}``; how: sum, mean, count, std, std_pop.
 
     Values are shifted by the key's first value before squaring, and a frame without
     any change of value has deviation exactly 0. ``strict`` gives NULL until n
-    non-null values are in the frame.
+    non-null values are in the frame. Frames up to NATIVE_ROWS use Spark's own.
     """
+    narrow = {k: v for k, v in specs.items() if v[1] <= NATIVE_ROWS}
+    if narrow:
+        df = df.withColumns({k: roll(c, f, n, how, strict) for k, (c, n, how) in narrow.items()})
+        specs = {k: v for k, v in specs.items() if k not in narrow}
+        if not specs:
+            return df
     inputs = list(dict.fromkeys(c for c, _, _ in specs.values()))
     spread = {c for c, _, how in specs.values() if how.startswith("std")}
     w, past = f.ordered(), f.past()
@@ -68,6 +78,40 @@ def rolling(df: DataFrame, f: Frames, specs: dict[str, tuple[str, int, str]], st
     return out.drop(*[f"{p}{i}" for i in range(len(inputs)) for p in ("_o", "_v", "_c", "_s", "_n", "_q", "_k")])
 
 
+def correlation(
+    df: DataFrame, f: Frames, out: str, x: Column, y: Column, n: int, exclusive: bool = False
+) -> DataFrame:
+    """Rolling Pearson correlation of the rows where both are known, from running sums.
+
+    ``exclusive`` covers the n rows before the current one. NULL when either is flat.
+    """
+    w, past = f.ordered(), f.past()
+    both = x.isNotNull() & y.isNotNull()
+    d = df.withColumns({"_x": F.when(both, x.cast("double")), "_y": F.when(both, y.cast("double"))})
+    d = d.withColumns(
+        {"_x": F.col("_x") - F.first("_x", True).over(past), "_y": F.col("_y") - F.first("_y", True).over(past)}
+    )
+    terms = {
+        "n": F.col("_x").isNotNull().cast("long"), "x": F.col("_x"), "y": F.col("_y"),
+        "xx": F.col("_x") * F.col("_x"), "yy": F.col("_y") * F.col("_y"), "xy": F.col("_x") * F.col("_y"),
+    }
+    d = d.withColumns({f"_s_{k}": F.sum(F.coalesce(t, F.lit(0))).over(past) for k, t in terms.items()})
+    at = 1 if exclusive else 0
+
+    def frame(k: str) -> Column:
+        end = F.lag(f"_s_{k}", at).over(w) if at else F.col(f"_s_{k}")
+        return F.coalesce(end, F.lit(0)) - F.coalesce(F.lag(f"_s_{k}", n + at).over(w), F.lit(0))
+
+    d = d.withColumns({f"_d_{k}": frame(k) for k in terms})
+    c = {k: F.col(f"_d_{k}") for k in terms}
+    cov = c["xy"] * c["n"] - c["x"] * c["y"]
+    vx, vy = c["xx"] * c["n"] - c["x"] * c["x"], c["yy"] * c["n"] - c["y"] * c["y"]
+    # running sums leave rounding noise where the frame is flat
+    solid = (vx > 1e-9 * (c["xx"] * c["n"] + 1e-30)) & (vy > 1e-9 * (c["yy"] * c["n"] + 1e-30))
+    d = d.withColumn(out, F.when((c["n"] > 1) & solid, cov / F.sqrt(vx * vy)))
+    return d.drop("_x", "_y", *[f"{p}{k}" for p in ("_s_", "_d_") for k in terms])
+
+
 def extremes(df: DataFrame, f: Frames, specs: dict[str, tuple[str, int, str]]) -> DataFrame:
     """Rolling min / max over n rows from block prefixes and suffixes (short frames at
     the start of a key use what is there)."""
@@ -84,21 +128,63 @@ def extremes(df: DataFrame, f: Frames, specs: dict[str, tuple[str, int, str]]) -
     return out.drop("_p")
 
 
+def _spans(pdf: pd.DataFrame, keys: list[str]) -> np.ndarray:
+    """Start offsets of the runs of equal keys in a sorted frame."""
+    change = np.zeros(len(pdf), dtype=bool)
+    change[0] = True
+    for k in keys:
+        v = pdf[k].to_numpy()
+        change[1:] |= v[1:] != v[:-1]
+    return np.flatnonzero(change)
+
+
 def per_group(
     df: DataFrame,
     f: Frames,
     outputs: dict[str, str],
-    fn: Callable[[pd.DataFrame], dict[str, pd.Series]],
+    fn: Callable[[dict[str, np.ndarray]], dict[str, np.ndarray]],
+    inputs: list[str],
 ) -> DataFrame:
-    """Add columns computed by pandas over one sorted group (a key, or a cell of it)."""
-    fields = [*df.schema.fields, *[T.StructField(n, T._parse_datatype_string(t)) for n, t in outputs.items()]]
-    order = list(f.order)
+    """Add columns computed by numpy over one sorted group (a key, or a cell of it).
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(order, kind="stable").reset_index(drop=True)
-        return pdf.assign(**fn(pdf))
-
-    return df.groupBy(*f.keys).applyInPandas(run, T.StructType(fields))
+    A row number over the window first puts every key into one sorted partition (no
+    shuffle if it is there already); Arrow batches are then cut at the key changes, so
+    many small groups cost no per-group transfer.
+    """
+    placed = df.withColumn("_place", F.row_number().over(f.ordered()))
+    fields = [*placed.schema.fields, *[T.StructField(n, T._parse_datatype_string(t)) for n, t in outputs.items()]]
+    keys = list(f.keys)
+
+    def solve(pdf: pd.DataFrame) -> pd.DataFrame:
+        starts = _spans(pdf, keys)
+        ends = [*starts[1:], len(pdf)]
+        arrays = {c: pdf[c].to_numpy() for c in inputs}
+        parts = [fn({c: a[i:j] for c, a in arrays.items()}) for i, j in zip(starts, ends)]
+        return pdf.assign(**{n: np.concatenate([p[n] for p in parts]) for n in outputs})
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: list[pd.DataFrame] = []
+        for pdf in batches:
+            if pdf.empty:
+                continue
+            first, last = pdf[keys].iloc[0], pdf[keys].iloc[-1]
+            same = not held or bool((held[0][keys].iloc[0] == first).all())
+            if same and bool((first == last).all()):
+                held.append(pdf)
+                continue
+            whole = pd.concat([*held, pdf], ignore_index=True)
+            cut = int(_spans(whole, keys)[-1])
+            yield solve(whole.iloc[:cut])
+            held = [whole.iloc[cut:].reset_index(drop=True)]
+        if held:
+            yield solve(pd.concat(held, ignore_index=True))
+
+    return placed.mapInPandas(run, T.StructType(fields)).drop("_place")
+
+
+def rolling_quantile(values: np.ndarray, n: int, q: float, strict: bool = True) -> np.ndarray:
+    """Linear-interpolation quantile of the last n values."""
+    return pd.Series(values.astype("float64")).rolling(n, min_periods=n if strict else 1).quantile(q).to_numpy()
 
 
 def wide_quantiles(
@@ -106,11 +192,9 @@ def wide_quantiles(
 ) -> DataFrame:
     """Rolling quantiles ``{out: (column, n, q)}`` with linear interpolation."""
 
-    def fn(pdf: pd.DataFrame) -> dict[str, pd.Series]:
-        return {
-            name: pdf[c].astype("float64").rolling(n, min_periods=n if strict else 1).quantile(q)
-            for name, (c, n, q) in specs.items()
-        }
+    def fn(g: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
+        return {name: rolling_quantile(g[c], n, q, strict) for name, (c, n, q) in specs.items()}
 
     reach = max(n for _, n, _ in specs.values())
-    return windowed(df, order, lambda d, f: per_group(d, f, {n: "double" for n in specs}, fn), before=reach)
+    inputs = sorted({c for c, _, _ in specs.values()})
+    return windowed(df, order, lambda d, f: per_group(d, f, {n: "double" for n in specs}, fn, inputs), before=reach)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tickloom.functions.cols import pct_change
+from tickloom.functions.cols import clip, pct_change
 from tickloom.operators.quantiles import exact_quantiles
 from tickloom.order import EventOrder, Frames, windowed
 
@@ -30,8 +30,8 @@ def order_blocks(df: DataFrame, by: list[str]) -> DataFrame:
         F.max_by("volume", F.when(below, F.col("price"))).alias("_sv"),
         F.min_by("volume", F.when(above, F.col("price"))).alias("_rv"),
     )
-    sc = F.coalesce(F.least(F.col("_sv") / F.col("_peak"), F.lit(1.0)), F.lit(0.0))
-    rc = F.coalesce(F.least(F.col("_rv") / F.col("_peak"), F.lit(1.0)), F.lit(0.0))
+    sc = F.coalesce(clip(F.col("_sv") / F.col("_peak"), 0, 1), F.lit(0.0))
+    rc = F.coalesce(clip(F.col("_rv") / F.col("_peak"), 0, 1), F.lit(0.0))
     return out.withColumns(
         {"support_confidence": sc, "resistance_confidence": rc, "order_block_confidence": F.greatest(sc, rc)}
     ).drop("_peak", "_sv", "_rv")

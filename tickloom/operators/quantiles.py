@@ -49,15 +49,22 @@ def exact_quantiles(df: DataFrame, value: str, qs: dict[str, float], by: list[st
     return out.select(*by, *cols)
 
 
-def quantile_bins(df: DataFrame, value: str, out: str, n: int, by: list[str] | None = None) -> DataFrame:
-    """0-based quantile bin of each row (right-closed, duplicate edges dropped)."""
+def quantile_bins(
+    df: DataFrame, value: str, out: str, n: int, by: list[str] | None = None, fit: str | None = None
+) -> DataFrame:
+    """0-based quantile bin of each row (right-closed, duplicate edges dropped).
+
+    Edges come from ``fit`` when given, so they can be learnt on past rows only;
+    values outside the learnt range fall into the outer bins.
+    """
     by = list(by or [])
     names = {f"_e{i}": i / n for i in range(n + 1)}
-    edges = exact_quantiles(df, value, names, by)
+    edges = exact_quantiles(df, fit or value, names, by)
     edges = edges.select(*by, F.array_distinct(F.array(*names)).alias("_edges"))
     joined = df.join(edges, by, "left") if by else df.crossJoin(F.broadcast(edges))
     below = F.size(F.filter("_edges", lambda e: e < F.col(value)))
-    return joined.withColumn(out, F.when(F.col(value).isNotNull(), F.greatest(below - 1, F.lit(0)))).drop("_edges")
+    inside = F.least(F.greatest(below - 1, F.lit(0)), F.size("_edges") - 2)
+    return joined.withColumn(out, F.when(F.col(value).isNotNull(), inside)).drop("_edges")
 
 
 def equal_width_bins(df: DataFrame, value: str, out: str, n: int, by: list[str] | None = None) -> DataFrame:

@@ -215,8 +215,8 @@ LEVELS = """lv AS (SELECT instrument, trade_date, price, sum(size) AS volume FRO
     now AS (SELECT instrument, trade_date, arg_max(price, (ts_event, sequence)) AS last_price FROM mbo GROUP BY ALL),
     ob AS (SELECT n.instrument, n.trade_date, last_price, max(price) FILTER (price < last_price) AS support_level,
         min(price) FILTER (price > last_price) AS resistance_level,
-        coalesce(least(arg_max(volume, price) FILTER (price < last_price) / max(volume), 1), 0) AS support_confidence,
-        coalesce(least(arg_min(volume, price) FILTER (price > last_price) / max(volume), 1), 0) AS resistance_confidence
+        coalesce(arg_max(volume, price) FILTER (price < last_price) / max(volume), 0) AS support_confidence,
+        coalesce(arg_min(volume, price) FILTER (price > last_price) / max(volume), 0) AS resistance_confidence
       FROM now n LEFT JOIN top USING (instrument, trade_date) GROUP BY ALL)"""
 ICEBERG = """mv AS (SELECT *, abs((price - lag(price) OVER w) / lag(price) OVER w) AS move FROM mbo
       WINDOW w AS (PARTITION BY instrument, trade_date ORDER BY ts_event, sequence)),
