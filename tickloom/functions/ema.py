@@ -31,11 +31,12 @@ def span_alpha(span: float) -> float:
     return 2.0 / (span + 1.0)
 
 
-def ema(df: DataFrame, f: Frames, specs: dict[str, tuple[Column | str, float, bool]]) -> DataFrame:
+def ema(df: DataFrame, f: Frames, specs: dict[str, tuple[Column | str, float, bool | None]]) -> DataFrame:
     """Add averages ``{out: (column, alpha, adjust)}``.
 
     adjust=True divides by the sum of the weights seen so far; adjust=False is the
-    recursion seeded by the first value. Inputs must not be null.
+    recursion seeded by the first value; adjust=None is the recursion started at 0.
+    Inputs must not be null.
     """
     rn = F.row_number().over(f.ordered())
     out = df.withColumn("_k", (rn - 1).cast("long"))
@@ -44,7 +45,7 @@ def ema(df: DataFrame, f: Frames, specs: dict[str, tuple[Column | str, float, bo
         size = block_rows(alpha)
         decay = math.log1p(-alpha)
         pos = F.col("_k") % size
-        seed = F.lit(1.0) if adjust else F.when(F.col("_k") == 0, F.lit(1.0 / alpha)).otherwise(1.0)
+        seed = F.lit(1.0) if adjust is not False else F.when(F.col("_k") == 0, F.lit(1.0 / alpha)).otherwise(1.0)
         out = out.withColumns({"_blk": F.expr(f"_k div {size}"), "_pos": pos})
         out = out.withColumn("_w", x * seed * F.exp(-F.col("_pos") * F.lit(decay)))
         inside = Window.partitionBy(*f.keys, "_blk").orderBy(*f.order).rowsBetween(Window.unboundedPreceding, 0)
