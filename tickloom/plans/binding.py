@@ -22,8 +22,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def mbo(spark: SparkSession, sf_dir: str, where: Column | None = None) -> DataFrame:
     """The event table; ``where`` on stored columns reaches the Parquet scan."""
     e = table(spark, sf_dir, "events")
-    if where is not None:
-        e = e.filter(where)
+    return mbo_of(e if where is None else e.filter(where))
+
+
+def mbo_of(e: DataFrame) -> DataFrame:
+    """The projection itself, for batch and streaming event tables alike."""
     k = F.get_json_object("props", "$.k").cast("int")
     ts = F.col("ts").cast("timestamp")
     ns = F.unix_micros(ts) * 1000

@@ -490,7 +490,7 @@ def flow_autocorrelation(spark, sf):
 def multi_scale_ofi(spark, sf):
     m = mbo(spark, sf).withColumn("x", bars.signed_size() / 7)
     d = det.multi_scale_ofi(m, mbo_order(m), "x")
-    return d.withColumn("mean_change", F.get("microstructure_indicators", F.lit(0)))
+    return d.withColumn("mean_change", F.get("microstructure_indicators", F.lit(0)) / 3)
 
 
 # ---------------------------------------------------------------- documented features
