@@ -11,6 +11,7 @@ from tickloom.functions.cols import clip, flag
 from tickloom.functions.fast import correlation, per_group, rolling, rolling_quantile
 from tickloom.operators.normalise import scored
 from tickloom.order import EventOrder, Frames, windowed
+from tickloom.session import pin
 
 WINDOW = 1000
 
@@ -214,8 +215,12 @@ FLOW_COLUMNS = [
 
 
 def classify(df: DataFrame) -> DataFrame:
-    """Toxicity score over the table's own ranges (looks ahead), class and confidence."""
-    d = scored(df, TOXICITY_WEIGHTS, "flow_toxicity_score")
+    """Toxicity score over the table's own ranges (looks ahead), class and confidence.
+
+    The ranges need a pass of their own over the features, so these are pinned first
+    rather than computed twice.
+    """
+    d = scored(pin(df), TOXICITY_WEIGHTS, "flow_toxicity_score")
     score = F.col("flow_toxicity_score")
     row = F.array(*[F.coalesce(F.col(c).cast("double"), F.lit(0.5)) for c in FLOW_COLUMNS])
     k = len(FLOW_COLUMNS)

@@ -50,7 +50,7 @@ def trailing(
     """
     order = order.measured(df)
     if method == "auto":
-        density = frame_rows(df, order)
+        density = order.density if order.density is not None else frame_rows(df, order)
         sparse = {h: ns for h, ns in horizons.items() if density * ns <= FRAME_ROWS}
     else:
         sparse = dict(horizons) if method == "frame" else {}

@@ -33,7 +33,8 @@ class EventOrder:
     """Which rows belong together (keys) and in what order they are replayed.
 
     ``order`` must be unique within a key; ``ts`` is the nanosecond clock used by
-    time frames. ``hot`` is the measured decision: True uses cells.
+    time frames. ``hot`` is the measured decision: True uses cells. ``density`` is the
+    measured number of rows per clock unit of the densest key.
     """
 
     keys: tuple[str, ...] = ("instrument",)
@@ -41,14 +42,20 @@ class EventOrder:
     ts: str = "ts_event"
     hot: bool | None = None
     cell_rows: int | None = None
+    density: float | None = None
 
     def measured(self, df: DataFrame) -> "EventOrder":
         """Decide plain or cells from the largest key of ``df`` (one pruned count)."""
         if self.hot is not None:
             return self
         limit = int(df.sparkSession.conf.get(HOT_ROWS_CONF, str(DEFAULT_HOT_ROWS)))
-        peak = df.groupBy(*self.keys).count().agg(F.max("count").alias("peak")).first()["peak"] or 0
-        return replace(self, hot=peak > limit)
+        span = F.greatest(F.max(self.ts) - F.min(self.ts), F.lit(1))
+        numeric = dict(df.dtypes)[self.ts] in ("bigint", "int", "double")
+        per_key = df.groupBy(*self.keys).agg(
+            F.count(F.lit(1)).alias("n"), (F.count(F.lit(1)) / span if numeric else F.lit(None).cast("double")).alias("d")
+        )
+        top = per_key.agg(F.max("n").alias("n"), F.max("d").alias("d")).first()
+        return replace(self, hot=(top["n"] or 0) > limit, density=top["d"])
 
     def by(self, *keys: str) -> "EventOrder":
         """The same order within finer or other keys; measured anew when it was not cold.
@@ -56,7 +63,8 @@ class EventOrder:
         Adding keys to a cold order can only shrink groups, so the decision is kept.
         """
         finer = set(self.keys) <= set(keys)
-        return replace(self, keys=tuple(keys), hot=False if (finer and self.hot is False) else None)
+        hot = False if (finer and self.hot is False) else None
+        return replace(self, keys=tuple(keys), hot=hot, density=self.density if finer else None)
 
     def frames(self, *extra: str) -> "Frames":
         return Frames((*self.keys, *extra), self.order, self.ts)

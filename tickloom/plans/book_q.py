@@ -484,7 +484,7 @@ def flow_autocorrelation(spark, sf):
     f"""WITH {MBO_SQL}, s AS (SELECT *, CASE side WHEN 'B' THEN size / 7 WHEN 'A' THEN -size / 7 ELSE 0 END AS x, row_number() OVER ({W}) AS n, price - lag(price) OVER ({W}) AS chg FROM mbo),
     e AS (SELECT m.instrument, m.sequence, sum(p.x * 0.1 * pow(0.9, m.n - p.n)) AS f, sum(p.x * 0.01 * pow(0.99, m.n - p.n)) AS md, sum(p.x * 0.001 * pow(0.999, m.n - p.n)) AS sl FROM s m JOIN s p ON m.instrument = p.instrument AND p.n <= m.n GROUP BY 1, 2)
     SELECT s.instrument, s.sequence, f AS ofi_fast, md AS ofi_medium, sl AS ofi_slow, CASE WHEN n > 2 THEN stddev_pop(chg) OVER {rows(1000, W.replace('instrument', 's.instrument').replace('sequence', 's.sequence'))} ELSE 0 END AS volatility_estimate,
-      coalesce(avg(chg) OVER {rows(1000, W.replace('instrument', 's.instrument').replace('sequence', 's.sequence'))}, 0) AS mean_change FROM s JOIN e ON s.instrument = e.instrument AND s.sequence = e.sequence""",
+      coalesce(avg(chg) OVER {rows(1000, W.replace('instrument', 's.instrument').replace('sequence', 's.sequence'))}, 0) / 3 AS mean_change FROM s JOIN e ON s.instrument = e.instrument AND s.sequence = e.sequence""",
     digits=8,
 )
 def multi_scale_ofi(spark, sf):
