@@ -22,7 +22,8 @@ NATIVE_ROWS = 60
 
 
 def rolling(df: DataFrame, f: Frames, specs: dict[str, tuple[str, int, str]], strict: bool = False) -> DataFrame:
-    """Add ``{out: (column, n, how)}``; how: sum, mean, count, std, std_pop.
+    """Add ``{out: (column, n, how)}``; how: sum, mean, count, std, std_pop, skew, kurt
+    (population skewness and excess kurtosis, 0 for a flat frame).
 
     Values are shifted by the key's first value before squaring, and a frame without
     any change of value has deviation exactly 0. ``strict`` gives NULL until n
@@ -35,7 +36,8 @@ def rolling(df: DataFrame, f: Frames, specs: dict[str, tuple[str, int, str]], st
         if not specs:
             return df
     inputs = list(dict.fromkeys(c for c, _, _ in specs.values()))
-    spread = {c for c, _, how in specs.values() if how.startswith("std")}
+    spread = {c for c, _, how in specs.values() if how not in ("sum", "mean", "count")}
+    shape = {c for c, _, how in specs.values() if how in ("skew", "kurt")}
     w, past = f.ordered(), f.past()
     base, sums = {}, {}
     for i, c in enumerate(inputs):
@@ -54,6 +56,9 @@ def rolling(df: DataFrame, f: Frames, specs: dict[str, tuple[str, int, str]], st
         if c in spread:
             sums[f"_q{i}"] = F.sum(d * d).over(past)
             sums[f"_k{i}"] = F.sum(f"_c{i}").over(past)
+        if c in shape:
+            sums[f"_3{i}"] = F.sum(d * d * d).over(past)
+            sums[f"_4{i}"] = F.sum(d * d * d * d).over(past)
     out = out.withColumns(sums)
     results = {}
     for name, (c, n, how) in specs.items():
@@ -67,6 +72,17 @@ def rolling(df: DataFrame, f: Frames, specs: dict[str, tuple[str, int, str]], st
             value = F.when(k > 0, s + k * o)
         elif how == "mean":
             value = mean_d + o
+        elif how in ("skew", "kurt"):
+            first_k = F.coalesce(F.lag(f"_k{i}", n - 1).over(w), F.lit(0))
+            m1, m2, m3 = mean_d, diff("_q") / k, diff("_3") / k
+            var = m2 - m1 * m1
+            if how == "skew":
+                raw = (m3 - 3 * m1 * m2 + 2 * m1 * m1 * m1) / F.pow(var, F.lit(1.5))
+            else:
+                m4 = diff("_4") / k
+                raw = (m4 - 4 * m1 * m3 + 6 * m1 * m1 * m2 - 3 * m1 * m1 * m1 * m1) / (var * var) - 3
+            flat = (F.col(f"_k{i}") - first_k == 0) | (var * k / (k - 1) <= 1e-10)
+            value = F.when(k > 1, F.when(flat, F.lit(0.0)).otherwise(raw))
         else:
             ss = F.greatest(diff("_q") - s * mean_d, F.lit(0.0))
             den = k if how == "std_pop" else k - 1
@@ -75,41 +91,45 @@ def rolling(df: DataFrame, f: Frames, specs: dict[str, tuple[str, int, str]], st
             value = F.when(k > (0 if how == "std_pop" else 1), F.when(flat, F.lit(0.0)).otherwise(F.sqrt(ss / den)))
         results[name] = F.when(k >= n, value) if strict else value
     out = out.withColumns(results)
-    return out.drop(*[f"{p}{i}" for i in range(len(inputs)) for p in ("_o", "_v", "_c", "_s", "_n", "_q", "_k")])
+    return out.drop(*[f"{p}{i}" for i in range(len(inputs)) for p in ("_o", "_v", "_c", "_s", "_n", "_q", "_k", "_3", "_4")])
 
 
-def correlation(
-    df: DataFrame, f: Frames, out: str, x: Column, y: Column, n: int, exclusive: bool = False
-) -> DataFrame:
-    """Rolling Pearson correlation of the rows where both are known, from running sums.
+def correlations(df: DataFrame, f: Frames, specs: dict[str, tuple[Column, Column, int]], exclusive: bool = False) -> DataFrame:
+    """Rolling Pearson correlations ``{out: (x, y, n)}`` of the rows where both are known.
 
-    ``exclusive`` covers the n rows before the current one. NULL when either is flat.
+    Taken from running sums, all in the same few projections. ``exclusive`` covers the n
+    rows before the current one. NULL when either side is flat.
     """
     w, past = f.ordered(), f.past()
-    both = x.isNotNull() & y.isNotNull()
-    d = df.withColumns({"_x": F.when(both, x.cast("double")), "_y": F.when(both, y.cast("double"))})
-    d = d.withColumns(
-        {"_x": F.col("_x") - F.first("_x", True).over(past), "_y": F.col("_y") - F.first("_y", True).over(past)}
-    )
-    terms = {
-        "n": F.col("_x").isNotNull().cast("long"), "x": F.col("_x"), "y": F.col("_y"),
-        "xx": F.col("_x") * F.col("_x"), "yy": F.col("_y") * F.col("_y"), "xy": F.col("_x") * F.col("_y"),
-    }
-    d = d.withColumns({f"_s_{k}": F.sum(F.coalesce(t, F.lit(0))).over(past) for k, t in terms.items()})
+    raw, shifted, sums, spans, out = {}, {}, {}, {}, {}
+    for i, (x, y, _) in enumerate(specs.values()):
+        both = x.isNotNull() & y.isNotNull()
+        raw |= {f"_x{i}": F.when(both, x.cast("double")), f"_y{i}": F.when(both, y.cast("double"))}
+        shifted |= {f"_{v}{i}": F.col(f"_{v}{i}") - F.first(f"_{v}{i}", True).over(past) for v in "xy"}
+    d = df.withColumns(raw).withColumns(shifted)
     at = 1 if exclusive else 0
-
-    def frame(k: str) -> Column:
-        end = F.lag(f"_s_{k}", at).over(w) if at else F.col(f"_s_{k}")
-        return F.coalesce(end, F.lit(0)) - F.coalesce(F.lag(f"_s_{k}", n + at).over(w), F.lit(0))
-
-    d = d.withColumns({f"_d_{k}": frame(k) for k in terms})
-    c = {k: F.col(f"_d_{k}") for k in terms}
-    cov = c["xy"] * c["n"] - c["x"] * c["y"]
-    vx, vy = c["xx"] * c["n"] - c["x"] * c["x"], c["yy"] * c["n"] - c["y"] * c["y"]
-    # running sums leave rounding noise where the frame is flat
-    solid = (vx > 1e-9 * (c["xx"] * c["n"] + 1e-30)) & (vy > 1e-9 * (c["yy"] * c["n"] + 1e-30))
-    d = d.withColumn(out, F.when((c["n"] > 1) & solid, cov / F.sqrt(vx * vy)))
-    return d.drop("_x", "_y", *[f"{p}{k}" for p in ("_s_", "_d_") for k in terms])
+    for i, (_, _, n) in enumerate(specs.values()):
+        x, y = F.col(f"_x{i}"), F.col(f"_y{i}")
+        terms = {"n": x.isNotNull().cast("long"), "x": x, "y": y, "xx": x * x, "yy": y * y, "xy": x * y}
+        sums |= {f"_s{i}_{k}": F.sum(F.coalesce(t, F.lit(0))).over(past) for k, t in terms.items()}
+        for k in terms:
+            c = f"_s{i}_{k}"
+            end = F.lag(c, at).over(w) if at else F.col(c)
+            spans[f"_d{i}_{k}"] = F.coalesce(end, F.lit(0)) - F.coalesce(F.lag(c, n + at).over(w), F.lit(0))
+    d = d.withColumns(sums).withColumns(spans)
+    for i, name in enumerate(specs):
+        c = {k: F.col(f"_d{i}_{k}") for k in ("n", "x", "y", "xx", "yy", "xy")}
+        cov = c["xy"] * c["n"] - c["x"] * c["y"]
+        vx, vy = c["xx"] * c["n"] - c["x"] * c["x"], c["yy"] * c["n"] - c["y"] * c["y"]
+        # running sums leave rounding noise where the frame is flat
+        solid = (vx > 1e-9 * (c["xx"] * c["n"] + 1e-30)) & (vy > 1e-9 * (c["yy"] * c["n"] + 1e-30))
+        out[name] = F.when((c["n"] > 1) & solid, cov / F.sqrt(vx * vy))
+    return d.withColumns(out).drop(*raw, *sums, *spans)
+
+
+def correlation(df: DataFrame, f: Frames, out: str, x: Column, y: Column, n: int, exclusive: bool = False) -> DataFrame:
+    """One rolling correlation, see ``correlations``."""
+    return correlations(df, f, {out: (x, y, n)}, exclusive)
 
 
 def extremes(df: DataFrame, f: Frames, specs: dict[str, tuple[str, int, str]]) -> DataFrame:
@@ -187,6 +207,33 @@ def rolling_quantile(values: np.ndarray, n: int, q: float, strict: bool = True)
     return pd.Series(values.astype("float64")).rolling(n, min_periods=n if strict else 1).quantile(q).to_numpy()
 
 
+def tail_means(values: np.ndarray, limit: np.ndarray, n: int) -> np.ndarray:
+    """Mean of the values at or below that row's limit in each n-row window."""
+    out = np.full(len(values), np.nan)
+    if len(values) < n:
+        return out
+    view = np.lib.stride_tricks.sliding_window_view(values, n)
+    ends = limit[n - 1 :]
+    step = max(1, 4_000_000 // n)
+    for i in range(0, len(view), step):
+        part = view[i : i + step]
+        hit = part <= ends[i : i + step, None]
+        count = hit.sum(axis=1)
+        total = np.where(hit, part, 0.0).sum(axis=1)
+        out[n - 1 + i : n - 1 + i + len(part)] = np.where(count > 0, total / np.maximum(count, 1), np.nan)
+    return out
+
+
+def quantiles_in(d: DataFrame, f: Frames, specs: dict[str, tuple[str, int, float]], strict: bool = True) -> DataFrame:
+    """Rolling quantiles inside a body that already runs over these frames."""
+
+    def fn(g: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
+        return {name: rolling_quantile(g[c], n, q, strict) for name, (c, n, q) in specs.items()}
+
+    d = per_group(d, f, {n: "double" for n in specs}, fn, sorted({c for c, _, _ in specs.values()}))
+    return d.withColumns({n: F.when(~F.isnan(n), F.col(n)) for n in specs})
+
+
 def wide_quantiles(
     df: DataFrame, order: EventOrder, specs: dict[str, tuple[str, int, float]], strict: bool = True
 ) -> DataFrame:

@@ -7,9 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tickloom.functions.cols import flag, pct_change, roll, roll_quantile, safe_div
+from tickloom.functions.cols import flag, pct_change, roll, safe_div
 from tickloom.functions.ema import ema, reach, span_alpha
-from tickloom.functions.fast import rolling
+from tickloom.functions.fast import quantiles_in, rolling
 from tickloom.operators import book as bk
 from tickloom.operators import classification, detectors, horizons, labels, microstructure, normalise, order_flow, tick_features
 from tickloom.operators.joins import level_totals
@@ -129,12 +129,13 @@ def pattern_signals(df: DataFrame, order: EventOrder) -> DataFrame:
 
     def body(x: DataFrame, f: Frames) -> DataFrame:
         zero = lambda c: F.coalesce(c, F.lit(0.0))
+        x = quantiles_in(x, f, {"_q": ("size", 100, 0.95)})
         up = F.col("price") > F.lag("price").over(f.ordered())
         signed = F.when(F.col("side") == "B", F.col("size")).when(F.col("side") == "A", -F.col("size")).otherwise(0)
         x = x.withColumns(
             {
                 "volume_imbalance": signed.cast("double"), "price_impact": zero(F.abs(pct_change("price", f))),
-                "large_order_threshold": zero(roll_quantile("size", f, 100, 0.95)), "_q": roll_quantile("size", f, 100, 0.95),
+                "large_order_threshold": zero(F.col("_q")),
                 "_dir": F.when(up, 1).otherwise(-1), "level_volume_ma": zero(roll("level_volume", f, 50, "mean")),
             }
         )

@@ -8,12 +8,13 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tickloom.functions.cols import flag, full, pct_change, roll, roll_quantile, safe_div
+from tickloom.functions.cols import flag, full, pct_change, roll, safe_div
 from tickloom.functions.ema import ema, reach, span_alpha
-from tickloom.functions.fast import rolling
+from tickloom.functions.fast import correlations, extremes, per_group, quantiles_in, rolling, rolling_quantile, tail_means
 from tickloom.operators.joins import level_totals
 from tickloom.operators.quantiles import equal_width_bins, quantile_bins
 from tickloom.order import EventOrder, Frames, windowed
@@ -39,12 +40,6 @@ def base_body(d: DataFrame, f: Frames) -> DataFrame:
     return d.withColumns({"abs_ret": F.abs("ret"), "volume_imbalance": imb})
 
 
-def moment(c: str, f: Frames, n: int, how: str) -> Column:
-    """Rolling skew or excess kurtosis; 0 when the frame is flat."""
-    sd = F.stddev_samp(c).over(f.rows(n))
-    return full(F.when(sd * sd > 1e-10, roll(c, f, n, how, strict=False)).otherwise(0.0), f.rows(n), n, F.col(c))
-
-
 def autocorr(c: str, f: Frames, n: int, lag: int) -> Column:
     """Correlation of a value with its own lag inside the last n rows."""
     pairs = f.rows(n - lag)
@@ -60,13 +55,13 @@ def volume_body(d: DataFrame, f: Frames) -> DataFrame:
         "buy_volume_ma": roll("buy_volume", f, 20, "mean"),
         "sell_volume_ma": roll("sell_volume", f, 20, "mean"),
         "buy_sell_ratio": F.col("buy_volume") / (F.col("sell_volume") + EPS),
-        "volume_profile_skew": moment("volume", f, 100, "skew"),
-        "volume_profile_kurtosis": moment("volume", f, 100, "kurt"),
         **{f"volume_momentum_{w}r": pct_change("volume", f, w) for w in SHORT},
     }
     d = d.withColumns(cols)
     d = d.withColumns({f"volume_acceleration_{w}r": pct_change(f"volume_momentum_{w}r", f) for w in SHORT})
-    return rolling(d, f, {f"volume_volatility_{w}r": ("volume", w, "std") for w in MEDIUM}, strict=True)
+    specs = {f"volume_volatility_{w}r": ("volume", w, "std") for w in MEDIUM}
+    specs |= {"volume_profile_skew": ("volume", 100, "skew"), "volume_profile_kurtosis": ("volume", 100, "kurt")}
+    return rolling(d, f, specs, strict=True)
 
 
 def imbalance_body(d: DataFrame, f: Frames) -> DataFrame:
@@ -95,13 +90,14 @@ def with_levels(df: DataFrame, keys: tuple[str, ...]) -> DataFrame:
 
 
 def pattern_body(d: DataFrame, f: Frames) -> DataFrame:
+    d = quantiles_in(
+        d, f,
+        {"_q95": ("size", 100, 0.95), "_b90": ("order_block_volume", 50, 0.9), "_s95": ("support_resistance_volume", 100, 0.95)},
+    )
     d = d.withColumns(
         {
-            "_q95": roll_quantile("size", f, 100, 0.95),
             "_vr": F.col("volume") / roll("volume", f, 20, "mean"),
-            "_b90": roll_quantile("order_block_volume", f, 50, 0.9),
             "_bmax": roll("order_block_volume", f, 50, "max"),
-            "_s95": roll_quantile("support_resistance_volume", f, 100, 0.95),
         }
     )
     d = d.withColumns(
@@ -146,32 +142,24 @@ def microstructure_body(d: DataFrame, f: Frames) -> DataFrame:
 
 
 def risk_body(d: DataFrame, f: Frames) -> DataFrame:
-    d = d.withColumns(
-        {
-            "var_95": roll_quantile("ret", f, 100, 1 - 0.95),
-            "var_99": roll_quantile("ret", f, 100, 1 - 0.99),
-            "_rets": F.collect_list("ret").over(f.rows(100)),
-            "_peak": roll("price", f, 100, "max"),
-            **{f"volatility_{w}": roll("ret", f, w, "std") for w in (20, 50, 100)},
-            "returns_skew": moment("ret", f, 100, "skew"),
-            "returns_kurtosis": moment("ret", f, 100, "kurt"),
-        }
-    )
-
-    def tail_mean(var: str) -> Column:
-        tail = F.filter("_rets", lambda x: x <= F.col(var))
-        total = F.aggregate(tail, F.lit(0.0), lambda a, x: a + x)
-        return F.when(F.col(var).isNotNull(), total / F.nullif(F.size(tail), F.lit(0)))
-
-    d = d.withColumns(
-        {
-            "cvar_95": tail_mean("var_95"),
-            "cvar_99": tail_mean("var_99"),
-            "drawdown": (F.col("price") - F.col("_peak")) / F.col("_peak"),
-            **{f"volatility_of_volatility_{w}": roll(f"volatility_{w}", f, w, "std") for w in (20, 50, 100)},
-        }
-    )
-    return d.withColumn("max_drawdown", roll("drawdown", f, 100, "min")).drop("_rets", "_peak")
+    def tails(g: dict) -> dict:
+        r = g["ret"].astype("float64")
+        out = {"var_95": rolling_quantile(r, 100, 1 - 0.95), "var_99": rolling_quantile(r, 100, 1 - 0.99)}
+        return {**out, "cvar_95": tail_means(r, out["var_95"], 100), "cvar_99": tail_means(r, out["var_99"], 100)}
+
+    names = ["var_95", "var_99", "cvar_95", "cvar_99"]
+    d = per_group(d, f, {n: "double" for n in names}, tails, ["ret"])
+    d = extremes(d, f, {"_peak": ("price", 100, "max")})
+    specs = {f"volatility_{w}": ("ret", w, "std") for w in (20, 50, 100)}
+    specs |= {"returns_skew": ("ret", 100, "skew"), "returns_kurtosis": ("ret", 100, "kurt")}
+    d = rolling(d, f, specs, strict=True)
+    full_peak = full(F.col("_peak"), f.rows(100), 100)
+    d = d.withColumns({**{n: F.when(~F.isnan(n), F.col(n)) for n in names}, "_peak": full_peak})
+    d = d.withColumn("drawdown", (F.col("price") - F.col("_peak")) / F.col("_peak"))
+    d = rolling(d, f, {f"volatility_of_volatility_{w}": (f"volatility_{w}", w, "std") for w in (20, 50, 100)}, strict=True)
+    d = extremes(d, f, {"_low": ("drawdown", 100, "min")})
+    deep = F.when(F.count("drawdown").over(f.rows(100)) >= 100, F.col("_low"))
+    return d.withColumn("max_drawdown", deep).drop("_peak", "_low")
 
 
 def statistics_body(d: DataFrame, f: Frames) -> DataFrame:
@@ -186,29 +174,40 @@ def statistics_body(d: DataFrame, f: Frames) -> DataFrame:
     for c, tag in (("price", "price"), ("volume", "vol")):
         for w in windows:
             z[f"{tag}_zscore_{w}r"] = safe_div(F.col(c) - F.col(f"{tag}_ma_{w}r"), F.col(f"{tag}_std_{w}r"))
-    corr = lambda w: full(F.corr(F.col("price"), F.col("volume").cast("double")).over(f.rows(w)), f.rows(w), w)
-    d = d.withColumns(
-        {
-            **z,
-            **{f"price_volume_corr_{w}": corr(w) for w in (20, 50, 100)},
-            **{f"price_autocorr_lag_{k}": autocorr("price", f, 50, k) for k in (1, 5, 10)},
-            "_px": F.collect_list("price").over(f.rows(20)),
-        }
-    )
-    return d.withColumn("price_entropy", F.when(F.size("_px") >= 20, histogram_entropy(F.col("_px"), 10))).drop("_px")
-
-
-def histogram_entropy(values: Column, bins: int) -> Column:
-    """Entropy in nats of an equal-width histogram over the array's own range."""
-    lo, width = F.array_min(values), F.array_max(values) - F.array_min(values)
-    place = F.transform(
-        values, lambda x: F.when(width > 0, F.least(F.floor((x - lo) / width * bins), F.lit(bins - 1))).otherwise(0)
-    )
-    counts = F.transform(F.sequence(F.lit(0), F.lit(bins - 1)), lambda b: F.size(F.filter(place, lambda p: p == b)))
-    n = F.size(values)
-    return F.aggregate(
-        counts, F.lit(0.0), lambda a, c: a - F.when(c > 0, (c / n) * F.log(c / n)).otherwise(0.0)
-    )
+    d = d.withColumns(z)
+    p, v, w_ = F.col("price"), F.col("volume"), f.ordered()
+    seen = F.row_number().over(w_)
+    pairs = {f"price_volume_corr_{w}": (p, v, w) for w in (20, 50, 100)}
+    pairs |= {f"price_autocorr_lag_{k}": (p, F.lag("price", k).over(w_), 50 - k) for k in (1, 5, 10)}
+    d = correlations(d, f, pairs)
+    late = {f"price_volume_corr_{w}": w for w in (20, 50, 100)} | {f"price_autocorr_lag_{k}": 50 for k in (1, 5, 10)}
+    d = d.withColumns({c: F.when(seen >= n, F.col(c)) for c, n in late.items()})
+
+    def entropy(g: dict) -> dict:
+        return {"price_entropy": histogram_entropy(g["price"].astype("float64"), 20, 10)}
+
+    d = per_group(d, f, {"price_entropy": "double"}, entropy, ["price"])
+    return d.withColumn("price_entropy", F.when(~F.isnan("price_entropy"), F.col("price_entropy")))
+
+
+def histogram_entropy(values: np.ndarray, n: int, bins: int) -> np.ndarray:
+    """Entropy in nats of an equal-width histogram over each n-row window's own range."""
+    out = np.full(len(values), np.nan)
+    if len(values) < n:
+        return out
+    view = np.lib.stride_tricks.sliding_window_view(values, n)
+    step = max(1, 4_000_000 // n)
+    for i in range(0, len(view), step):
+        part = view[i : i + step]
+        lo = part.min(axis=1, keepdims=True)
+        width = part.max(axis=1, keepdims=True) - lo
+        place = np.where(width > 0, np.minimum(np.floor((part - lo) / np.where(width > 0, width, 1.0) * bins), bins - 1), 0)
+        total = np.zeros(len(part))
+        for b in range(bins):
+            share = (place == b).sum(axis=1) / n
+            total -= np.where(share > 0, share * np.log(np.where(share > 0, share, 1.0)), 0.0)
+        out[n - 1 + i : n - 1 + i + len(part)] = total
+    return out
 
 
 def temporal_body(d: DataFrame, f: Frames) -> DataFrame:
@@ -316,10 +315,9 @@ def timeframes_body(d: DataFrame, f: Frames) -> DataFrame:
 
 
 def intelligence_body(d: DataFrame, f: Frames) -> DataFrame:
+    d = quantiles_in(d, f, {"_v90": ("volume", 100, 0.9), "_r10": ("abs_ret", 100, 0.1)})
     d = d.withColumns(
         {
-            "_v90": roll_quantile("volume", f, 100, 0.9),
-            "_r10": roll_quantile("abs_ret", f, 100, 0.1),
             "_list": F.collect_list("volume").over(f.rows(10)),
             "_cut": roll("volume", f, 10, "mean") + roll("volume", f, 10, "std"),
             "_auto": autocorr("ret", f, 20, 1),

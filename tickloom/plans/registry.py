@@ -8,6 +8,8 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tickloom.session import ship_package
+
 Plan = Callable[[SparkSession, str], DataFrame]
 
 
@@ -54,7 +56,11 @@ def _shaped_sql(q: Query) -> str:
 
 def plans() -> dict[str, Plan]:
     def bind(q: Query) -> Plan:
-        return lambda spark, sf_dir: _shaped(q, q.plan(spark, sf_dir))
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            ship_package(spark)
+            return _shaped(q, q.plan(spark, sf_dir))
+
+        return run
 
     return {name: bind(q) for name, q in REGISTRY.items()}
 

@@ -59,3 +59,20 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     import uuid
 
     return f"{checkpoint_dir(spark).rstrip('/')}/tickloom-{name}-{uuid.uuid4().hex}"
+
+
+_SHIPPED: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make this package importable in Python workers wherever the driver was started."""
+    import shutil
+
+    sc = spark.sparkContext
+    if sc.applicationId in _SHIPPED:
+        return
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    folder = tempfile.mkdtemp(prefix="tickloom-ship-")
+    archive = shutil.make_archive(os.path.join(folder, "tickloom"), "zip", root, "tickloom")
+    sc.addPyFile(archive)  # copied to every executor by Spark
+    _SHIPPED.add(sc.applicationId)
