@@ -167,16 +167,25 @@ def per_group(
 ) -> DataFrame:
     """Add columns computed by numpy over one sorted group (a key, or a cell of it).
 
-    A row number over the window first puts every key into one sorted partition (no
-    shuffle if it is there already); Arrow batches are then cut at the key changes, so
-    many small groups cost no per-group transfer.
+    A row number over the window first puts every key into one partition (no shuffle if
+    it is there already). The optimizer may move that window below another one, so the
+    order is also asked for on its own; Spark drops that sort where it already holds.
+    Arrow batches are then cut at the key changes, so many small groups cost no
+    per-group transfer.
     """
-    placed = df.withColumn("_place", F.row_number().over(f.ordered()))
+    placed = df.withColumn("_place", F.row_number().over(f.ordered())).sortWithinPartitions(*f.keys, *f.order)
     fields = [*placed.schema.fields, *[T.StructField(n, T._parse_datatype_string(t)) for n, t in outputs.items()]]
     keys = list(f.keys)
 
+    lead = f.order[0]
+
     def solve(pdf: pd.DataFrame) -> pd.DataFrame:
         starts = _spans(pdf, keys)
+        clock = pdf[lead].to_numpy()
+        back = clock[1:] < clock[:-1]
+        back[starts[1:] - 1] = False
+        if back.any():
+            raise RuntimeError(f"rows of a group arrived out of order on {lead}")
         ends = [*starts[1:], len(pdf)]
         arrays = {c: pdf[c].to_numpy() for c in inputs}
         parts = [fn({c: a[i:j] for c, a in arrays.items()}) for i, j in zip(starts, ends)]

@@ -196,20 +196,28 @@ def time_windowed(
         .groupBy(*keys, "_cell")
         .agg(F.collect_list(F.struct(F.col("_start").alias("start"), F.col("_next").alias("cell"))).alias("_reach"))
     )
+    # A frame also holds peers: rows of later cells on the very instant this cell ends at.
+    ends = spans.select(*keys, F.col("_to").alias("_at"), F.col("_cell").alias("_earlier"))
+    peers = (
+        spans.select(*keys, F.col("_from").alias("_at"), "_cell")
+        .join(ends, [*keys, "_at"])
+        .filter(F.col("_earlier") < F.col("_cell"))
+        .groupBy(*keys, "_cell")
+        .agg(F.collect_list(F.struct(F.col("_at").alias("start"), F.col("_earlier").alias("cell"))).alias("_peers"))
+    )
+    none = F.expr("array()").cast("array<struct<start:bigint,cell:bigint>>")
+    clock = F.col(order.ts)
+    copy = lambda r: F.struct(r["cell"].alias("cell"), F.lit(True).alias("halo"))
     homes = F.concat(
         F.array(F.struct(F.col("_cell").alias("cell"), F.lit(False).alias("halo"))),
-        F.transform(
-            F.filter(
-                F.coalesce(F.col("_reach"), F.expr("array()").cast("array<struct<start:bigint,cell:bigint>>")),
-                lambda r: r["start"] <= F.col(order.ts) + before_ns,
-            ),
-            lambda r: F.struct(r["cell"].alias("cell"), F.lit(True).alias("halo")),
-        ),
+        F.transform(F.filter(F.coalesce("_reach", none), lambda r: r["start"] <= clock + before_ns), copy),
+        F.transform(F.filter(F.coalesce("_peers", none), lambda r: r["start"] == clock), copy),
     )
     spread = (
         numbered.join(pairs, [*keys, "_cell"], "left")
+        .join(peers, [*keys, "_cell"], "left")
         .withColumn("_home", F.explode(homes))
-        .drop("_cell", "_reach")
+        .drop("_cell", "_reach", "_peers")
         .select("*", F.col("_home.cell").alias("_cell"), F.col("_home.halo").alias("_halo"))
         .drop("_home")
     )
