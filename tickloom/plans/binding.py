@@ -95,10 +95,6 @@ def strict(agg: str, col: str, n: int, by: str = W) -> str:
     return f"CASE WHEN count({col}) OVER {w} >= {n} THEN {agg.format(c=col)} OVER {w} END"
 
 
-def sround(expr: str, digits: int) -> str:
-    return f"round({expr}, {digits})"
-
-
 def ticks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Line items as trades of one supplier: day clock, ties broken by order and line."""
     li = table(spark, sf_dir, "lineitem")

@@ -11,6 +11,7 @@ from tickloom.order import EventOrder, running
 from tickloom.plans.binding import MBO_SQL, TICK, W, mbo, mbo_order, rows, span, table
 from tickloom.plans.book_q import ALL_SQL, the_book
 from tickloom.plans.registry import query
+from tickloom.session import pin
 
 
 @query(
@@ -589,7 +590,7 @@ def _training(spark, sf):
     d = of.order_flow(m, o, ["imbalance", "statistics", "momentum"])
     d = lb.time_split(lb.horizon_targets(d, o, (1, 5)), o)
     keep = ["instrument", "sequence", "split", "price_return_1r", "price_return_5r", "price_direction_5r", *_FEATS]
-    return d.select(*keep).na.drop()
+    return pin(d.select(*keep).na.drop())  # fits read it many times
 
 
 @query("gbt_regression_by_horizon", "split horizon rows", "rmse mae r2")

@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from tickloom.plans.binding import MBO_SQL, W, mbo, mbo_of, rows, span, table
 from tickloom.plans.book_q import ALL_SQL
-from tickloom.plans.registry import query
+from tickloom.plans.registry import REGISTRY, query
 from tickloom.session import scratch_path
 from tickloom.streaming import sources as ss
 from tickloom.streaming import state as st
@@ -97,7 +97,12 @@ def stream_spoofing(spark, sf):
     return done(st.stateful(s, ["instrument", "order_id"], p, late="1 hour"), "spoofs")
 
 
-@query("stream_icebergs", "instrument sequence replenishment_count visible_size", "confidence_score")
+@query(
+    "stream_icebergs",
+    "instrument sequence replenishment_count visible_size",
+    "confidence_score",
+    REGISTRY["iceberg_events"].sql,
+)
 def stream_icebergs(spark, sf):
     s = stream(spark, sf).select(*st.EVENT_COLUMNS)
     p = st.IcebergCandidates(30, 3, 86_400_000_000_000)
