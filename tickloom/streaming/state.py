@@ -6,11 +6,13 @@ result needs (live levels, live orders, a bounded tail) and expires the rest.
 
 from __future__ import annotations
 
+import sys
 from bisect import bisect_left, insort
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
@@ -237,6 +239,8 @@ class SignalChanges(StatefulProcessor):
 def stateful(df: DataFrame, keys: list[str], processor: StatefulProcessor, late: str | None = None, mode: str = "append") -> DataFrame:
     """Run a processor per key; with ``late`` its timers follow the event-time watermark."""
     use_rocksdb(df.sparkSession)
+    # the stream's own Python runner does not see added files, so processors travel by value
+    cloudpickle.register_pickle_by_value(sys.modules[__name__])
     if late:
         df = df.withWatermark("event_time", late)
     return df.groupBy(*keys).transformWithStateInPandas(
