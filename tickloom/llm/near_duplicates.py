@@ -27,10 +27,12 @@ from pyspark.sql import functions as F
 from tickloom.llm.components import components
 from tickloom.llm.frames import byte_blocks, pick
 from tickloom.llm.hashing import mix, shingle_sets
+from tickloom.llm.membership import maybe_in
 from tickloom.session import pin
 
-BINS = 512
-BANDS = 64
+BINS = 256
+BANDS = 32
+BAND_BINS = 5  # a pair at 0.85 shares no band with probability 7e-9, at 0.8 with 3e-6
 BLOCK_BYTES = 1 << 20
 
 
@@ -61,8 +63,7 @@ def sketches(sets: list[np.ndarray], bins: int = BINS) -> np.ndarray:
 
 def band_keys(sketch: np.ndarray, bands: int = BANDS) -> np.ndarray:
     """One 64-bit key per row and band."""
-    n, bins = sketch.shape
-    width = bins // bands
+    n, width = len(sketch), BAND_BINS
     key = np.broadcast_to(np.arange(1, bands + 1, dtype=np.uint64), (n, bands)).copy()
     for i in range(width):
         key = mix(key ^ sketch[:, i : bands * width : width], 7)
@@ -117,6 +118,9 @@ def linked(n_a, n_b, shared, percent: int):
 def confirm(pairs: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
     """The pairs (a, b) of ids whose full shingle sets are similar enough. Texts travel to the pairs."""
     side = lambda c: docs.select(F.col("doc_id").alias(c), F.col("text").alias(f"text_{c}"))
+    pairs = pin(pairs)
+    ids = pairs.select(F.explode(F.array("a", "b")).alias("id"))
+    docs = maybe_in(docs, "doc_id", ids, "id")  # most texts are in no pair and stay where they are
     texts = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "text_a", "text_b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -160,8 +164,8 @@ def near_duplicates(df: DataFrame, words: int = 5, percent: int = 80, id_col: st
         .select(F.col("doc_id").alias("rep"), "n", "bits", "bands")
     )
     keyed = classes.select("rep", F.explode("bands").alias("key"))
-    dense = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") > 1)
-    rows = pin(keyed.join(dense, "key"))
+    dense = pin(keyed.groupBy("key").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") > 1))
+    rows = pin(maybe_in(keyed, "key", dense, "key").join(dense, "key"))
 
     # step 1: the member of a bucket that shares the most buckets with the most others is its centre
     weight = rows.groupBy("rep").agg(F.sum("c").alias("w"))
@@ -186,27 +190,29 @@ def near_duplicates(df: DataFrame, words: int = 5, percent: int = 80, id_col: st
     place = F.coalesce("component", "rep").alias("comp")
     here = rows.join(first, rows["rep"] == first["id"], "left").select("key", "rep", place)
     mixed = here.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where(F.col("lo") < F.col("hi")).select("key")
-    open_ = pin(here.join(mixed, "key").select("rep", "comp").distinct())
+    open_ = pin(here.join(mixed, "key").select("rep", "comp").distinct().join(classes.select("rep", "n"), "rep"))
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, comps, at = batch.column("rep"), batch.column("comp"), 0
+            ids, at = batch.column("rep"), 0
             for data, offsets in byte_blocks(batch.column("text"), BLOCK_BYTES):
                 found = shingle_sets(data, offsets, words)
                 sizes = np.array([len(s) for s in found])
                 take = pa.array(np.repeat(np.arange(at, at + len(found)), sizes))
-                yield pa.RecordBatch.from_arrays(
-                    [ids.take(take), comps.take(take), pa.array(np.repeat(sizes, sizes), pa.int64()), pa.array(np.concatenate(found).view(np.int64))], names=["rep", "comp", "n", "s"]
-                )
+                flat = np.concatenate(found).view(np.int64)
+                yield pa.RecordBatch.from_arrays([ids.take(take), pa.array(flat)], names=["rep", "s"])
                 at += len(found)
 
-    texts = open_.join(named.select(F.col("doc_id").alias("rep"), "text"), "rep").select("rep", "comp", "text")
-    shingles = pin(texts.mapInArrow(sets, "rep long, comp long, n long, s long"))
-    common = shingles.groupBy("s").agg(F.count(F.lit(1)).alias("df")).where(F.col("df") > 1)
-    order = Window.partitionBy("rep").orderBy("df", "s")
-    # a shingle of one class only needs no partner but takes its place at the front
-    ranked = shingles.join(common, "s", "left").withColumn("df", F.coalesce("df", F.lit(1))).withColumn("p", F.row_number().over(order))
-    prefix = ranked.where((F.col("df") > 1) & (F.col("p") <= F.col("n") - F.ceil(F.col("n") * percent / 100) + 1)).select("s", "rep", "comp", "n", "p")
+    opened = maybe_in(named, "doc_id", open_, "rep").select(F.col("doc_id").alias("rep"), "text")
+    texts = open_.select("rep").join(opened, "rep")
+    shingles = pin(texts.mapInArrow(sets, "rep long, s long"))
+    common = pin(shingles.groupBy("s").agg(F.count(F.lit(1)).alias("df")).where(F.col("df") > 1))
+    shared = maybe_in(shingles, "s", common, "s").join(common, "s")
+    # rarest first: shingles of one class only stand at the front and need no partner
+    each = Window.partitionBy("rep")
+    ranked = shared.withColumns({"_rank": F.row_number().over(each.orderBy("df", "s")), "_shared": F.count(F.lit(1)).over(each)})
+    placed = ranked.join(open_, "rep").withColumn("p", F.col("n") - F.col("_shared") + F.col("_rank"))
+    prefix = pin(placed.where(F.col("p") <= F.col("n") - F.ceil(F.col("n") * percent / 100) + 1).select("s", "rep", "comp", "n", "p"))
     a, b = prefix.alias("a"), prefix.alias("b")
     n_a, n_b = F.col("a.n"), F.col("b.n")
     reach = 1 + F.least(n_a - F.col("a.p"), n_b - F.col("b.p"))
