@@ -11,9 +11,12 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from tickloom.functions.cols import roll
 from tickloom.order import EventOrder, Frames, windowed
@@ -148,12 +151,12 @@ def extremes(df: DataFrame, f: Frames, specs: dict[str, tuple[str, int, str]]) -
     return out.drop("_p")
 
 
-def _spans(pdf: pd.DataFrame, keys: list[str]) -> np.ndarray:
-    """Start offsets of the runs of equal keys in a sorted frame."""
-    change = np.zeros(len(pdf), dtype=bool)
+def _spans(table: pa.Table, keys: list[str]) -> np.ndarray:
+    """Start offsets of the runs of equal keys in a sorted table."""
+    change = np.zeros(len(table), dtype=bool)
     change[0] = True
     for k in keys:
-        v = pdf[k].to_numpy()
+        v = table[k].to_pandas().to_numpy()
         change[1:] |= v[1:] != v[:-1]
     return np.flatnonzero(change)
 
@@ -172,43 +175,52 @@ def per_group(
     order is also asked for on its own; Spark drops that sort where it already holds.
     Arrow batches are then cut at the key changes, so many small groups cost no
     per-group transfer.
+
+    Only keys, clock and inputs become numpy arrays. Every other column stays in its
+    Arrow form, so clocks keep their nanoseconds where some rows have none.
     """
     placed = df.withColumn("_place", F.row_number().over(f.ordered())).sortWithinPartitions(*f.keys, *f.order)
-    fields = [*placed.schema.fields, *[T.StructField(n, T._parse_datatype_string(t)) for n, t in outputs.items()]]
+    types = {n: T._parse_datatype_string(t) for n, t in outputs.items()}
+    fields = [*placed.schema.fields, *[T.StructField(n, t) for n, t in types.items()]]
+    arrow = {n: to_arrow_type(t) for n, t in types.items()}
     keys = list(f.keys)
 
     lead = f.order[0]
 
-    def solve(pdf: pd.DataFrame) -> pd.DataFrame:
-        starts = _spans(pdf, keys)
-        clock = pdf[lead].to_numpy()
-        back = clock[1:] < clock[:-1]
+    def solve(table: pa.Table) -> Iterator[pa.RecordBatch]:
+        starts = _spans(table, keys)
+        clock = table[lead].combine_chunks()
+        back = pc.less(clock.slice(1), clock.slice(0, len(clock) - 1)).fill_null(False).to_numpy(zero_copy_only=False).copy()
         back[starts[1:] - 1] = False
         if back.any():
             raise RuntimeError(f"rows of a group arrived out of order on {lead}")
-        ends = [*starts[1:], len(pdf)]
-        arrays = {c: pdf[c].to_numpy() for c in inputs}
+        ends = [*starts[1:], len(table)]
+        arrays = {c: table[c].to_pandas().to_numpy() for c in inputs}
         parts = [fn({c: a[i:j] for c, a in arrays.items()}) for i, j in zip(starts, ends)]
-        return pdf.assign(**{n: np.concatenate([p[n] for p in parts]) for n in outputs})
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held: list[pd.DataFrame] = []
-        for pdf in batches:
-            if pdf.empty:
+        for n in outputs:
+            values = pd.Series(np.concatenate([p[n] for p in parts]))
+            table = table.append_column(n, pa.Array.from_pandas(values, mask=values.isnull().to_numpy(), type=arrow[n]))
+        yield from table.combine_chunks().to_batches()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        ends = lambda batch, i: [batch[k][i].as_py() for k in keys]
+        for batch in batches:
+            if not batch.num_rows:
                 continue
-            first, last = pdf[keys].iloc[0], pdf[keys].iloc[-1]
-            same = not held or bool((held[0][keys].iloc[0] == first).all())
-            if same and bool((first == last).all()):
-                held.append(pdf)
+            first, last = ends(batch, 0), ends(batch, batch.num_rows - 1)
+            if first == last and (not held or ends(held[0], 0) == first):
+                held.append(batch)
                 continue
-            whole = pd.concat([*held, pdf], ignore_index=True)
+            whole = pa.Table.from_batches([*held, batch])
             cut = int(_spans(whole, keys)[-1])
-            yield solve(whole.iloc[:cut])
-            held = [whole.iloc[cut:].reset_index(drop=True)]
+            if cut:
+                yield from solve(whole.slice(0, cut))
+            held = whole.slice(cut).combine_chunks().to_batches()
         if held:
-            yield solve(pd.concat(held, ignore_index=True))
+            yield from solve(pa.Table.from_batches(held))
 
-    return placed.mapInPandas(run, T.StructType(fields)).drop("_place")
+    return placed.mapInArrow(run, T.StructType(fields)).drop("_place")
 
 
 def rolling_quantile(values: np.ndarray, n: int, q: float, strict: bool = True) -> np.ndarray:
