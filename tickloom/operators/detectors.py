@@ -15,6 +15,7 @@ from tickloom.operators.book import level_book
 from tickloom.operators.horizons import trailing
 from tickloom.operators.joins import asof_last
 from tickloom.order import EventOrder, Frames, running, windowed
+from tickloom.session import pin
 
 MINUTE = 60_000_000_000
 
@@ -152,9 +153,39 @@ def anchored_groups(df: DataFrame, order: EventOrder, window_ns: int, out: str =
             start, k = end, k + 1
         return {out: ids}
 
+    order = order.measured(df)
+    if order.hot:
+        return _anchored_in_cells(df, order, window_ns, out)
     return per_group(df, order.frames(), {out: "bigint"}, fn, [order.ts])
 
 
+def _anchored_in_cells(df: DataFrame, order: EventOrder, window_ns: int, out: str) -> DataFrame:
+    """The same for keys that fit no task: every instant knows the start that would follow
+    a group opened at it, and the starts reached from the first one are found by doubling
+    those jumps, in as many rounds as the number of groups has binary digits."""
+    keys = list(order.keys)
+    at = pin(df.select(*keys, F.col(order.ts).alias("_t")).distinct())
+    # read backwards in time, the last instant before a window's end is the next start
+    ends = at.select(*keys, (-(F.col("_t") + window_ns)).alias("_neg"), F.lit(0).alias("_kind"), F.lit(None).cast("long").alias("_seen"), "_t")
+    own = at.select(*keys, (-F.col("_t")).alias("_neg"), F.lit(1).alias("_kind"), F.col("_t").alias("_seen"), "_t")
+    back = EventOrder(keys=order.keys, order=("_neg", "_kind", "_t"), ts="_neg", hot=True, cell_rows=order.cell_rows)
+    seen = running(ends.unionByName(own), back, {"_next": ("last", "_seen")})
+    jump = pin(seen.filter((F.col("_kind") == 0) & F.col("_next").isNotNull()).select(*keys, "_t", "_next"))
+    starts = pin(at.groupBy(*keys).agg(F.min("_t").alias("_t")))
+    count, more = starts.count(), True
+    while more:
+        reached = starts.join(jump, [*keys, "_t"]).select(*keys, F.col("_next").alias("_t"))
+        starts = pin(starts.union(reached).distinct())
+        more, count = starts.count() > count, starts.count()
+        if more:
+            far = jump.select(*keys, F.col("_t").alias("_next"), F.col("_next").alias("_far"))
+            jump = pin(jump.join(far, [*keys, "_next"]).select(*keys, "_t", F.col("_far").alias("_next")))
+    marked = at.join(starts.withColumn("_start", F.lit(1)), [*keys, "_t"], "left")
+    forth = EventOrder(keys=order.keys, order=("_t",), ts="_t", hot=True, cell_rows=order.cell_rows)
+    numbered = running(marked, forth, {"_n": ("count", "_start")})
+    return df.join(numbered.select(*keys, F.col("_t").alias(order.ts), (F.col("_n") - 1).alias(out)), [*keys, order.ts])
+
+
 def icebergs(
     df: DataFrame, order: EventOrder, min_size: int = 500, refills: int = 3, window_ns: int = MINUTE
 ) -> DataFrame:
@@ -418,16 +449,20 @@ def flow_autocorrelation(df: DataFrame, order: EventOrder, n: int = 100, least:
     d = _fills(df, order)
 
     def body(x: DataFrame, f: Frames) -> DataFrame:
-        xs = F.collect_list(F.col("_d").cast("double")).over(f.rows(n))
-        x = x.withColumn("_x", xs)
-        size = F.size("_x")
-        x = x.withColumn("_mu", F.aggregate("_x", F.lit(0.0), lambda a, v: a + v) / size)
-        mu = F.col("_mu")
-        var = F.aggregate("_x", F.lit(0.0), lambda a, v: a + (v - mu) * (v - mu)) / size
-        pairs = F.zip_with(F.slice("_x", 1, F.greatest(size - 1, F.lit(1))), F.slice("_x", 2, size), lambda a, b: (a - mu) * (b - mu))
-        cov = F.aggregate(pairs, F.lit(0.0), lambda a, v: a + F.coalesce(v, F.lit(0.0)))
-        value = F.when(var > 0, F.least(F.lit(1.0), F.abs(cov / ((size - 1) * var)))).otherwise(0.0)
-        return x.withColumn("flow_autocorrelation", F.when(size >= least, value).otherwise(0.0))
+        value, w = F.col("_d").cast("double"), f.rows(n)
+        x = x.withColumns({"_x": value, "_y": F.lag(value).over(f.ordered())})
+        # sums over the frame; the pair that reaches out of it is taken off again
+        x = x.withColumns(
+            {"_n": F.count("_x").over(w), "_s": F.sum("_x").over(w), "_ss": F.sum(F.col("_x") * F.col("_x")).over(w),
+             "_p": F.sum(F.col("_x") * F.col("_y")).over(w), "_one": F.struct(F.first("_x").over(w).alias("x"), F.first("_y").over(w).alias("y"))}
+        )
+        size, mu, head = F.col("_n"), F.col("_s") / F.col("_n"), F.col("_one.x")
+        inner = F.coalesce("_p", F.lit(0.0)) - F.coalesce(head * F.col("_one.y"), F.lit(0.0))
+        var = F.col("_ss") / size - mu * mu
+        cov = inner - mu * (2 * F.col("_s") - head - F.col("_x")) + (size - 1) * mu * mu
+        share = F.when(var > 1e-12 * (1 + mu * mu), F.least(F.lit(1.0), F.abs(cov / ((size - 1) * var)))).otherwise(0.0)
+        x = x.withColumn("flow_autocorrelation", F.when(size >= least, share).otherwise(0.0))
+        return x.drop("_y", "_n", "_s", "_ss", "_p", "_one")
 
     return windowed(d, order, body, before=n).drop("_x", "_mu", "_chg", "_d", "_size")
 
