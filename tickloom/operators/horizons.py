@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tickloom.order import EventOrder, Frames, running, time_windowed
+from tickloom.order import EventOrder, Frames, running, time_windowed, windowed
 
 FRAME_ROWS = 200
 
@@ -74,21 +74,24 @@ def _by_frame(df: DataFrame, order: EventOrder, names: list[str], horizons: dict
     return time_windowed(df, order, body, max(horizons.values()))
 
 
-def _by_scan(df: DataFrame, order: EventOrder, names: list[str], horizons: dict[str, int]) -> DataFrame:
+def _look_back(df: DataFrame, order: EventOrder, own: Column, horizons: dict[str, int]) -> tuple[DataFrame, list[str]]:
+    """Every row with ``own`` of the last row before each of its windows opens (``_b0``,
+    ``_b1``, ...) and of the last row of its own instant (``_now``), by one stacked scan.
+
+    Other columns travel once, packed in ``_row``; their names are returned.
+    """
     keys, ids = list(order.keys), list(order.order)
     payload = [c for c in df.columns if c not in keys and c not in ids]
-    prefix = running(df, order, {f"_p_{n}": ("sum", f"_t_{n}") for n in names})
     steps = list(horizons.items())
-    # kind 0 reads the sums before a window opens, kind 1 is the row itself, kind 2
-    # reads the sums after every row of the same instant (windows include peers)
+    # kind 0 reads before a window opens, kind 1 is the row itself, kind 2 reads after
+    # every row of the same instant (windows include peers)
     probes = F.array(
         *[F.struct((F.col(order.ts) - ns).alias("at"), F.lit(0).alias("kind"), F.lit(i).alias("h")) for i, (_, ns) in enumerate(steps)],
         F.struct(F.col(order.ts).alias("at"), F.lit(1).alias("kind"), F.lit(-1).alias("h")),
         F.struct(F.col(order.ts).alias("at"), F.lit(2).alias("kind"), F.lit(-2).alias("h")),
     )
-    own = F.struct(*[F.col(f"_p_{n}").alias(n) for n in names])
     stacked = (
-        prefix.select(*keys, *ids, *payload, own.alias("_own"), F.explode(probes).alias("_q"))
+        df.select(*keys, *ids, *payload, own.alias("_own"), F.explode(probes).alias("_q"))
         .select(*keys, *ids, *payload, "_own", F.col("_q.at").alias("_at"), F.col("_q.kind").alias("_kind"), F.col("_q.h").alias("_h"))
         .withColumns(
             {
@@ -104,27 +107,38 @@ def _by_scan(df: DataFrame, order: EventOrder, names: list[str], horizons: dict[
     seen = running(stacked, clock, {"_before": ("last", "_own_if")})
     picks = [F.max("_row").alias("_row"), F.max(F.when(F.col("_h") == -2, F.col("_before"))).alias("_now")]
     picks += [F.max(F.when(F.col("_h") == i, F.col("_before"))).alias(f"_b{i}") for i in range(len(steps))]
-    back = seen.groupBy(*keys, *ids).agg(*picks)
+    return seen.groupBy(*keys, *ids).agg(*picks), payload
+
+
+def _by_scan(df: DataFrame, order: EventOrder, names: list[str], horizons: dict[str, int]) -> DataFrame:
+    prefix = running(df, order, {f"_p_{n}": ("sum", f"_t_{n}") for n in names})
+    back, payload = _look_back(prefix, order, F.struct(*[F.col(f"_p_{n}").alias(n) for n in names]), horizons)
     result = [
         (F.col(f"_now.{n}") - F.coalesce(F.col(f"_b{i}.{n}"), F.lit(0))).alias(f"{h}_{n}")
-        for i, (h, _) in enumerate(steps)
+        for i, h in enumerate(horizons)
         for n in names
     ]
-    return back.select(*keys, *ids, *[F.col(f"_row.{c}").alias(c) for c in payload], *result)
+    return back.select(*order.keys, *order.order, *[F.col(f"_row.{c}").alias(c) for c in payload], *result)
 
 
 def trailing_price(
     df: DataFrame, order: EventOrder, horizons: dict[str, int], price: str = "price"
 ) -> DataFrame:
-    """``{h}_price_change``: price less the first price inside [t - h, t]."""
-    order = order.measured(df)
+    """``{h}_price_change``: price less the first price inside [t - h, t].
 
-    def body(d: DataFrame, f: Frames) -> DataFrame:
-        return d.withColumns(
-            {f"{h}_price_change": F.col(price) - F.first(price).over(f.trailing(ns)) for h, ns in horizons.items()}
-        )
-
-    return time_windowed(df, order, body, max(horizons.values()))
+    The first row of a window is the one after the last row before it, so each row
+    carries the price that follows it and no window is read.
+    """
+    order = order.measured(df)
+    after = windowed(df, order, lambda d, f: d.withColumn("_next", F.lead(price).over(f.ordered())), before=0, after=1)
+    opened = running(after, order, {"_first": ("first", F.struct(F.col(price).alias("p")))})
+    back, payload = _look_back(opened, order, F.struct(F.col("_next").alias("p")), horizons)
+    change = {
+        f"{h}_price_change": F.col(price) - F.when(F.col(f"_b{i}").isNotNull(), F.col(f"_b{i}.p")).otherwise(F.col("_first.p"))
+        for i, h in enumerate(horizons)
+    }
+    out = back.select(*order.keys, *order.order, *[F.col(f"_row.{c}").alias(c) for c in payload], *[f"_b{i}" for i in range(len(horizons))])
+    return out.withColumns(change).drop("_next", "_first", *[f"_b{i}" for i in range(len(horizons))])
 
 
 def multi_horizon(

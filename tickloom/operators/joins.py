@@ -7,14 +7,6 @@ from pyspark.sql import functions as F
 
 from tickloom.order import EventOrder, running
 
-BROADCAST_ROWS = 1_000_000
-
-
-def join_small(df: DataFrame, side: DataFrame, on: list[str], how: str = "inner", limit: int = BROADCAST_ROWS) -> DataFrame:
-    """Broadcast ``side`` only when it is counted to be small; otherwise shuffle."""
-    few = side.limit(limit + 1).count() <= limit
-    return df.join(F.broadcast(side) if few else side, on, how)
-
 
 def level_totals(df: DataFrame, level: str, size: str, out: str, by: list[str]) -> DataFrame:
     """Each row with the total size of its price level.
@@ -94,11 +86,13 @@ def asof_last(
 
 
 def semi_by_split(df: DataFrame, splits: DataFrame, on: list[str]) -> DataFrame:
-    return join_small(df, splits.select(*on).distinct(), on, "left_semi")
+    """Rows whose split is listed. The size of the list in bytes, known once its
+    ``distinct`` has run, lets AQE choose between a broadcast and a shuffle."""
+    return df.join(splits.select(*on).distinct(), on, "left_semi")
 
 
 def anti_processed(df: DataFrame, done: DataFrame, on: list[str]) -> DataFrame:
-    return join_small(df, done.select(*on).distinct(), on, "left_anti")
+    return df.join(done.select(*on).distinct(), on, "left_anti")
 
 
 def by_position(left: DataFrame, right: DataFrame, order: EventOrder) -> DataFrame:

@@ -166,14 +166,23 @@ def row_slices(n: int, train: float = 0.6, val: float = 0.2, min_rows: int = 100
 
 
 def walk_forward_rows(df: DataFrame, order: EventOrder, train: float = 0.6, val: float = 0.2, min_rows: int = 100) -> DataFrame:
-    """(period, role) by row position; a row appears once per period it belongs to."""
+    """(period, role) by row position; a row appears once per period it belongs to.
+
+    Slices are those of ``row_slices`` for the number of rows of each key.
+    """
     order = order.measured(df)
-    d = number_rows(df, order, "_rn").withColumn("_i", F.col("_rn") - 1)
-    n = df.count()
-    tags = []
-    for i, (start, mid, end) in enumerate(row_slices(n, train, val, min_rows)):
-        role = F.when(F.col("_i").between(start, mid - 1), "train").when(F.col("_i").between(mid, end - 1), "val")
-        role = role.when(F.col("_i") >= end, "test")
-        tags.append(F.when(F.col("_i") >= start, F.struct(F.lit(i).alias("period"), role.alias("role"))))
-    d = d.withColumn("_t", F.explode(F.array_compact(F.array(*tags))))
-    return d.select("*", "_t.period", "_t.role").drop("_t", "_rn", "_i")
+    whole = lambda x: F.floor(x).cast("long")
+    n = F.col("_n")
+    a, b = whole(n * train), whole(n * (train + val))
+    width, step = whole(n * train) + whole(n * val), F.greatest(F.lit(min_rows).cast("long"), whole(n * 0.1))
+    starts = F.filter(F.sequence(F.lit(0).cast("long"), n - 1, step), lambda s: (s + width < n) & ((s == 0) | (s + b < n)))
+    sliced = (n >= min_rows) & (F.size(starts) > 0)
+    slices = F.when(sliced, F.transform(starts, lambda s: F.struct(s.alias("s"), (s + a).alias("m"), (s + width).alias("e")))).otherwise(
+        F.array(F.struct(F.lit(0).cast("long").alias("s"), a.alias("m"), b.alias("e")))
+    )
+    sizes = df.groupBy(*order.keys).agg(F.count(F.lit(1)).alias("_n")).select(*order.keys, slices.alias("_slices"))
+    d = number_rows(df, order, "_rn").join(sizes, list(order.keys)).withColumn("_i", F.col("_rn") - 1)
+    i = F.col("_i")
+    d = d.select("*", F.posexplode("_slices").alias("period", "_at")).where(i >= F.col("_at.s"))
+    role = F.when(i < F.col("_at.m"), "train").when(i < F.col("_at.e"), "val").otherwise("test")
+    return d.withColumn("role", role).drop("_slices", "_at", "_rn", "_i")
