@@ -27,15 +27,49 @@ def test_live_book(spark, frame, events, tmp_path):
     assert rows(live, "instrument", "sequence", "best_bid", "best_ask") == rows(batch, "instrument", "sequence", "best_bid", "best_ask")
 
 
+def shuffled(spark, events, folder):
+    """Five files; every third row comes one file late, within 0.5 s of the newest."""
+    d = spark.createDataFrame(events).withColumn("event_time", F.timestamp_micros(F.expr("ts_event div 1000")))
+    part = F.least(F.expr("sequence div 180") + (F.col("sequence") % 3 == 0).cast("int"), F.lit(4))
+    for i in range(5):
+        d.filter(part == i).orderBy(F.xxhash64("sequence")).coalesce(1).write.mode("append").parquet(folder)
+    return ss.event_files(spark, folder, d.schema, files_per_trigger=1).select(*st.EVENT_COLUMNS)
+
+
+def released(batch, events, late_ms):
+    """Rows the watermark has passed at the end."""
+    return batch.filter(F.expr(f"ts_event div 1000000 < {int(events.ts_event.max()) // 1_000_000 - late_ms}"))
+
+
 def test_icebergs(spark, frame, events, tmp_path):
-    s = stream(spark, events, f"file://{tmp_path}/in")
+    s = shuffled(spark, events, f"file://{tmp_path}/in")
     p = st.IcebergCandidates(20, 3, 50_000_000)
-    live = ss.run_to_table(st.stateful(s, ["instrument", "price"], p, late="1 second"), f"file://{tmp_path}/out")
-    batch = detectors.icebergs(frame, ORDER, 20, 3, 50_000_000)
+    live = ss.run_to_table(st.stateful(s, ["instrument", "price"], p, late="500 milliseconds"), f"file://{tmp_path}/out")
+    batch = released(detectors.icebergs(frame, ORDER, 20, 3, 50_000_000), events, 500)
     cols = ["instrument", "sequence", "replenishment_count", "visible_size"]
+    assert batch.count() > 0
     assert rows(live, *cols) == rows(batch, *cols)
 
 
+def test_book_of_shuffled_arrivals(spark, frame, events, tmp_path):
+    s = shuffled(spark, events, f"file://{tmp_path}/in")
+    live = ss.run_to_table(st.stateful(s, ["instrument"], st.LiveBook(), late="500 milliseconds"), f"file://{tmp_path}/out")
+    batch = released(book.book_at_events(book.level_book(frame, ORDER), ORDER, 0), events, 500)
+    assert batch.count() > 0
+    assert rows(live, "instrument", "sequence", "best_bid", "best_ask") == rows(batch, "instrument", "sequence", "best_bid", "best_ask")
+
+
+def test_bars_cut_by_batches_are_merged(spark, events, tmp_path):
+    base = spark.createDataFrame(events).withColumn("event_time", F.timestamp_micros(F.expr("ts_event div 1000")))
+    half = F.col("sequence") % 2 == 0
+    for part in (base.filter(half), base.filter(~half)):
+        sw.bar_parts(part, "100 milliseconds").write.mode("append").parquet(f"file://{tmp_path}/parts")
+    merged = sw.merged_bars(spark.read.parquet(f"file://{tmp_path}/parts"))
+    whole = sw.merged_bars(sw.bar_parts(base, "100 milliseconds"))
+    cols = ["instrument", "bar_start", "open", "high", "low", "close", "volume"]
+    assert rows(merged, *cols) == rows(whole, *cols)
+
+
 def test_late_rows_go_to_the_side(spark, events, tmp_path):
     base = spark.createDataFrame(events).withColumn("event_time", F.timestamp_micros(F.expr("ts_event div 1000")))
     now = base.agg(F.max("event_time")).first()[0]

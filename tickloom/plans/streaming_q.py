@@ -11,15 +11,43 @@ from tickloom.streaming import state as st
 from tickloom.streaming import windows as sw
 
 
-def stream(spark, sf):
-    raw = ss.event_files(spark, sf, table(spark, sf, "events").schema, "events.parquet")
+FILES = 5
+LATE = "10 minutes"
+
+
+def arrivals(spark, sf, delayed):
+    """The events as ``FILES`` files, one a trigger: each holds a stretch of time in shuffled
+    order; rows for which ``delayed(id, microseconds to the stretch's end)`` holds arrive
+    with the next file."""
+    events = table(spark, sf, "events")
+    folder = scratch_path(spark, "arrivals")
+    n, at = F.col("event_id"), F.unix_micros(F.col("ts").cast("timestamp"))
+    low, high = events.agg(F.min(at), F.max(at)).first()
+    width = max((high or 0) - (low or 0), 1) // FILES + 1
+    since = at - F.lit(low or 0)
+    stretch = F.floor((since - since % width) / width)
+    part = F.least(stretch + delayed(n, width - since % width).cast("int"), F.lit(FILES - 1))
+    for i in range(FILES):
+        events.where(part == i).orderBy(F.xxhash64(n)).coalesce(1).write.mode("append").parquet(folder)
+    raw = ss.event_files(spark, folder, events.schema, files_per_trigger=1)
     return mbo_of(raw).withColumn("event_time", F.timestamp_micros(F.expr("ts_event div 1000")))
 
 
+def stream(spark, sf):
+    """Half the rows of a stretch's last five minutes are late by one file: state crosses
+    batches and the order of events has to be restored, within the allowed lateness."""
+    return arrivals(spark, sf, lambda n, left: (n % 2 == 0) & (left <= 5 * 60_000_000))
+
+
 def done(df, name, mode="append"):
     return ss.run_to_table(df, scratch_path(df.sparkSession, name), mode)
 
 
+def _passed(ms: int) -> str:
+    """Rows the watermark has passed at the end of the input."""
+    return f"ts_event // 1000000 < (SELECT max(ts_event) // 1000000 FROM mbo) - {ms}"
+
+
 _CLOSED = "(SELECT max(ts) FROM mbo) - INTERVAL 10 MINUTE"
 
 
@@ -76,11 +104,11 @@ def stream_latest_quotes(spark, sf):
     "stream_live_book",
     "instrument sequence bid_size ask_size",
     "best_bid best_ask",
-    f"WITH {ALL_SQL} SELECT instrument, sequence, best_bid, best_ask, CAST(bid_size AS BIGINT) AS bid_size, CAST(ask_size AS BIGINT) AS ask_size FROM bk",
+    f"WITH {ALL_SQL} SELECT instrument, sequence, best_bid, best_ask, CAST(bid_size AS BIGINT) AS bid_size, CAST(ask_size AS BIGINT) AS ask_size FROM bk WHERE {_passed(600_000)}",
 )
 def stream_live_book(spark, sf):
     s = stream(spark, sf).select(*st.EVENT_COLUMNS)
-    return done(st.stateful(s, ["instrument"], st.LiveBook()), "book")
+    return done(st.stateful(s, ["instrument"], st.LiveBook(), late=LATE), "book")
 
 
 @query(
@@ -89,7 +117,7 @@ def stream_live_book(spark, sf):
     "spoofing_score",
     f"""WITH {MBO_SQL}, a AS (SELECT *, count(*) FILTER (action = 'A') OVER (PARTITION BY instrument, order_id ORDER BY ts_event, sequence ROWS UNBOUNDED PRECEDING) AS life FROM mbo),
     l AS (SELECT *, first_value(ts_event) OVER w AS t0, first_value(size) OVER w AS s0 FROM a WINDOW w AS (PARTITION BY instrument, order_id, life ORDER BY ts_event, sequence))
-    SELECT instrument, sequence, s0 AS placed_size, ts_event - t0 AS time_to_cancel, least(1, (259200000000000 - (ts_event - t0)) / 259200000000000) AS spoofing_score FROM l WHERE action = 'C' AND life > 0 AND s0 >= 20 AND ts_event - t0 <= 259200000000000""",
+    SELECT instrument, sequence, s0 AS placed_size, ts_event - t0 AS time_to_cancel, least(1, (259200000000000 - (ts_event - t0)) / 259200000000000) AS spoofing_score FROM l WHERE action = 'C' AND life > 0 AND s0 >= 20 AND ts_event - t0 <= 259200000000000 AND {_passed(3_600_000)}""",
 )
 def stream_spoofing(spark, sf):
     s = stream(spark, sf).select(*st.EVENT_COLUMNS)
@@ -101,7 +129,8 @@ def stream_spoofing(spark, sf):
     "stream_icebergs",
     "instrument sequence replenishment_count visible_size",
     "confidence_score",
-    REGISTRY["iceberg_events"].sql,
+    f"""SELECT i.* FROM ({REGISTRY["iceberg_events"].sql}) AS i
+      JOIN (WITH {MBO_SQL} SELECT sequence FROM mbo WHERE {_passed(3_600_000)}) AS p USING (sequence)""",
 )
 def stream_icebergs(spark, sf):
     s = stream(spark, sf).select(*st.EVENT_COLUMNS)
@@ -114,22 +143,22 @@ def stream_icebergs(spark, sf):
     "instrument sequence imbalance",
     "vwap50 price_mom",
     f"""WITH {MBO_SQL}, t AS (SELECT *, CASE side WHEN 'B' THEN size WHEN 'A' THEN -size ELSE 0 END AS d, coalesce(price - lag(price) OVER ({W}), 0) AS c FROM mbo)
-    SELECT instrument, sequence, CAST(sum(d) OVER {rows(20)} AS BIGINT) AS imbalance, sum(price * size) OVER {rows(50)} / sum(size) OVER {rows(50)} AS vwap50, sum(c) OVER {rows(20)} AS price_mom FROM t""",
+    SELECT instrument, sequence, CAST(sum(d) OVER {rows(20)} AS BIGINT) AS imbalance, sum(price * size) OVER {rows(50)} / sum(size) OVER {rows(50)} AS vwap50, sum(c) OVER {rows(20)} AS price_mom FROM t QUALIFY {_passed(600_000)}""",
 )
 def stream_rolling_tail(spark, sf):
     s = stream(spark, sf).select(*st.EVENT_COLUMNS)
-    return done(st.stateful(s, ["instrument"], st.RollingTail(512)), "tail")
+    return done(st.stateful(s, ["instrument"], st.RollingTail(512), late=LATE), "tail")
 
 
 @query(
     "stream_signal_changes",
     "instrument sequence side previous",
     "",
-    f"WITH {MBO_SQL}, l AS (SELECT *, lag(side) OVER ({W}) AS previous FROM mbo) SELECT instrument, sequence, side, previous FROM l WHERE previous <> side",
+    f"WITH {MBO_SQL}, l AS (SELECT *, lag(side) OVER ({W}) AS previous FROM mbo) SELECT instrument, sequence, side, previous FROM l WHERE previous <> side AND {_passed(600_000)}",
 )
 def stream_signal_changes(spark, sf):
     s = stream(spark, sf).select(*st.EVENT_COLUMNS)
-    return done(st.stateful(s, ["instrument"], st.SignalChanges()), "signals")
+    return done(st.stateful(s, ["instrument"], st.SignalChanges(), late=LATE), "signals")
 
 
 @query(
@@ -156,16 +185,22 @@ def stream_json_ticks(spark, sf):
 
 @query(
     "stream_late_side_output",
-    "kind events",
+    "kind sequence",
     "",
-    "SELECT 'on_time' AS kind, count(*) AS events FROM events",
+    f"""WITH e AS (SELECT event_id, epoch_us(ts) AS us FROM events),
+    b AS (SELECT *, us - min(us) OVER () AS since, (max(us) OVER () - min(us) OVER ()) // {FILES} + 1 AS width FROM e),
+    p AS (SELECT *, least(since // width + CASE WHEN event_id % 50 = 7 THEN 1 ELSE 0 END, {FILES - 1}) AS part FROM b),
+    c AS (SELECT part, max(max(us)) OVER (ORDER BY part ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS newest FROM p GROUP BY part)
+    SELECT CASE WHEN us < newest - 3600000000 THEN 'late' ELSE 'on_time' END AS kind, event_id AS sequence FROM p JOIN c USING (part)""",
 )
 def stream_late_side_output(spark, sf):
+    """One row in fifty comes a file late: those over an hour behind go to the side."""
     path = scratch_path(spark, "late")
-    s = stream(spark, sf)
+    s = arrivals(spark, sf, lambda n, left: n % 50 == 7)
     q = s.writeStream.foreachBatch(sw.LateRouter(path, 3600)).option("checkpointLocation", f"{path}/_cp")
     q.trigger(availableNow=True).start().awaitTermination()
-    return spark.read.parquet(f"{path}/on_time").agg(F.lit("on_time").alias("kind"), F.count(F.lit(1)).alias("events"))
+    kinds = [spark.read.parquet(f"{path}/{k}").select(F.lit(k).alias("kind"), "sequence") for k in ("on_time", "late")]
+    return kinds[0].union(kinds[1])
 
 
 @query(
@@ -175,8 +210,6 @@ def stream_late_side_output(spark, sf):
     f"""WITH {MBO_SQL} SELECT instrument, epoch_us(time_bucket(INTERVAL 15 MINUTE, ts)) AS start_us, CAST(sum(size) AS BIGINT) AS volume, arg_max(price, (ts_event, sequence)) AS close FROM mbo GROUP BY 1, 2""",
 )
 def stream_batch_features(spark, sf):
-    from tickloom.operators.bars import ohlcv
-
     path = scratch_path(spark, "perbatch")
-    sw.per_batch(stream(spark, sf), lambda b: ohlcv(b, "15 minutes"), path, f"{path}-cp").awaitTermination()
-    return spark.read.parquet(path).withColumn("start_us", F.unix_micros("bar_start"))
+    sw.per_batch(stream(spark, sf), lambda b: sw.bar_parts(b, "15 minutes"), path, f"{path}-cp").awaitTermination()
+    return sw.merged_bars(spark.read.parquet(path)).withColumn("start_us", F.unix_micros("bar_start"))

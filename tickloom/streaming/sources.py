@@ -70,7 +70,8 @@ def to_files(df: DataFrame, path: str, checkpoint: str, fmt: str = "parquet", tr
 def run_to_table(df: DataFrame, path: str, output_mode: str = "append") -> DataFrame:
     """Run over the available input and return what was written.
 
-    Update-mode results keep the newest row per batch in ``batch_id``.
+    Update-mode results keep the newest row per batch in ``batch_id``: every batch has a
+    folder of its own that a retry overwrites, so no row is written twice.
     """
     spark = df.sparkSession
     checkpoint = f"{path}/_checkpoint"
@@ -79,7 +80,7 @@ def run_to_table(df: DataFrame, path: str, output_mode: str = "append") -> DataF
     else:
 
         def save(batch: DataFrame, batch_id: int) -> None:
-            batch.withColumn("batch_id", F.lit(batch_id)).write.mode("append").parquet(f"{path}/data")
+            batch.write.mode("overwrite").parquet(f"{path}/data/batch_id={batch_id}")
 
         q = df.writeStream.outputMode(output_mode).foreachBatch(save).option("checkpointLocation", checkpoint)
         q.trigger(availableNow=True).start().awaitTermination()

@@ -32,16 +32,68 @@ def _sorted(rows: Iterator[pd.DataFrame]) -> pd.DataFrame:
     return pd.concat(parts, ignore_index=True).sort_values(["ts_event", "sequence"], kind="stable")
 
 
-class LiveBook(StatefulProcessor):
+class Released(StatefulProcessor):
+    """Applies events in event-time order across micro-batches.
+
+    Rows wait in list state until the watermark has passed them; a timer at each
+    batch's oldest waiting row releases what is due, sorted, to ``apply``. Rows behind
+    the watermark are dropped by it, so the order of arrival never changes a result.
+    Without a watermark (``late=None``) rows are applied as they come.
+    """
+
+    timed = False
+    columns = ["ts_event", "sequence", "action", "side", "order_id", "price", "size"]
+    _kinds = "ts_event long, sequence long, action string, side string, order_id string, price double, size long"
+
+    def wait(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.waiting = handle.getListState("waiting", self._kinds)
+
+    def _empty(self) -> pd.DataFrame:
+        return pd.DataFrame({c.split()[0]: pd.Series(dtype="float64" if c.endswith("double") else "object") for c in self.output.split(", ")})
+
+    def handleInputRows(self, key, rows, timerValues):
+        if not self.timed:
+            yield from self.apply(key, _sorted(rows))
+            return
+        due = None
+        for pdf in rows:
+            self.waiting.appendList([tuple(None if pd.isna(v) else v for v in r) for r in pdf[self.columns].itertuples(index=False, name=None)])
+            first = int(pdf["ts_event"].min() // 1_000_000) + 1
+            due = first if due is None else min(due, first)
+        if due is not None:
+            self.handle.registerTimer(max(due, timerValues.getCurrentWatermarkInMs() + 1))
+        yield self._empty()
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+        mark = timerValues.getCurrentWatermarkInMs()
+        held = pd.DataFrame(list(self.waiting.get()), columns=self.columns)
+        if held.empty:
+            yield self._empty()
+            return
+        ready = held["ts_event"] // 1_000_000 < mark
+        rest = held[~ready]
+        if rest.empty:
+            self.waiting.clear()
+        else:
+            self.waiting.put([tuple(r) for r in rest.astype(object).itertuples(index=False, name=None)])
+            self.handle.registerTimer(max(int(rest["ts_event"].min() // 1_000_000) + 1, mark + 1))
+        if ready.any():
+            yield from self.apply(key, held[ready].sort_values(["ts_event", "sequence"], kind="stable"))
+        else:
+            yield self._empty()
+
+
+class LiveBook(Released):
     """Best bid and ask after each event; a clear empties the book."""
 
     output = "instrument string, ts_event long, sequence long, best_bid double, best_ask double, bid_size long, ask_size long"
 
     def init(self, handle: StatefulProcessorHandle) -> None:
+        self.wait(handle)
         self.levels = handle.getMapState("levels", "side string, price double", "size long")
 
-    def handleInputRows(self, key, rows, timerValues):
-        pdf = _sorted(rows)
+    def apply(self, key, pdf):
         sizes = {"B": {}, "A": {}}
         for (side, price), (size,) in self.levels.iterator():
             sizes[side][price] = size
@@ -81,7 +133,7 @@ class LiveBook(StatefulProcessor):
         pass
 
 
-class OrderLives(StatefulProcessor):
+class OrderLives(Released):
     """Cancels of recently added large orders, scored; orders expire after a while.
 
     Keyed by (instrument, order_id): one small state per live order.
@@ -93,13 +145,13 @@ class OrderLives(StatefulProcessor):
         self.min_size, self.within_ns, self.expire_ms = min_size, within_ns, expire_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
+        self.wait(handle)
         self.order = handle.getValueState("order", "added_ts long, size long")
 
-    def handleInputRows(self, key, rows, timerValues):
+    def apply(self, key, pdf):
         out = []
         state = self.order.get() if self.order.exists() else None
-        for r in _sorted(rows).itertuples(index=False):
+        for r in pdf.itertuples(index=False):
             if r.action == "A":
                 state = (int(r.ts_event), int(r.size))
                 due = int(r.ts_event // 1_000_000) + self.expire_ms
@@ -115,17 +167,17 @@ class OrderLives(StatefulProcessor):
         yield pd.DataFrame(out, columns=cols)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+        yield from super().handleExpiredTimer(key, timerValues, expiredTimerInfo)
         if self.order.exists():
             added = self.order.get()[0] // 1_000_000
             if added + self.expire_ms <= expiredTimerInfo.getExpiryTimeInMs():
                 self.order.clear()
-        yield pd.DataFrame(columns=["instrument", "order_id", "ts_event", "sequence", "placed_size", "time_to_cancel", "spoofing_score"])
 
     def close(self) -> None:
         pass
 
 
-class IcebergCandidates(StatefulProcessor):
+class IcebergCandidates(Released):
     """Large adds repeated at one price inside a window opened by the first of them.
 
     Keyed by (instrument, price).
@@ -138,13 +190,13 @@ class IcebergCandidates(StatefulProcessor):
         self.min_size, self.refills, self.window_ns = min_size, refills, window_ns
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
+        self.wait(handle)
         self.candidate = handle.getValueState("candidate", "first_ts long, last_ts long, n long, visible long, g1 double, g2 double")
 
-    def handleInputRows(self, key, rows, timerValues):
+    def apply(self, key, pdf):
         out = []
         c = self.candidate.get() if self.candidate.exists() else None
-        for r in _sorted(rows).itertuples(index=False):
+        for r in pdf.itertuples(index=False):
             if r.action != "A" or r.size < self.min_size:
                 continue
             if c is None or r.ts_event - c[0] > self.window_ns:
@@ -164,17 +216,17 @@ class IcebergCandidates(StatefulProcessor):
         yield pd.DataFrame(out, columns=self._cols)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+        yield from super().handleExpiredTimer(key, timerValues, expiredTimerInfo)
         if self.candidate.exists():
             first = self.candidate.get()[0]
             if (first + self.window_ns) // 1_000_000 < expiredTimerInfo.getExpiryTimeInMs():
                 self.candidate.clear()
-        yield pd.DataFrame(columns=self._cols)
 
     def close(self) -> None:
         pass
 
 
-class RollingTail(StatefulProcessor):
+class RollingTail(Released):
     """Online features from the last ``n`` rows of a key, kept as list state."""
 
     output = "instrument string, ts_event long, sequence long, imbalance long, vwap50 double, price_mom double, rows long"
@@ -183,10 +235,10 @@ class RollingTail(StatefulProcessor):
         self.n = n
 
     def init(self, handle: StatefulProcessorHandle) -> None:
+        self.wait(handle)
         self.tail = handle.getListState("tail", "price double, size long, side string")
 
-    def handleInputRows(self, key, rows, timerValues):
-        new = _sorted(rows)
+    def apply(self, key, new):
         old = pd.DataFrame(list(self.tail.get()), columns=["price", "size", "side"])
         both = pd.concat([old, new[["price", "size", "side"]]], ignore_index=True)
         sign = both["side"].map({"B": 1, "A": -1}).fillna(0)
@@ -213,18 +265,19 @@ class RollingTail(StatefulProcessor):
         pass
 
 
-class SignalChanges(StatefulProcessor):
+class SignalChanges(Released):
     """A row whenever the side of the newest event differs from the one before."""
 
     output = "instrument string, ts_event long, sequence long, side string, previous string"
 
     def init(self, handle: StatefulProcessorHandle) -> None:
+        self.wait(handle)
         self.last = handle.getValueState("last", "side string")
 
-    def handleInputRows(self, key, rows, timerValues):
+    def apply(self, key, pdf):
         prev = self.last.get()[0] if self.last.exists() else None
         out = []
-        for r in _sorted(rows).itertuples(index=False):
+        for r in pdf.itertuples(index=False):
             if prev is not None and r.side != prev:
                 out.append((key[0], r.ts_event, r.sequence, r.side, prev))
             prev = r.side
@@ -243,6 +296,8 @@ def stateful(df: DataFrame, keys: list[str], processor: StatefulProcessor, late:
     cloudpickle.register_pickle_by_value(sys.modules[__name__])
     if late:
         df = df.withWatermark("event_time", late)
+    if isinstance(processor, Released):
+        processor.timed = bool(late)
     return df.groupBy(*keys).transformWithStateInPandas(
         statefulProcessor=processor, outputStructType=processor.output, outputMode=mode, timeMode="EventTime" if late else "None"
     )

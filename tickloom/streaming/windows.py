@@ -90,8 +90,28 @@ class LateRouter:
         batch.unpersist()
 
 
+def bar_parts(df: DataFrame, rule: str, key: str = "instrument", time: str = "event_time") -> DataFrame:
+    """Mergeable state of the bars of some rows: a bar cut by a micro-batch has a part in each."""
+    at = F.struct(time, "sequence", "price")
+    parts = df.groupBy(key, F.window(time, rule).alias("_w")).agg(
+        F.min(at).alias("first"), F.max(at).alias("last"), F.max("price").alias("high"), F.min("price").alias("low"), F.sum("size").alias("volume")
+    )
+    return parts.select(key, F.col("_w.start").alias("bar_start"), "first", "last", "high", "low", "volume")
+
+
+def merged_bars(parts: DataFrame, key: str = "instrument") -> DataFrame:
+    """Whole bars from the parts of all micro-batches."""
+    return parts.groupBy(key, "bar_start").agg(
+        F.min("first")["price"].alias("open"), F.max("high").alias("high"), F.min("low").alias("low"),
+        F.max("last")["price"].alias("close"), F.sum("volume").alias("volume"),
+    )
+
+
 def per_batch(df: DataFrame, fn, path: str, checkpoint: str):
-    """Run a batch operator on every micro-batch and append its result."""
+    """Run a batch operator on every micro-batch and append its result, one folder a batch.
+
+    The operator must give parts that can be merged on reading, such as ``bar_parts``.
+    """
 
     def save(batch: DataFrame, batch_id: int) -> None:
         fn(batch).write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
