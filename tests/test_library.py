@@ -4,6 +4,7 @@ import glob
 import os
 
 import duckdb
+import pandas as pd
 import pytest
 
 from __spark_entry__ import entry, oracle_sql, queries
@@ -29,9 +30,14 @@ def test_required_columns(spark):
         canonical.with_required(d)
 
 
-def test_large_groups_are_refused(frame):
-    with pytest.raises(ValueError):
-        batches.process_groups(frame, ["instrument"], lambda p: p, frame.schema.simpleString(), limit=100)
+def test_groups_in_one_piece_and_merged(frame, events):
+    schema = "instrument string, n long, most double"
+    whole = lambda p: pd.DataFrame({"instrument": [p.instrument.iloc[0]], "n": [len(p)], "most": [p.price.max()]})
+    merge = lambda p: pd.DataFrame({"instrument": [p.instrument.iloc[0]], "n": [p.n.sum()], "most": [p.most.max()]})
+    one = batches.process_groups(frame, ["instrument"], whole, schema)
+    parts = batches.combine_groups(frame, ["instrument"], whole, merge, schema)
+    want = sorted((k, len(g), g.price.max()) for k, g in events.groupby("instrument"))
+    assert sorted(map(tuple, one.collect())) == want == sorted(map(tuple, parts.collect()))
 
 
 def test_ensemble_weights_must_sum(spark):

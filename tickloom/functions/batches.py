@@ -22,15 +22,38 @@ def process_batches(df: DataFrame, fn: Callable[[pd.DataFrame], pd.DataFrame], s
     return df.mapInPandas(run, schema)
 
 
-def process_groups(df: DataFrame, keys: list[str], fn: Callable[[pd.DataFrame], pd.DataFrame], schema: str, limit: int = 4_000_000) -> DataFrame:
-    """fn over whole groups. Groups are counted first: one beyond ``limit`` rows would not
-    fit a task, and calls for a cell-wise operator instead."""
-    peak = df.groupBy(*keys).count().agg(F.max("count")).first()[0] or 0
-    if peak > limit:
-        raise ValueError(f"largest group has {peak} rows; use rolling_apply or a window operator")
+def process_groups(df: DataFrame, keys: list[str], fn: Callable[[pd.DataFrame], pd.DataFrame], schema: str) -> DataFrame:
+    """fn over whole groups, each in the memory of one task. Where groups may outgrow a
+    task, ``combine_groups`` gives the same for functions that can be merged."""
     return df.groupBy(*keys).applyInPandas(fn, schema)
 
 
+def combine_groups(
+    df: DataFrame,
+    keys: list[str],
+    partial: Callable[[pd.DataFrame], pd.DataFrame],
+    merge: Callable[[pd.DataFrame], pd.DataFrame],
+    schema: str,
+    spread: int = 64,
+) -> DataFrame:
+    """An associative function over groups of any size.
+
+    ``partial`` turns some rows of a group into few rows of ``schema`` (keys included);
+    ``merge`` turns such rows into as few again and may be applied to its own results in
+    any grouping. Groups are never whole in a task: batches are reduced where they are
+    read, then in ``spread`` parts a group, then at last.
+    """
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for _, group in pdf.groupby(keys, dropna=False, sort=False):
+                yield partial(group)
+
+    part = F.pmod(F.spark_partition_id(), F.lit(spread))
+    parts = df.mapInPandas(run, schema).groupBy(*keys, part.alias("_part")).applyInPandas(lambda pdf: merge(pdf), schema)
+    return parts.groupBy(*keys).applyInPandas(lambda pdf: merge(pdf), schema)
+
+
 def rolling_apply(df: DataFrame, order: EventOrder, column: str, n: int, fn: Callable[[pd.Series], float], out: str) -> DataFrame:
     """A user aggregate over the last n rows, NULL until n rows are there."""
 

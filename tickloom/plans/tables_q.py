@@ -16,11 +16,10 @@ from tickloom.sources import inventory as inv
     "parquet_scan_columns",
     "l_orderkey l_linenumber",
     "l_quantity",
-    "SELECT l_orderkey, l_linenumber, l_quantity FROM lineitem WHERE l_shipdate >= TIMESTAMP '1999-01-01'",
+    "SELECT l_orderkey, l_linenumber, l_quantity FROM lineitem",
 )
 def parquet_scan_columns(spark, sf):
-    df = src.read_events(spark, f"{sf}/lineitem.parquet", columns=["l_orderkey", "l_linenumber", "l_quantity", "l_shipdate"])
-    return df.filter(F.col("l_shipdate") >= F.lit("1999-01-01").cast("timestamp_ntz"))
+    return src.read_events(spark, f"{sf}/lineitem.parquet", columns=["l_orderkey", "l_linenumber", "l_quantity"])
 
 
 @query(
@@ -31,7 +30,7 @@ def parquet_scan_columns(spark, sf):
 )
 def parquet_sink_partitioned(spark, sf):
     path = scratch_path(spark, "mbo")
-    src.write_events(mbo(spark, sf).repartition("trade_date"), path, by=["trade_date"])
+    src.write_events(mbo(spark, sf).repartitionByRange("trade_date", "sequence"), path, by=["trade_date"])
     stored = spark.read.parquet(path)
     return stored.groupBy("trade_date", "action").agg(F.count(F.lit(1)).alias("events"), F.sum("size").alias("volume"))
 
@@ -66,10 +65,20 @@ def date_range_load(spark, sf):
     return src.date_range(mbo(spark, sf), "2024-01-05", "2024-01-09")
 
 
-@query("source_date_tag", "events undated", "", "SELECT count(*) AS events, count(*) AS undated FROM events")
+@query(
+    "source_date_tag",
+    "source_date events off_date",
+    "",
+    "SELECT CAST(ts AS DATE) AS source_date, count(*) AS events, 0 AS off_date FROM events GROUP BY 1",
+)
 def source_date_tag(spark, sf):
-    tagged = src.with_source_date(table(spark, sf, "events"))
-    return tagged.agg(F.count(F.lit(1)).alias("events"), F.count_if(F.col("source_date").isNull()).alias("undated"))
+    """One folder a day, the day in its name; rows have to get the day of their own clock."""
+    path = scratch_path(spark, "dated")
+    day = F.date_format("ts", "yyyyMMdd").alias("day")
+    table(spark, sf, "events").select("event_id", F.col("ts").cast("date").alias("own"), day).write.partitionBy("day").parquet(path)
+    tagged = src.with_source_date(spark.read.parquet(path), r"day=(\d{8})", "file_path")
+    off = F.count_if(F.col("source_date") != F.col("own"))
+    return tagged.groupBy("source_date").agg(F.count(F.lit(1)).alias("events"), off.cast("int").alias("off_date"))
 
 
 @query(

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tickloom.functions.canonical import MBO_SCHEMA, canonicalise
+from tickloom.session import pin
 
 PARTITIONS = ("schema", "trade_date")
 
@@ -44,9 +45,9 @@ def write_events(df: DataFrame, path: str, fmt: str = "parquet", by: list[str] |
     writer.save(path)
 
 
-def with_source_date(df: DataFrame, pattern: str = r"(\d{8})") -> DataFrame:
-    """The date in the name of the file each row came from."""
-    name = F.regexp_extract(F.col("_metadata.file_name"), pattern, 1)
+def with_source_date(df: DataFrame, pattern: str = r"(\d{8})", part: str = "file_name") -> DataFrame:
+    """The date in the name (or, with ``part="file_path"``, the path) of the file each row came from."""
+    name = F.regexp_extract(F.col(f"_metadata.{part}"), pattern, 1)
     return df.select("*", F.try_to_timestamp(F.nullif(name, F.lit("")), F.lit("yyyyMMdd")).cast("date").alias("source_date"))
 
 
@@ -74,20 +75,25 @@ def materialise(
     trading_hours_only: bool = False,
 ) -> DataFrame:
     """Raw events to a stored feature table, one job for all dates; stored dates are
-    skipped. Returns the stored table."""
+    skipped. Returns the stored table.
+
+    A date counts as stored once a marker next to the table names it. Markers follow the
+    data and a rerun overwrites the dates it writes, so what a failed job left is replaced."""
     from tickloom.operators.filters import trading_hours
 
     events = canonicalise(raw)
     if trading_hours_only:
         events = trading_hours(events)
+    marks = f"{path}/_stored_dates/{schema_name}"
     try:
-        done = spark.read.parquet(path).filter(F.col("schema") == schema_name).select("trade_date")
-        events = missing_partitions(events, done, ["trade_date"])
+        events = missing_partitions(events, spark.read.parquet(marks), ["trade_date"])
     except Exception as e:  # nothing stored yet
         if "PATH_NOT_FOUND" not in str(e):
             raise
     out = build(events).withColumn("schema", F.lit(schema_name))
-    write_events(out, path, by=list(PARTITIONS), mode="append")
+    new = pin(events.select("trade_date").distinct())  # before the markers change what is missing
+    write_events(out, path, by=list(PARTITIONS), mode="overwrite")
+    new.write.mode("append").parquet(marks)
     return spark.read.parquet(path).filter(F.col("schema") == schema_name)
 
 
