@@ -8,30 +8,32 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tickloom.llm import language, near_duplicates, packing, quality
-from tickloom.llm.frames import with_result
+from tickloom.llm.frames import by_position, kept_rows, position
 from tickloom.llm.queries import language_model, quality_model, table, tokenizer_path
 from tickloom.session import scratch_path, ship_package
 
-VERDICT = "__verdict__"
-
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents the quality classifier predicts 1; the model is that of the query, fitted on the supplied labels."""
     model = quality_model(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
-    scored = with_result(docs, **{VERDICT: quality.quality_score(F.col("text"), spark.sparkContext.broadcast(model))})
-    return scored.where(F.col(VERDICT) >= quality.THRESHOLD).drop(VERDICT)
+    held = spark.sparkContext.broadcast(model)
+    return kept_rows(docs, "text", lambda text: quality.quality_score(text, held) >= quality.THRESHOLD)
 
 
 def keep_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents of a learned language; those without letters, or that no codeword fits clearly, go."""
     model = language_model(table(spark, sf_dir, "documents"))
-    named = with_result(docs, **{VERDICT: language.predict(F.col("text"), model, spark.sparkContext.broadcast(model))})
-    verdict = F.col(VERDICT)
-    return named.where((verdict["lang_pred"] != language.UNKNOWN) & (verdict["score"] >= language.UNCLEAR)).drop(VERDICT)
+    held = spark.sparkContext.broadcast(model)
+
+    def clear(text: Column) -> Column:
+        said = language.predict(text, held)
+        return (said["lang_pred"] != language.UNKNOWN) & (said["score"] >= language.UNCLEAR)
+
+    return kept_rows(docs, "text", clear)
 
 
 def keep_one(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -40,9 +42,10 @@ def keep_one(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Rows with a null id stay; of rows that repeat an id one stays.
     """
     found = near_duplicates.near_duplicates(docs, words=5, percent=80)
-    kept = found.where("kept").select(F.col("doc_id").alias(VERDICT)).distinct()
-    named = docs.join(kept, docs["doc_id"] == kept[VERDICT], "left_semi").dropDuplicates(["doc_id"])
-    return named.unionByName(docs.where(F.col("doc_id").isNull()))
+    kept = found.where(F.col("kept") & F.col("doc_id").isNotNull()).select(F.col("doc_id").alias("kept_id")).distinct()
+    flat, own = by_position(docs), F.col(f"_{position(docs, 'doc_id')}")
+    chosen = flat.join(kept, own == F.col("kept_id")).dropDuplicates(["kept_id"]).drop("kept_id")
+    return chosen.union(flat.where(own.isNull())).toDF(*docs.columns)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

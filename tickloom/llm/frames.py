@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tickloom.session import ship_package
@@ -14,32 +14,30 @@ from tickloom.session import ship_package
 BLOCK_BYTES = 2 << 20
 
 
-def pick(df: DataFrame, **names: str) -> DataFrame:
-    """``df`` cut down to ``new=old`` columns.
+def position(df: DataFrame, name: str) -> int:
+    """Where a column stands: the exact spelling wins over one that differs in case, the first over repeats."""
+    for same in (lambda c: c == name, lambda c: c.lower() == name.lower()):
+        for i, c in enumerate(df.columns):
+            if same(c):
+                return i
+    raise ValueError(f"no column {name!r} among {df.columns}")
 
-    The exact spelling wins over one that differs in case, and the first of repeated
-    names wins, so extra columns with clashing names never make a reference ambiguous.
-    """
+
+def by_position(df: DataFrame) -> DataFrame:
+    """``df`` with its columns named ``_0``, ``_1``, ...: extra columns with clashing names
+    never make a reference ambiguous."""
     ship_package(df.sparkSession)
-    flat = df.toDF(*[f"_{i}" for i in range(len(df.columns))])
+    return df.toDF(*[f"_{i}" for i in range(len(df.columns))])
 
-    def at(old: str) -> int:
-        for same in (lambda c: c == old, lambda c: c.lower() == old.lower()):
-            for i, c in enumerate(df.columns):
-                if same(c):
-                    return i
-        raise ValueError(f"no column {old!r} among {df.columns}")
 
-    return flat.select(*[F.col(f"_{at(old)}").alias(new) for new, old in names.items()])
+def pick(df: DataFrame, **names: str) -> DataFrame:
+    """``df`` cut down to ``new=old`` columns."""
+    return by_position(df).select(*[F.col(f"_{position(df, old)}").alias(new) for new, old in names.items()])
 
 
-def with_result(df: DataFrame, **extra) -> DataFrame:
-    """``df`` with added columns under names that no column of ``df`` has, whatever its case."""
-    taken = {c.lower() for c in df.columns}
-    clash = taken & {c.lower() for c in extra}
-    if clash:
-        raise ValueError(f"reserved column names in the input: {sorted(clash)}")
-    return df.withColumns(extra)
+def kept_rows(df: DataFrame, name: str, condition: Callable[[Column], Column]) -> DataFrame:
+    """Rows of ``df``, with its columns as they are, whose column ``name`` meets ``condition``."""
+    return by_position(df).where(condition(F.col(f"_{position(df, name)}"))).toDF(*df.columns)
 
 
 def texts_of(column: pa.Array) -> Iterator[str]:

@@ -25,13 +25,15 @@ SKIPPED = frozenset("script style template noscript svg math iframe object canva
 RAW = frozenset("script style textarea title".split())
 BOILER = frozenset("nav footer aside form dialog menu fieldset".split())
 MAIN = frozenset("article main".split())
+SECTIONS = frozenset("article main section aside nav footer form div".split())
 HEADING = frozenset("h1 h2 h3 h4 h5 h6".split())
 # Words in class, id and role that name page furniture
 FURNITURE = frozenset(
     "ad ads advert adverts advertisement advertising sponsor sponsored promo promoted promotion banner cookie cookies consent gdpr notice notices alert alerts"
     " sidebar side aside menu nav navbar navigation breadcrumb breadcrumbs header masthead topbar footer bottom copyright legal comment comments reply replies"
     " respond discussion disqus share sharing social related recommended newsletter subscribe subscription signup login popup modal overlay search widget"
-    " widgets pagination pager contentinfo complementary toolbar skip hidden paywall toc tags".split()
+    " widgets pagination pager contentinfo complementary toolbar skip hidden paywall toc tags commentlist usercomments adbox adslot infobar banners"
+    " notification notifications warning warnings disclaimer promobox sponsorship".split()
 )
 # Frequent words of English, German, French and Spanish
 STOP = frozenset(
@@ -158,7 +160,7 @@ def blocks_of(html: str) -> list[Block]:
             if not (name not in ("html", "body") and _furniture(attributes, stack[-1][2])):
                 continue
         _, furniture, main, section = stack[-1]
-        sectioning = name in ("article", "main", "section", "aside", "nav", "header", "footer", "form", "div")
+        sectioning = name in SECTIONS or name == "header" and not main
         if sectioning:
             sections += 1
         boiler = name in BOILER or (name == "header" and not main) or name not in MAIN and _furniture(attributes, main)
@@ -201,12 +203,15 @@ def labelled(blocks: list[Block]) -> list[bool]:
     for i, label in enumerate(first):
         if label is None:
             b, a = before[i], after[i]
-            own = [j for j in ((a, b) if blocks[i].heading else (b, a)) if j >= 0 and blocks[j].section == blocks[i].section]
-            near = own or [j for j in (b, a) if j >= 0]
+            heading = blocks[i].heading
+            near = [j for j in ((a, b) if heading else (b, a)) if j >= 0]
+            own = [j for j in near if blocks[j].section == blocks[i].section]
             if not near:
                 label = blocks[i].links / len(blocks[i].text) <= LINK_HIGH
-            elif own or blocks[i].heading:
-                label = first[near[0]] if blocks[i].heading else first[min(near, key=lambda j: abs(j - i))]
+            elif heading:
+                label = first[(own or near)[0]]
+            elif own:
+                label = first[min(own, key=lambda j: abs(j - i))]
             else:
                 label = blocks[i].main or all(first[j] for j in near)
         out.append(label)

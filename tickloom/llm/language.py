@@ -148,12 +148,11 @@ def train(labelled: DataFrame, per_language: int = SAMPLE_PER_LANGUAGE) -> Langu
     return fit(x, np.array([languages.index(r["lang"]) for r in got]), languages)
 
 
-def predict(text: Column, model: LanguageModel, broadcast) -> Column:
+def predict(text: Column, broadcast) -> Column:
     """Struct: lang_pred, score (its probability), ambiguous.
 
     A null text, and one without any letter, is ``und`` with score 0.
     """
-    del model
 
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         model = broadcast.value
@@ -166,7 +165,7 @@ def predict(text: Column, model: LanguageModel, broadcast) -> Column:
                     has[i] = any(c.isalpha() for c in data[offsets[i] : offsets[i + 1]].tobytes().decode("utf-8"))
                 p = model.scores(data, offsets) if model.languages else np.zeros((len(has), 1))
                 best.append(p.argmax(axis=1))
-                score.append(np.where(has, p.max(axis=1), 0.0))
+                score.append(np.where(has, np.round(p.max(axis=1), 6), 0.0))  # the last bits depend on the block
                 known.append(has & bool(model.languages))
             known, best, score = (np.concatenate(x) if x else np.zeros(0) for x in (known, best, score))
             names = np.array([*model.languages, UNKNOWN], dtype=object)
@@ -184,4 +183,4 @@ def language_of(df: DataFrame, model: LanguageModel, id_col: str = "doc_id", tex
     """
     docs = pick(df, doc_id=id_col, text=text_col)
     held = df.sparkSession.sparkContext.broadcast(model)
-    return docs.select("doc_id", predict(F.col("text"), model, held).alias("p")).select("doc_id", "p.*")
+    return docs.select("doc_id", predict(F.col("text"), held).alias("p")).select("doc_id", "p.*")

@@ -227,7 +227,7 @@ def licence_scan(df: DataFrame, model: LicenceModel, id_col: str = "doc_id", tex
     null ids stay; repeated rows repeat; an empty table gives no rows; only id and text are read.
     """
     docs = pick(df, doc_id=id_col, text=text_col)
-    filled = F.filter(F.split(F.lower(F.coalesce("text", F.lit(""))), "\n"), lambda p: F.length(F.trim(p)) > 0)
+    filled = F.filter(F.split(F.lower(F.coalesce("text", F.lit(""))), "\n"), lambda p: p.rlike(r"\S"))
     split = F.transform("lines", lambda p: F.filter(F.split(p, APART), lambda w: w != ""))
     marked = F.filter(split, lambda ws: F.exists(ws, lambda w: w.isin(*model.anchors)))
     named = F.filter(_paragraph_verdicts(F.col("marked"), model), lambda v: v["licence"] != NONE)

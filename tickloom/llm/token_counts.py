@@ -125,7 +125,7 @@ class Counter:
         # " word" pre-tokens can stand side by side in one text: each opens with the only space it has
         side = [p for p in missing if p[0] == " " and len(p) > 1 and not p[1].isspace()]
         if side:
-            ids = self.tokenizer.encode("".join(side), add_special_tokens=False).ids
+            ids = self.tokenizer.encode_batch_fast(["".join(side)], add_special_tokens=False)[0].ids
             starts = np.flatnonzero(self.opens[ids])
             if len(starts) == len(side):
                 self.memo.update(zip(side, np.diff(np.append(starts, len(ids))).tolist()))
