@@ -40,6 +40,18 @@ def kept_rows(df: DataFrame, name: str, condition: Callable[[Column], Column]) -
     return by_position(df).where(condition(F.col(f"_{position(df, name)}"))).toDF(*df.columns)
 
 
+def few_by_hash(df: DataFrame, *columns: str, count: int) -> DataFrame:
+    """``count`` rows (all, if fewer) with the smallest hashes of ``columns``, ordered by them.
+
+    Rows are thinned by the hash before they are sorted, so that all tasks together, and
+    not each of them, send about that many to the driver.
+    """
+    share = min(1.0, (2 * count + 100) / max(df.count(), 1))
+    hashed = df.withColumn("_hash", F.xxhash64(*columns))
+    thin = hashed.where(F.pmod("_hash", F.lit(1 << 30)) < int(share * (1 << 30)) + 1)
+    return thin.orderBy(F.pmod("_hash", F.lit(1 << 30)), "_hash").limit(count).drop("_hash")
+
+
 def texts_of(column: pa.Array) -> Iterator[str]:
     """Python strings one at a time; null reads as empty."""
     for value in column:

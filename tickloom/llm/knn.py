@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tickloom.llm.frames import pick
+from tickloom.llm.frames import few_by_hash, pick
 from tickloom.session import pin
 
 PIVOTS = 48
@@ -112,7 +112,7 @@ def top_products(df: DataFrame, every: int = 50, k: int = 5, scale: int = 256, i
     if not shape["n"]:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
     width = shape["w"]
-    first = vectors.select("v", F.xxhash64("v").alias("h")).orderBy("h").limit(4 * PIVOTS).collect()
+    first = few_by_hash(vectors, "vec_id", "v", count=4 * PIVOTS).collect()
     chosen = list(dict.fromkeys(tuple(r["v"]) for r in first))[:PIVOTS]
     points = np.array([list(p) + [0] * (width - len(p)) for p in chosen], dtype=np.float64)
     bare = Cells(np.zeros((1, width + 1)), float(shape["m"]))

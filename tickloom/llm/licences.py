@@ -19,7 +19,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tickloom.llm.frames import pick
+from tickloom.llm.frames import few_by_hash, pick
 
 SAMPLE_DOCUMENTS = 400
 SAMPLE_BYTES = 65_536
@@ -172,10 +172,10 @@ def fit(background: list[str], seed: int = 3, steps: int = 300, sparse: float =
     return LicenceModel(classes, {vocabulary[i]: tuple(float(v) for v in np.round(w[i], 5)) for i in kept}, tuple(float(v) for v in np.round(b, 5)), float(heats[int(np.argmin(loss))]), anchors)
 
 
-def train(df: DataFrame, text_col: str = "text", sample: int = SAMPLE_DOCUMENTS) -> LicenceModel:
-    """Fit with the lines of at most ``sample`` documents as background, chosen by a hash of the text."""
-    docs = pick(df, text=text_col).where(F.length("text") > 0).where(F.octet_length("text") <= SAMPLE_BYTES)
-    few = docs.select("text", F.xxhash64("text").alias("h")).orderBy("h").limit(sample).collect()
+def train(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE_DOCUMENTS) -> LicenceModel:
+    """Fit with the lines of at most ``sample`` documents as background, chosen by a hash of the row."""
+    docs = pick(df, doc_id=id_col, text=text_col).where(F.length("text") > 0).where(F.octet_length("text") <= SAMPLE_BYTES)
+    few = few_by_hash(docs, "doc_id", "text", count=sample).collect()
     return fit([line for r in few for line in r["text"].split("\n")][: 20 * sample])
 
 
