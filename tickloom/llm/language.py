@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from tickloom.llm.frames import BLOCK_BYTES, byte_blocks, pick
 
 FEATURE_BITS = 13
-SAMPLE_PER_LANGUAGE = 1_500
+SAMPLE_TEXTS = 3_200
 STEPS = 200
 AMBIGUOUS = 0.6
 UNCLEAR = 0.3  # below this no language is accepted where texts are filtered
@@ -112,8 +112,9 @@ def fit(vectors: np.ndarray, classes: np.ndarray, languages: tuple[str, ...], st
     return LanguageModel(languages, code, w[:-1], w[-1].astype(float), np.maximum(right, 0.5) / np.maximum(right, 0.5).sum() * code.shape[1])
 
 
-def train(labelled: DataFrame, per_language: int = SAMPLE_PER_LANGUAGE) -> LanguageModel:
-    """Fit on rows (key, text, lang): at most ``per_language`` whole texts of each language, chosen by a hash of the key.
+def train(labelled: DataFrame, texts: int = SAMPLE_TEXTS) -> LanguageModel:
+    """Fit on rows (key, text, lang): at most ``texts`` whole texts, an equal share of each
+    language (or all it has), chosen by a hash of the key.
 
     Rows without language, text or letters are left out. The sample's n-gram vectors are
     computed in tasks; only they (bounded by the parameter) reach the driver.
@@ -124,6 +125,7 @@ def train(labelled: DataFrame, per_language: int = SAMPLE_PER_LANGUAGE) -> Langu
     counts = {r["lang"]: r["n"] for r in few.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
     if not counts:
         return LanguageModel((), np.ones((0, 1)), np.zeros((1 << FEATURE_BITS, 1), np.float32), np.zeros(1), np.ones(1))
+    per_language = max(1, texts // len(counts))
     # a hash threshold keeps a little more than the sample, so that the window sorts few rows
     share = F.create_map(*[x for a, n in counts.items() for x in (F.lit(a), F.lit(min(1.0, 1.5 * per_language / n + 50 / n)))])
     near = (F.pmod("_h", F.lit(1 << 20)) / float(1 << 20)) < share[F.col("lang")]
