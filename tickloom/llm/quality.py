@@ -176,16 +176,18 @@ def text_scores(data: np.ndarray, offsets: np.ndarray, model: LineField) -> np.n
     total = np.concatenate([[0.0], np.cumsum(good * (ends - starts))])
     size = np.concatenate([[0], np.cumsum(ends - starts)])
     n = size[first[1:]] - size[first[:-1]]
-    return np.clip(np.where(n > 0, (total[first[1:]] - total[first[:-1]]) / np.maximum(n, 1), 0.0), 0.0, 1.0)
+    mean = np.where(n > 0, (total[first[1:]] - total[first[:-1]]) / np.maximum(n, 1), 0.0)
+    return np.clip(np.round(mean, 6), 0.0, 1.0)  # the last bits depend on the other texts of a block
 
 
-def train(labelled: DataFrame, documents: int = SAMPLE_DOCUMENTS, most_bytes: int = SAMPLE_BYTES) -> LineField:
-    """Fit on rows (key, text, label): at most ``documents`` whole texts of each label, chosen by a hash of the key.
+def train(docs: DataFrame, labels: DataFrame, documents: int = SAMPLE_DOCUMENTS, most_bytes: int = SAMPLE_BYTES) -> LineField:
+    """Fit on rows (key, text) and (key, label): at most ``documents`` whole texts of each label, chosen by a hash of the key.
 
-    Texts over ``most_bytes`` bytes are left to other rows; features are computed in tasks.
+    Texts over ``most_bytes`` bytes are left to other rows; features are computed in
+    tasks. Keys are chosen before texts are read, so no other text is moved.
     """
-    rows = labelled.where(F.col("label").isin(0, 1) & (F.octet_length("text") <= most_bytes) & (F.length("text") > 0))
-    few = rows.select("key", "label", F.xxhash64("key").alias("_h"))
+    fit_for = docs.where((F.octet_length("text") <= most_bytes) & (F.length("text") > 0))
+    few = fit_for.select("key").join(labels.where(F.col("label").isin(0, 1)), "key").select("key", "label", F.xxhash64("key").alias("_h"))
     counts = {r["label"]: r["n"] for r in few.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
     if len(counts) < 2:
         return LineField(np.zeros(WIDTH, np.float32), 8.0 if 1 in counts else -8.0 if 0 in counts else 0.0, (0.0, 0.0))
@@ -194,7 +196,7 @@ def train(labelled: DataFrame, documents: int = SAMPLE_DOCUMENTS, most_bytes: in
         near = near | ((F.col("label") == label) & (F.pmod("_h", F.lit(1 << 20)) < int((1 << 20) * min(1.0, 1.5 * documents / n + 50 / n))))
     order = Window.partitionBy("label").orderBy("_h", "key")
     chosen = few.where(near).withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= documents)
-    sample = rows.join(F.broadcast(chosen.select("key", "label").distinct()), ["key", "label"])
+    sample = fit_for.join(F.broadcast(chosen.select("key", "label").distinct()), "key")
 
     def measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -53,8 +53,8 @@ def op4_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def quality_model(docs: DataFrame, labels: DataFrame) -> quality.LineField:
     """Fitted on labelled documents outside fold 0 of 5."""
-    marked = labels.where(_fold(5) != 0).select("doc_id", F.col("quality").cast("int").alias("label"))
-    return quality.train(docs.select("doc_id", "text").join(marked, "doc_id").select(F.col("doc_id").alias("key"), "text", "label"))
+    marked = labels.where(_fold(5) != 0).select(F.col("doc_id").alias("key"), F.col("quality").cast("int").alias("label"))
+    return quality.train(docs.select(F.col("doc_id").alias("key"), "text"), marked)
 
 
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
