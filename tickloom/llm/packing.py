@@ -16,9 +16,11 @@ a pass that reaches ceil(total / capacity) is optimal.
 
 from __future__ import annotations
 
+import re
 import zlib
 from bisect import bisect_right
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -29,7 +31,8 @@ from tickloom.llm.frames import pick, texts_of
 from tickloom.llm.token_counts import blocks, library, stand_ins
 from tickloom.session import pin
 
-MEMO_ENTRIES = 300_000
+MEMO_ENTRIES = 200_000
+MARKS, LATIN_END = ".,", "\u0250"
 SEARCH_NODES = 4_000
 BUCKET_ROWS = 50_000
 PIECE = "struct<piece:int,start:bigint,length:bigint,ids_crc32:bigint>"
@@ -38,50 +41,83 @@ PIECE = "struct<piece:int,start:bigint,length:bigint,ids_crc32:bigint>"
 class ByteLevelIds:
     """Ids of texts as little-endian 32-bit bytes, in one Python worker.
 
-    A byte-level vocabulary never merges across a space that follows a character other
-    than white space or precedes one, so what stands between such spaces is encoded once
-    and reused while the memo holds it. Other texts go to the library whole.
+    A byte-level vocabulary never merges across a space or a line break between two
+    characters other than white space, so what stands between them is encoded once and
+    reused. The memo fills with the first, and so mostly the frequent, pieces; when it is
+    full, others are encoded per block. Texts with longer runs of white space go to the
+    library whole.
     """
 
     def __init__(self, path: str) -> None:
-        import re
-
         self.tokenizer = library(path)
-        self.memo: dict[str, bytes] = {}
-        self.unsafe = re.compile(r"\s (?:\s|\Z)").search
-        space = next(c for c, b in stand_ins().items() if b == 32)
+        self.unsafe = re.compile(r"\s\s(?:\s|\Z)").search
+        of = {b: c for c, b in stand_ins().items()}
         self.opens = np.zeros(self.tokenizer.get_vocab_size(), dtype=bool)
         for token, i in self.tokenizer.get_vocab().items():
-            self.opens[i] = token.startswith(space)
+            self.opens[i] = token.startswith(of[32])
+        self.line, *self.marks = self.whole(["\n", *MARKS])
+        self.breaks = int(np.frombuffer(self.line, "<u4")[0])
+        self.memo: dict[str, bytes] = {}
 
     def whole(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, dtype="<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _learn(self, parts: list[str]) -> None:
-        """Ids of " " + part for parts not in the memo."""
-        side = [p for p in parts if p and not p[0].isspace() and not p[-1].isspace()]
-        if side:
-            ids = np.array(self.tokenizer.encode(" " + " ".join(side), add_special_tokens=False).ids, dtype="<u4")
-            starts = np.flatnonzero(self.opens[ids])
-            if len(starts) == len(side):
-                raw, edges = ids.tobytes(), [*(starts * 4).tolist(), len(ids) * 4]
-                self.memo.update((p, raw[a:b]) for p, a, b in zip(side, edges, edges[1:]))
-        apart = [p for p in parts if p not in self.memo]
+    def _side_by_side(self, parts: list[str], joined: str, starts) -> dict[str, bytes]:
+        """Parts encoded as one text; ``starts`` finds where each begins. Empty if they do not fall apart again."""
+        ids = np.array(self.tokenizer.encode_batch_fast([joined], add_special_tokens=False)[0].ids, dtype="<u4")
+        at = starts(ids)
+        if len(at) != len(parts):
+            return {}
+        raw, edges = ids.tobytes(), [*(at * 4).tolist(), len(ids) * 4]
+        return {p: raw[a:b] for p, a, b in zip(parts, edges, edges[1:])}
+
+    def _learn(self, missing: set[str]) -> dict[str, bytes]:
+        """Ids of pieces: " " + piece, or the piece itself if it opens with a line break."""
+        # a sentence mark after a letter is a pre-token of its own
+        ended = {p: p[:-1] for p in missing if len(p) > 1 and p[-1] in MARKS and p[-2].isalpha() and p[-2] < LATIN_END}
+        memo = self.memo
+        plain = (missing - ended.keys()) | {q for q in ended.values() if q not in memo}
+        clear = [p for p in plain if p and not p[-1].isspace()]
+        spaced = [p for p in clear if not p[0].isspace()]
+        bare = [p for p in clear if p[0] == "\n" and not p[1].isspace()]
+        out: dict[str, bytes] = {}
+        if spaced:
+            out = self._side_by_side(spaced, " " + " ".join(spaced), lambda ids: np.flatnonzero(self.opens[ids]))
+        if bare:
+            out |= self._side_by_side(bare, "".join(bare), lambda ids: np.flatnonzero(ids == self.breaks))
+        apart = [p for p in plain if p not in out]
         if apart:
-            self.memo.update(zip(apart, self.whole([f" {p}" for p in apart])))
+            out.update(zip(apart, self.whole([p if p[:1] == "\n" else f" {p}" for p in apart])))
+        mark = dict(zip(MARKS, self.marks))
+        out.update((p, (memo.get(q) or out[q]) + mark[p[-1]]) for p, q in ended.items())
+        return out
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        split = [None if self.unsafe(t) else t.split(" ") for t in texts]
-        rest = [s[1:] for s in split if s]
-        missing = set().union(*rest).difference(self.memo)
-        if len(self.memo) + len(missing) > MEMO_ENTRIES:
-            self.memo.clear()
-            missing = set().union(*rest)
+        split = [None if self.unsafe(t) else t.replace("\n", " \n").split(" ") for t in texts]
+        heads = self.whole([s[0] if s else t for s, t in zip(split, texts)])
+        rest = [s[1:] if s else () for s in split]
+        distinct = set().union(*rest)
+        missing = distinct.difference(self.memo)
+        more: dict[str, bytes] = {}
         if missing:
-            self._learn(list(missing))
-        heads = iter(self.whole([s[0] if s else t for s, t in zip(split, texts)]))
+            if len(self.memo) + len(missing) > MEMO_ENTRIES and 2 * len(missing) > len(distinct):
+                self.memo.clear()  # it fits these texts no more
+                missing = distinct
+            more = self._learn(missing)
+            if len(self.memo) + len(more) <= MEMO_ENTRIES:
+                self.memo.update(more)
+                more = {}
+        if more:
+            of, new = self.memo.get, more.__getitem__
+            return [h + b"".join([of(p) or new(p) for p in r]) for h, r in zip(heads, rest)]
         of = self.memo.__getitem__
-        return [next(heads) + b"".join(map(of, s[1:])) if s else next(heads) for s in split]
+        return [h + b"".join(map(of, r)) for h, r in zip(heads, rest)]
+
+
+@lru_cache(maxsize=2)
+def id_coder(path: str) -> ByteLevelIds:
+    """One coder a worker process: what a task learned serves the next."""
+    return ByteLevelIds(path)
 
 
 def token_pieces(text: Column, path: str, most: int, end_id: int) -> Column:
@@ -90,7 +126,7 @@ def token_pieces(text: Column, path: str, most: int, end_id: int) -> Column:
     kind = pa.struct([("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())])
 
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        coder = ByteLevelIds(path)
+        coder = id_coder(path)
         for column in batches:
             counts, starts, lengths, sums = [], [], [], []
             for block in blocks(texts_of(column)):
