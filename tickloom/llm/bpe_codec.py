@@ -15,6 +15,7 @@ from __future__ import annotations
 import hashlib
 import json
 from collections.abc import Iterator
+from functools import lru_cache
 from typing import NamedTuple
 
 import numpy as np
@@ -72,18 +73,22 @@ class Codec:
         decoded = self.tokenizer.decode_batch(ids, skip_special_tokens=False) if self.joins else [""] * len(ids)
         return [Coded(len(i), " ".join(map(self.decimal.__getitem__, i)), d) for i, d in zip(ids, decoded)]
 
-    def joinable(self, left: str, right: str) -> bool:
-        """Does a cut at the space between two non-empty sides leave the ids as they are?"""
-        pair = left[-1] + right[0]
+    def joinable(self, left: str, right: str, between: str = " ") -> bool:
+        """Does a cut between two non-empty sides leave the ids as they are?
+
+        Asked of the library with the characters next to the cut, once for each pair.
+        """
+        pair = left[-1] + between + right[0]
         if pair not in self.agrees:
-            ids = [e.ids for e in self.tokenizer.encode_batch_fast([f"{pair[0]} {pair[1]}", pair[0], f" {pair[1]}", pair[1]], add_special_tokens=False)]
+            texts = [pair, pair[0], between + right[0], right[0]]
+            ids = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
             self.agrees[pair] = ids[0] == ids[1] + ids[2] == ids[1] + ids[3]
         return self.agrees[pair]
 
     def repaired(self, sides: list[str]) -> list[str]:
         """``sides`` with every join that does not agree taken out again."""
         agrees = self.agrees
-        if "" not in sides and all(agrees.get(a[-1] + b[0]) for a, b in zip(sides, sides[1:])):
+        if "" not in sides and all(agrees.get(f"{a[-1]} {b[0]}") for a, b in zip(sides, sides[1:])):
             return sides
         out = sides[:1]
         for side in sides[1:]:
@@ -94,8 +99,12 @@ class Codec:
         return out
 
     def join(self, parts: list[Coded]) -> Coded:
-        held = [p for p in parts if p.n]
-        return Coded(sum(p.n for p in held), " ".join([p.ids for p in held]), " ".join([p.text for p in held]))
+        if not parts:
+            return Coded(0, "", "")
+        n, ids, texts = zip(*parts)
+        if 0 in n:  # nothing is joined to what has no ids
+            return self.join([p for p in parts if p.n]) if any(n) else Coded(0, "", "")
+        return Coded(sum(n), " ".join(ids), " ".join(texts))
 
     def encode(self, texts: list[list[str]]) -> list[Coded]:
         """Codes of texts given as their chunks (cut at spaces)."""
@@ -105,23 +114,58 @@ class Codec:
             self.chunks.clear()
             new = {c for chunks in texts for c in chunks}
         split = {c: self.repaired(c.split(" ")) for c in new}
-        missing = set().union(*split.values()).difference(self.pieces)
-        if len(self.pieces) + len(missing) > PIECE_MEMO:
-            self.pieces.clear()
-            missing = set().union(*split.values())
-        if missing:
-            missing = list(missing)
-            self.pieces.update(zip(missing, self.library_codes(missing)))
-        of = self.pieces.__getitem__
-        self.chunks.update((c, self.join([of(p) for p in pieces])) for c, pieces in split.items())
+        distinct = set().union(*split.values())
+        missing = distinct.difference(self.pieces)
+        if len(self.pieces) + len(missing) > PIECE_MEMO and 2 * len(missing) > len(distinct):
+            self.pieces.clear()  # it fits these texts no more
+            missing = distinct
+        more = self.learned(missing)
+        if len(self.pieces) + len(more) <= PIECE_MEMO:
+            self.pieces.update(more)
+            more = {}
+        if more:
+            of, fresh = self.pieces.get, more.get
+            self.chunks.update((c, self.join([of(p) or fresh(p) for p in pieces])) for c, pieces in split.items())
+        else:
+            of = self.pieces.__getitem__
+            self.chunks.update((c, self.join(list(map(of, pieces)))) for c, pieces in split.items())
         return [self.join([self.chunks[c] for c in chunks]) for chunks in texts]
 
+    def parts(self, piece: str) -> list[str] | None:
+        """Where a new piece may be cut once more: at line breaks and before a closing mark."""
+        sides = piece.split("\n")
+        if len(sides) > 1:
+            if "" not in sides and all(self.joinable(a, b, "\n") for a, b in zip(sides, sides[1:])):
+                return sides
+        elif len(piece) > 1 and piece[-1] in ".," and piece[-2].isalpha() and self.joinable(piece[:-1], piece[-1], ""):
+            return [piece[:-1], piece[-1]]
+        return None
+
+    def learned(self, missing: set[str]) -> dict[str, Coded]:
+        """Codes of new pieces; all that cannot be joined from known ones go to the library in one batch."""
+        levels = []
+        for _ in range(2):  # lines first, then the marks that close them
+            cut = {p: parts for p in missing if (parts := self.parts(p))}
+            levels.append(cut)
+            missing = (missing - cut.keys()) | {q for parts in cut.values() for q in parts if q not in self.pieces}
+        last = list(missing)
+        out = dict(zip(last, self.library_codes(last))) if last else {}
+        for cut in reversed(levels):
+            out.update((p, self.join([self.pieces.get(q) or out[q] for q in parts])) for p, parts in cut.items())
+        return out
+
     def decoded(self, code: Coded) -> str:
         if self.joins:
             return code.text
         return self.tokenizer.decode([int(i) for i in code.ids.split()], skip_special_tokens=False)
 
 
+@lru_cache(maxsize=2)
+def codec_of(path: str) -> Codec:
+    """One codec a worker process: what a task learned serves the next."""
+    return Codec(path)
+
+
 def chunked(data: np.ndarray, offsets: np.ndarray) -> list[list[str]]:
     """The chunks of each text; joined by a space they are the text."""
     cuts = cut_points(data, offsets)
@@ -139,7 +183,7 @@ def bpe_code(text: Column, path: str, with_text: bool = False) -> Column:
     fields = "n_tokens long, ids_sha256 string, decoded_sha256 string" + (", ids string, decoded string" if with_text else "")
 
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        codec = Codec(path)
+        codec = codec_of(path)
         for column in batches:
             n, ids, decoded, kept = [], [], [], ([], [])
             for data, offsets in byte_blocks(column):
