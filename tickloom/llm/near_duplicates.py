@@ -156,7 +156,8 @@ def near_duplicates(df: DataFrame, words: int = 5, percent: int = 80, id_col: st
     docs = pick(df, doc_id=id_col, text=text_col).withColumn("doc_id", F.col("doc_id").cast("long"))
     signed = pin(signatures(docs, words))
     full = signed.where((F.col("n") > 0) & F.col("doc_id").isNotNull())
-    reps = full.groupBy("f1", "f2", "n").agg(F.min("doc_id").alias("rep"))
+    # pinned: a join of its own exchange can be split where one set has a third of all rows
+    reps = pin(full.groupBy("f1", "f2", "n").agg(F.min("doc_id").alias("rep")))
     classes = pin(
         full.select("doc_id", "f1", "f2", "n", "bits", "bands")
         .join(reps.select(F.col("rep").alias("doc_id"), "f1", "f2", "n"), ["doc_id", "f1", "f2", "n"])
