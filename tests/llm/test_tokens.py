@@ -111,6 +111,13 @@ def test_memo_overflow_changes_nothing(byte_level, proof, codec, monkeypatch):
         assert encoded(small, [text])[0].n == encoded(codec, [text])[0].n
 
 
+def test_white_space_before_a_special_string(byte_level, coder):
+    texts = ["a\n\n<|endoftext|>", "a  <|endoftext|>b", "a \n<|endoftext|>\n\n<|endoftext|> c", "\n\n<|endoftext|>", "x\n\ny <|endoftext|"]
+    assert byte_level.encode(texts[0], add_special_tokens=False).ids == [64, 628, 50256]
+    ids = [e.ids for e in byte_level.encode_batch(texts, add_special_tokens=False)]
+    assert [np.frombuffer(b, "<u4").tolist() for b in coder.encode(texts)] == ids
+
+
 def test_chunks_are_shared_and_whole():
     passage = " ".join(f"w{i * i}" for i in range(3000))
     texts = [f"first {passage} end", f"another start here {passage}"]

@@ -44,13 +44,15 @@ class ByteLevelIds:
     A byte-level vocabulary never merges across a space or a line break between two
     characters other than white space, so what stands between them is encoded once and
     reused. The memo fills with the first, and so mostly the frequent, pieces; when it is
-    full, others are encoded per block. Texts with longer runs of white space go to the
-    library whole.
+    full, others are encoded per block. Texts with longer runs of white space, and texts
+    that hold an added token (it ends a segment, and so a run of white space, anywhere),
+    go to the library whole.
     """
 
     def __init__(self, path: str) -> None:
         self.tokenizer = library(path)
         self.unsafe = re.compile(r"\s\s(?:\s|\Z)").search
+        self.added = [a.content for a in self.tokenizer.get_added_tokens_decoder().values()]
         of = {b: c for c, b in stand_ins().items()}
         self.opens = np.zeros(self.tokenizer.get_vocab_size(), dtype=bool)
         for token, i in self.tokenizer.get_vocab().items():
@@ -62,8 +64,14 @@ class ByteLevelIds:
     def whole(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, dtype="<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def apart(self, text: str) -> bool:
+        """Does the text have to go to the library whole?"""
+        return any(a in text for a in self.added) or self.unsafe(text) is not None
+
     def _side_by_side(self, parts: list[str], joined: str, starts) -> dict[str, bytes]:
         """Parts encoded as one text; ``starts`` finds where each begins. Empty if they do not fall apart again."""
+        if any(a in joined for a in self.added):
+            return {}
         ids = np.array(self.tokenizer.encode_batch_fast([joined], add_special_tokens=False)[0].ids, dtype="<u4")
         at = starts(ids)
         if len(at) != len(parts):
@@ -93,7 +101,7 @@ class ByteLevelIds:
         return out
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        split = [None if self.unsafe(t) else t.replace("\n", " \n").split(" ") for t in texts]
+        split = [None if self.apart(t) else t.replace("\n", " \n").split(" ") for t in texts]
         heads = self.whole([s[0] if s else t for s, t in zip(split, texts)])
         rest = [s[1:] if s else () for s in split]
         distinct = set().union(*rest)
