@@ -1,10 +1,15 @@
 """Streams in several micro-batches give what the batch operators give."""
 
+import duckdb
+import pytest
 from pyspark.sql import functions as F
 
-from conftest import rows
+from check_oracle import norm
+from conftest import SF, rows
 from tickloom.operators import book, detectors
 from tickloom.order import EventOrder
+from tickloom.plans import load_all, streaming_q
+from tickloom.plans.registry import oracle, plans
 from tickloom.streaming import sources as ss
 from tickloom.streaming import state as st
 from tickloom.streaming import windows as sw
@@ -81,3 +86,22 @@ def test_late_rows_go_to_the_side(spark, events, tmp_path):
     router(old, 1)
     assert spark.read.parquet(f"file://{tmp_path}/out/late").count() == 5
     assert spark.read.parquet(f"file://{tmp_path}/out/on_time").count() == len(events)
+
+
+load_all()
+WAITING = {"stream_live_book": 600_000, "stream_spoofing": 3_600_000, "stream_icebergs": 3_600_000, "stream_rolling_tail": 600_000, "stream_signal_changes": 600_000}
+
+
+@pytest.mark.parametrize("name", WAITING)
+def test_the_end_of_the_input_is_released(spark, tmp_path, name):
+    """A table shorter than the lateness gives what the SQL says without its bound on the watermark."""
+    events = spark.read.parquet(f"{SF}/events.parquet")
+    squeezed = F.timestamp_micros(F.expr("1700000000000000 + unix_micros(CAST(ts AS timestamp)) % 2592000000000 div 6000"))  # thirty days in seven minutes
+    events.withColumn("ts", squeezed.cast(events.schema["ts"].dataType)).coalesce(1).write.parquet(f"{tmp_path}/sf/events.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/sf/events.parquet/*.parquet'")
+    cur = con.execute(oracle()[name].replace(streaming_q._passed(WAITING[name]), "true"))
+    got = plans()[name](spark, f"{tmp_path}/sf").select(*[d[0] for d in cur.description]).collect()
+    want = cur.fetchall()
+    assert want
+    assert sorted((tuple(map(norm, r)) for r in got), key=str) == sorted((tuple(map(norm, r)) for r in want), key=str)

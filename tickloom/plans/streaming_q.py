@@ -12,13 +12,18 @@ from tickloom.streaming import windows as sw
 
 
 FILES = 5
-LATE = "10 minutes"
+LATE, LATE_S = "10 minutes", 600
+HOUR, HOUR_S = "1 hour", 3_600
 
 
-def arrivals(spark, sf, delayed):
+def arrivals(spark, sf, delayed, late_s=None):
     """The events as ``FILES`` files, one a trigger: each holds a stretch of time in shuffled
     order; rows for which ``delayed(id, microseconds to the stretch's end)`` holds arrive
-    with the next file."""
+    with the next file.
+
+    With ``late_s`` one file more closes the input: a copy of the newest row, dated further
+    ahead than the allowed lateness. The watermark then passes every event, but never this
+    row, so it waits until the end and is in no result of a processor that ``Released`` feeds."""
     events = table(spark, sf, "events")
     folder = scratch_path(spark, "arrivals")
     n, at = F.col("event_id"), F.unix_micros(F.col("ts").cast("timestamp"))
@@ -29,14 +34,17 @@ def arrivals(spark, sf, delayed):
     part = F.least(stretch + delayed(n, width - since % width).cast("int"), F.lit(FILES - 1))
     for i in range(FILES):
         events.where(part == i).orderBy(F.xxhash64(n)).coalesce(1).write.mode("append").parquet(folder)
+    if late_s is not None and high is not None:
+        ahead = F.timestamp_micros(F.lit(high + (late_s + 1) * 1_000_000)).cast(events.schema["ts"].dataType)
+        events.where(at == high).limit(1).withColumn("ts", ahead).write.mode("append").parquet(folder)
     raw = ss.event_files(spark, folder, events.schema, files_per_trigger=1)
     return mbo_of(raw).withColumn("event_time", F.timestamp_micros(F.expr("ts_event div 1000")))
 
 
-def stream(spark, sf):
+def stream(spark, sf, late_s=None):
     """Half the rows of a stretch's last five minutes are late by one file: state crosses
     batches and the order of events has to be restored, within the allowed lateness."""
-    return arrivals(spark, sf, lambda n, left: (n % 2 == 0) & (left <= 5 * 60_000_000))
+    return arrivals(spark, sf, lambda n, left: (n % 2 == 0) & (left <= 5 * 60_000_000), late_s)
 
 
 def done(df, name, mode="append"):
@@ -107,7 +115,7 @@ def stream_latest_quotes(spark, sf):
     f"WITH {ALL_SQL} SELECT instrument, sequence, best_bid, best_ask, CAST(bid_size AS BIGINT) AS bid_size, CAST(ask_size AS BIGINT) AS ask_size FROM bk WHERE {_passed(600_000)}",
 )
 def stream_live_book(spark, sf):
-    s = stream(spark, sf).select(*st.EVENT_COLUMNS)
+    s = stream(spark, sf, LATE_S).select(*st.EVENT_COLUMNS)
     return done(st.stateful(s, ["instrument"], st.LiveBook(), late=LATE), "book")
 
 
@@ -120,9 +128,9 @@ def stream_live_book(spark, sf):
     SELECT instrument, sequence, s0 AS placed_size, ts_event - t0 AS time_to_cancel, least(1, (259200000000000 - (ts_event - t0)) / 259200000000000) AS spoofing_score FROM l WHERE action = 'C' AND life > 0 AND s0 >= 20 AND ts_event - t0 <= 259200000000000 AND {_passed(3_600_000)}""",
 )
 def stream_spoofing(spark, sf):
-    s = stream(spark, sf).select(*st.EVENT_COLUMNS)
+    s = stream(spark, sf, HOUR_S).select(*st.EVENT_COLUMNS)
     p = st.OrderLives(20, 259_200_000_000_000, 30 * 86_400_000)
-    return done(st.stateful(s, ["instrument", "order_id"], p, late="1 hour"), "spoofs")
+    return done(st.stateful(s, ["instrument", "order_id"], p, late=HOUR), "spoofs")
 
 
 @query(
@@ -133,9 +141,9 @@ def stream_spoofing(spark, sf):
       JOIN (WITH {MBO_SQL} SELECT sequence FROM mbo WHERE {_passed(3_600_000)}) AS p USING (sequence)""",
 )
 def stream_icebergs(spark, sf):
-    s = stream(spark, sf).select(*st.EVENT_COLUMNS)
+    s = stream(spark, sf, HOUR_S).select(*st.EVENT_COLUMNS)
     p = st.IcebergCandidates(30, 3, 86_400_000_000_000)
-    return done(st.stateful(s, ["instrument", "price"], p, late="1 hour"), "icebergs")
+    return done(st.stateful(s, ["instrument", "price"], p, late=HOUR), "icebergs")
 
 
 @query(
@@ -146,7 +154,7 @@ def stream_icebergs(spark, sf):
     SELECT instrument, sequence, CAST(sum(d) OVER {rows(20)} AS BIGINT) AS imbalance, sum(price * size) OVER {rows(50)} / sum(size) OVER {rows(50)} AS vwap50, sum(c) OVER {rows(20)} AS price_mom FROM t QUALIFY {_passed(600_000)}""",
 )
 def stream_rolling_tail(spark, sf):
-    s = stream(spark, sf).select(*st.EVENT_COLUMNS)
+    s = stream(spark, sf, LATE_S).select(*st.EVENT_COLUMNS)
     return done(st.stateful(s, ["instrument"], st.RollingTail(512), late=LATE), "tail")
 
 
@@ -157,7 +165,7 @@ def stream_rolling_tail(spark, sf):
     f"WITH {MBO_SQL}, l AS (SELECT *, lag(side) OVER ({W}) AS previous FROM mbo) SELECT instrument, sequence, side, previous FROM l WHERE previous <> side AND {_passed(600_000)}",
 )
 def stream_signal_changes(spark, sf):
-    s = stream(spark, sf).select(*st.EVENT_COLUMNS)
+    s = stream(spark, sf, LATE_S).select(*st.EVENT_COLUMNS)
     return done(st.stateful(s, ["instrument"], st.SignalChanges(), late=LATE), "signals")
 
 
