@@ -189,3 +189,16 @@ def test_licence_rows(odd_docs, no_docs, licence_model):
     assert all(by[i]["n_paragraphs"] == 0 and by[i]["licence"] == "none" for i in (3, 4, 5))
     assert (by[11]["licence"], by[11]["confirmed"], by[11]["n_licensed"]) == ("apache", True, 1)
     assert licences.licence_scan(no_docs, licence_model).count() == 0
+
+
+def test_all_licences_of_a_text(spark, licence_model):
+    """Every family is kept, with the paragraph it stands in."""
+    text = "A title of it\n\nLicensed under the Apache License, Version 2.0.\nplain words\nReleased under the MIT License.\nLicensed under the Wobble License.\nReleased under the MIT License."
+    df = spark.createDataFrame([(1, text), (2, "plain words")], "doc_id long, text string")
+    rows = {r["doc_id"]: r for r in licences.licence_scan(df, licence_model).collect()}
+    assert [(x["licence"], x["paragraph"], x["confirmed"]) for x in rows[1]["licences"]] == [("apache", 2, True), ("mit", 4, True), ("unknown", 5, False)]
+    assert (rows[1]["n_paragraphs"], rows[1]["n_licensed"], rows[2]["licences"]) == (6, 4, [])
+    best = next(x for x in rows[1]["licences"] if x["licence"] == rows[1]["licence"])
+    assert [best[c] for c in ("probability", "cover", "confirmed")] == [rows[1][c] for c in ("probability", "cover", "confirmed")]
+    each = licences.licence_paragraphs(df, licence_model).orderBy("paragraph").collect()
+    assert [(r["doc_id"], r["paragraph"], r["licence"]) for r in each] == [(1, 2, "apache"), (1, 4, "mit"), (1, 5, "unknown"), (1, 6, "mit")]

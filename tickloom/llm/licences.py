@@ -179,8 +179,8 @@ def train(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample:
     return fit([line for r in few for line in r["text"].split("\n")][: 20 * sample])
 
 
-def _paragraph_verdicts(words: Column, model: LicenceModel) -> Column:
-    """Array of struct(licensed, probability, licence, cover), one per array of words."""
+def _paragraph_verdicts(marked: Column, model: LicenceModel) -> Column:
+    """Array of struct(licensed, probability, licence, cover, paragraph), one per struct(paragraph, words)."""
     known = F.create_map(*[c for g, ws in model.weights.items() for c in (F.lit(g), F.array(*[F.lit(v) for v in ws]))])
     n = len(model.classes)
 
@@ -203,7 +203,7 @@ def _paragraph_verdicts(words: Column, model: LicenceModel) -> Column:
         of = [sorted(set(grams_of(words_of(t)))) for t in TEMPLATES[family]]
         return F.greatest(*[F.size(F.array_intersect(grams, F.array(*map(F.lit, g)))) / len(g) for g in of], F.lit(0.0))
 
-    def verdict(grams: Column, p: Column) -> Column:
+    def verdict(grams: Column, p: Column, paragraph: Column) -> Column:
         best = F.array_max(p)
         name = F.lit(NONE)
         for i, c in reversed(list(enumerate(model.classes))):
@@ -212,39 +212,69 @@ def _paragraph_verdicts(words: Column, model: LicenceModel) -> Column:
         covered = F.lit(0.0)
         for family in TEMPLATES:
             covered = F.when(name == family, cover(grams, family)).otherwise(covered)
-        return F.struct((1 - p[n - 1]).alias("licensed"), best.alias("probability"), name.alias("licence"), covered.alias("cover"))
+        return F.struct((1 - p[n - 1]).alias("licensed"), best.alias("probability"), name.alias("licence"), covered.alias("cover"), paragraph.alias("paragraph"))
 
-    found = F.transform(F.transform(words, graded), lambda g: F.struct(g.alias("g"), scored(g).alias("p")))
-    return F.transform(found, lambda x: verdict(x["g"], x["p"]))
+    grams = F.transform(marked, lambda m: F.struct(graded(m["words"]).alias("g"), m["paragraph"].alias("at")))
+    found = F.transform(grams, lambda x: F.struct(x["g"].alias("g"), scored(x["g"]).alias("p"), x["at"].alias("at")))
+    return F.transform(found, lambda x: verdict(x["g"], x["p"], x["at"]))
 
 
-def licence_scan(df: DataFrame, model: LicenceModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per row of ``df``: doc_id, n_paragraphs, n_licensed, licence, probability, cover, confirmed.
-
-    licence is a family, ``unknown`` or ``none``; probability is that of the paragraph that
-    speaks for the text (0 without any), cover the share of its best template's grams,
-    confirmed whether that reaches a half. Null, empty and blank texts have no paragraph;
-    null ids stay; repeated rows repeat; an empty table gives no rows; only id and text are read.
-    """
+def _named(df: DataFrame, model: LicenceModel, id_col: str, text_col: str) -> DataFrame:
+    """doc_id, n_paragraphs, named: the verdicts on all paragraphs that hold licence wording, in their order."""
     docs = pick(df, doc_id=id_col, text=text_col)
     filled = F.filter(F.split(F.lower(F.coalesce("text", F.lit(""))), "\n"), lambda p: p.rlike(r"\S"))
-    split = F.transform("lines", lambda p: F.filter(F.split(p, APART), lambda w: w != ""))
-    marked = F.filter(split, lambda ws: F.exists(ws, lambda w: w.isin(*model.anchors)))
-    named = F.filter(_paragraph_verdicts(F.col("marked"), model), lambda v: v["licence"] != NONE)
-    nothing = F.struct(F.lit(0.0).alias("licensed"), F.lit(0.0).alias("probability"), F.lit(NONE).alias("licence"), F.lit(0.0).alias("cover"))
-    # the paragraph surest to hold licence wording speaks for the text; the first wins a tie
-    best = F.aggregate("named", nothing, lambda a, v: F.when(v["licensed"] > a["licensed"], v).otherwise(a))
+    split = F.transform("lines", lambda p, i: F.struct((i + 1).alias("paragraph"), F.filter(F.split(p, APART), lambda w: w != "").alias("words")))
+    marked = F.filter(split, lambda m: F.exists(m["words"], lambda w: w.isin(*model.anchors)))
     # each step is used twice by the next, so the optimizer keeps the steps apart and computes them once
     lines = docs.select("doc_id", filled.alias("lines"))
     words = lines.select("doc_id", F.size("lines").cast("long").alias("n_paragraphs"), marked.alias("marked"))
-    graded = words.select("doc_id", "n_paragraphs", named.alias("named"))
-    spoken = graded.select("doc_id", "n_paragraphs", F.size("named").cast("long").alias("n_licensed"), best.alias("best"))
-    return spoken.select(
-        "doc_id",
-        "n_paragraphs",
-        "n_licensed",
-        F.col("best.licence").alias("licence"),
-        F.round("best.probability", 6).alias("probability"),
-        F.round("best.cover", 6).alias("cover"),
-        (F.col("best.cover") >= COVER).alias("confirmed"),
-    )
+    named = F.filter(_paragraph_verdicts(F.col("marked"), model), lambda v: v["licence"] != NONE)
+    return words.select("doc_id", "n_paragraphs", named.alias("named"))
+
+
+def _told(v: Column) -> list[Column]:
+    """What is said of a verdict, rounded."""
+    return [
+        v["licence"].alias("licence"),
+        F.round(v["probability"], 6).alias("probability"),
+        F.round(v["cover"], 6).alias("cover"),
+        (v["cover"] >= COVER).alias("confirmed"),
+    ]
+
+
+def licence_paragraphs(df: DataFrame, model: LicenceModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per paragraph with licence wording: doc_id, paragraph, licence, probability, cover, confirmed.
+
+    Paragraphs that are not blank count from 1. Texts without licence wording give no row.
+    """
+    told = _named(df, model, id_col, text_col).select("doc_id", F.explode("named").alias("v"))
+    return told.select("doc_id", F.col("v.paragraph").alias("paragraph"), *_told(F.col("v")))
+
+
+def licence_scan(df: DataFrame, model: LicenceModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per row of ``df``: doc_id, n_paragraphs, n_licensed, licence, probability, cover, confirmed, licences.
+
+    licences holds every family found (and ``unknown``, if found) once, in order of first
+    appearance: struct(licence, paragraph, probability, cover, confirmed) of the family's
+    surest paragraph; paragraphs that are not blank count from 1. licence is that of the
+    surest of all: a family, ``unknown`` or ``none``; probability is that of the paragraph
+    that speaks for the text (0 without any), cover the share of its best template's grams,
+    confirmed whether that reaches a half. A paragraph has one verdict. Null, empty and
+    blank texts have no paragraph; null ids stay; repeated rows repeat; an empty table gives
+    no rows; only id and text are read.
+    """
+    nothing = F.struct(F.lit(0.0).alias("licensed"), F.lit(0.0).alias("probability"), F.lit(NONE).alias("licence"), F.lit(0.0).alias("cover"), F.lit(0).alias("paragraph"))
+
+    def surest(verdicts: Column) -> Column:
+        """The paragraph surest to hold licence wording; the first wins a tie."""
+        return F.aggregate(verdicts, nothing, lambda a, v: F.when(v["licensed"] > a["licensed"], v).otherwise(a))
+
+    def entry(v: Column) -> Column:
+        licence, *more = _told(v)
+        return F.struct(licence, v["paragraph"].alias("paragraph"), *more)
+
+    graded = _named(df, model, id_col, text_col)
+    families = F.array_distinct(F.transform("named", lambda v: v["licence"]))
+    each = F.transform(families, lambda f: surest(F.filter("named", lambda v: v["licence"] == f)))
+    spoken = graded.select("doc_id", "n_paragraphs", F.size("named").cast("long").alias("n_licensed"), surest(F.col("named")).alias("best"), each.alias("each"))
+    return spoken.select("doc_id", "n_paragraphs", "n_licensed", *_told(F.col("best")), F.transform("each", entry).alias("licences"))
