@@ -220,3 +220,16 @@ def test_completion_finds_the_full_filling():
     assert packing.bin_patterns({}, 10) == []
     with pytest.raises(ValueError):
         packing.bin_patterns({11: 1}, 10)
+
+
+def test_ended_searches_are_made_again():
+    counts = {15: 1, 21: 1, 26: 1, 31: 1, 34: 1, 35: 1, 37: 2, 41: 1, 56: 1, 60: 1}
+    report = {}
+    patterns = packing.bin_patterns(counts, 100, nodes=8, report=report)
+    assert sum(n for n, _ in patterns) == report["bins"] == report["bound"] == 4 and report["ended"] == 1
+    placed = {}
+    for n, items in patterns:
+        assert sum(a * k for a, k in items) <= 100
+        for a, k in items:
+            placed[a] = placed.get(a, 0) + n * k
+    assert placed == counts

@@ -11,7 +11,10 @@ exchanged for a longer one. The best-fit filling is the incumbent, and a branch
 when even a full use of its space cannot beat it. The chosen filling is applied as
 often as its scarcest length allows, so equal bins are decided once. A second pass,
 longest pieces paired best-fit only, competes; the pass with fewer sequences wins, and
-a pass that reaches ceil(total / capacity) is optimal.
+a pass that reaches ceil(total / capacity) is optimal. Each branch and bound ends after
+``SEARCH_NODES`` steps. If that happened and the bound is missed, the pieces of the bins
+that are not full are searched again with ``SEARCH_AGAIN`` times, then its square times
+the steps. No piece is left out in any case; what the limits can cost is sequences.
 """
 
 from __future__ import annotations
@@ -34,6 +37,7 @@ from tickloom.session import pin
 MEMO_ENTRIES = 300_000
 MARKS, LATIN_END = ".,", "\u0250"
 SEARCH_NODES = 4_000
+SEARCH_AGAIN = 16
 BUCKET_ROWS = 50_000
 PIECE = "struct<piece:int,start:bigint,length:bigint,ids_crc32:bigint>"
 
@@ -170,9 +174,11 @@ def _best_fit(space: int, lengths: list[int], left: dict[int, int]) -> list[tupl
     return out
 
 
-def completion(space: int, lengths: list[int], left: dict[int, int], nodes: int = SEARCH_NODES) -> list[tuple[int, int]]:
+def completion(space: int, lengths: list[int], left: dict[int, int], nodes: int = SEARCH_NODES, report: dict[str, int] | None = None) -> list[tuple[int, int]]:
     """The filling of ``space`` that wastes least, as (length, times); ties keep the earlier, with longer pieces.
 
+    ``report`` counts under "ended" the searches that ``nodes`` has ended.
+
     ``lengths`` ascend and have ``left`` pieces each. Fillings are tried longest first;
     every filling reached is maximal (nothing left fits its waste), which with the
     longest-first order leaves out the dominated ones. Smaller waste wins, so a branch
@@ -205,16 +211,23 @@ def completion(space: int, lengths: list[int], left: dict[int, int], nodes: int
 
     if waste:
         branch(len(lengths) - 1, space, [])
+    if report is not None and waste and not budget:
+        report["ended"] = report.get("ended", 0) + 1
     return best
 
 
-def bin_patterns(counts: dict[int, int], capacity: int, nodes: int = SEARCH_NODES) -> list[tuple[int, list[tuple[int, int]]]]:
-    """(number of bins, [(length, times)]) that place every piece; lengths must be 1 to ``capacity``."""
+def bin_patterns(counts: dict[int, int], capacity: int, nodes: int = SEARCH_NODES, report: dict[str, int] | None = None) -> list[tuple[int, list[tuple[int, int]]]]:
+    """(number of bins, [(length, times)]) that place every piece; lengths must be 1 to ``capacity``.
+
+    ``report`` gets the number of bins, their lower bound, and the searches made and ended by ``nodes``.
+    """
     if any(not 0 < a <= capacity for a in counts):
         raise ValueError("piece lengths must lie between 1 and the capacity")
     bound = -(-sum(a * n for a, n in counts.items()) // capacity)
 
-    def solve(fill) -> list[tuple[int, list[tuple[int, int]]]]:
+    told = {"searches": 0, "ended": 0}
+
+    def solve(fill, counts: dict[int, int]) -> list[tuple[int, list[tuple[int, int]]]]:
         left, out = {a: n for a, n in counts.items() if n}, []
         lengths = sorted(left)
         while lengths:
@@ -234,12 +247,32 @@ def bin_patterns(counts: dict[int, int], capacity: int, nodes: int = SEARCH_NODE
                     lengths.remove(a)
         return out
 
-    searched = solve(lambda space, lengths, left: completion(space, lengths, left, nodes))
-    if sum(n for n, _ in searched) > bound:
-        greedy = solve(_best_fit)
-        if sum(n for n, _ in greedy) < sum(n for n, _ in searched):
-            return greedy
-    return searched
+    def searched(counts: dict[int, int], nodes: int) -> list[tuple[int, list[tuple[int, int]]]]:
+        def fill(space: int, lengths: list[int], left: dict[int, int]) -> list[tuple[int, int]]:
+            told["searches"] += 1
+            return completion(space, lengths, left, nodes, told)
+
+        return solve(fill, counts)
+
+    def size(patterns: list[tuple[int, list[tuple[int, int]]]]) -> int:
+        return sum(n for n, _ in patterns)
+
+    best = searched(counts, nodes)
+    if size(best) > bound:
+        best = min(best, solve(_best_fit, counts), key=size)
+    for more in (SEARCH_AGAIN * nodes, SEARCH_AGAIN**2 * nodes):
+        if size(best) <= bound or not told["ended"]:
+            break
+        full = [(n, items) for n, items in best if sum(a * k for a, k in items) == capacity]
+        rest: dict[int, int] = {}
+        for n, items in best:
+            if sum(a * k for a, k in items) < capacity:
+                for a, k in items:
+                    rest[a] = rest.get(a, 0) + n * k
+        best = min(best, full + searched(rest, more), key=size)
+    if report is not None:
+        report.update(told, bins=size(best), bound=bound)
+    return best
 
 
 def placement(patterns: list[tuple[int, list[tuple[int, int]]]]) -> dict[int, list[tuple[int, int, int, int, int]]]:
