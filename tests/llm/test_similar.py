@@ -155,3 +155,8 @@ def test_few_or_no_vectors(spark):
     assert knn.top_products(spark.createDataFrame([(50, [1.0])], schema)).count() == 0
     got = knn.top_products(spark.createDataFrame([(50, [1.0]), (3, [0.5]), (2, [0.5])], schema)).collect()
     assert sorted(map(tuple, got)) == [(50, 1, 2, 256 * 128), (50, 2, 3, 256 * 128)]
+
+
+def test_bound_counts_an_id_once(spark):
+    rows = spark.createDataFrame([(50, 0, 0.0)] * 6 + [(50, 1, 0.5), (1, 0, 2.0), (2, 1, 3.0)], "vec_id long, cell int, d double")
+    assert sorted((r["cell"], r["near"]) for r in knn._smallest(rows, 3)) == [(0, [0.0, 2.0]), (1, [3.0])]

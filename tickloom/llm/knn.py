@@ -78,8 +78,13 @@ def _in_cells(vectors: DataFrame, cells, width: int, query: bool) -> DataFrame:
 
 
 def _smallest(rows: DataFrame, keep: int) -> list:
-    """Per cell: the ``keep`` smallest distances to its pivot. Rows are salted, so a full cell is shared out."""
-    salted = rows.select("cell", F.col("d"), F.pmod(F.xxhash64("vec_id"), F.lit(256)).alias("s"))
+    """Per cell: the ``keep`` smallest distances to its pivot, at most one an id; an id stands in one cell only.
+
+    Every distance left is that of a row of an id of its own, so whatever the number of a
+    query's own rows, they take one of the places. Rows are salted, so a full cell is shared out.
+    """
+    alone = rows.groupBy("vec_id").agg(F.min(F.struct("d", "cell")).alias("m")).select("vec_id", "m.cell", "m.d")
+    salted = alone.select("cell", F.col("d"), F.pmod(F.xxhash64("vec_id"), F.lit(256)).alias("s"))
     few = salted.withColumn("r", F.row_number().over(Window.partitionBy("cell", "s").orderBy("d"))).where(F.col("r") <= keep)
     return few.groupBy("cell").agg(F.slice(F.array_sort(F.collect_list("d")), 1, keep).alias("near")).collect()
 
@@ -120,7 +125,7 @@ def top_products(df: DataFrame, every: int = 50, k: int = 5, scale: int = 256, i
     held = spark.sparkContext.broadcast(cells)
     data = _in_cells(vectors, held, width, query=False)
     asked = _in_cells(vectors.where(F.col("vec_id") % every == 0).distinct(), held, width, query=True)
-    summary = _smallest(data, k + 1)  # one more: a query's own row may be among them
+    summary = _smallest(data, k + 1)  # one more: one row of a query's own id may be among them
     sizes = {r["cell"]: (r["n"], r["far"]) for r in asked.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.max("d").alias("far")).collect()}
     if not sizes:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
