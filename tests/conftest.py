@@ -9,8 +9,6 @@ sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
 from tickloom.session import build_session, ship_package  # noqa: E402
 
-SF = "/root/testdata/sf0.001"
-
 
 @pytest.fixture(scope="session")
 def spark():
@@ -47,10 +45,3 @@ def events():
 @pytest.fixture(scope="session")
 def frame(spark, events):
     return spark.createDataFrame(events).repartition(5).cache()
-
-
-def rows(df, *cols):
-    """Sorted tuples, floats rounded."""
-    out = df.select(*cols).collect()
-    fix = lambda v: round(v, 6) if isinstance(v, float) else v
-    return sorted((tuple(fix(v) for v in r) for r in out), key=str)

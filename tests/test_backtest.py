@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import rows
+from support import rows
 from tickloom.operators import backtest as bt
 from tickloom.operators.quantiles import exact_quantiles, quantile_bins
 from tickloom.order import EventOrder

@@ -2,7 +2,7 @@
 
 import pytest
 
-from conftest import rows
+from support import rows
 from tickloom.operators import book
 from tickloom.order import EventOrder
 

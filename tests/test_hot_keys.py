@@ -11,7 +11,7 @@ import pytest
 
 from __spark_entry__ import oracle_sql, queries
 from check_oracle import norm
-from conftest import SF
+from support import SF
 
 NAMES = [
     "detector_summaries", "iceberg_events", "book_quotes_at_events", "horizon_price_and_volatility", "flow_autocorrelation",

@@ -9,7 +9,7 @@ import pytest
 
 from __spark_entry__ import entry, oracle_sql, queries
 from check_oracle import norm
-from conftest import SF
+from support import SF
 from tickloom.functions import batches, canonical
 from tickloom.operators import models
 from tickloom.sources import inventory

@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import rows
+from support import rows
 from tickloom.functions.ema import ema, reach
 from tickloom.operators import horizons as hz
 from tickloom.order import EventOrder, number_rows, running, time_windowed, windowed

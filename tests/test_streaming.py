@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from check_oracle import norm
-from conftest import SF, rows
+from support import SF, rows
 from tickloom.operators import book, detectors
 from tickloom.order import EventOrder
 from tickloom.plans import load_all, streaming_q
