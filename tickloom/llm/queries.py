@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tickloom.llm import bpe_codec, html_text, knn, language, licences, media, near_duplicates, packing, quality, token_counts
+from tickloom.llm import bpe_codec, divergence, html_text, knn, language, licences, media, mixing, near_duplicates, packing, quality, resampling, token_counts
 from tickloom.session import ship_package
 
 
@@ -83,6 +83,18 @@ def op10_page_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.page_text(table(spark, sf_dir, "pages"))
 
 
+def op11_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix_sizes(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+
+
+def op12_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resampling.resampled(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op13_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.divergence(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -96,6 +108,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_top_products,
         op9_bpe_codec,
         op10_page_text,
+        op11_source_mix,
+        op12_resampling,
+        op13_divergence,
     )
 }
 
@@ -133,4 +148,91 @@ ORACLE_SQL: dict[str, str] = {
         ), r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s)
         SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
     """,
+    "op11_source_mix": r"""
+        WITH RECURSIVE d AS (
+            SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size,
+                CAST('0x' || substr(sha256('2024:' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 8) AS BIGINT) AS draw
+            FROM documents
+        ), ranked AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY size DESC, draw, doc_id) AS n FROM d),
+        w AS (
+            SELECT source, CAST(sum(size) AS BIGINT) AS source_size, [5.0, 2.0, 1.0][1 + (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3] AS weight
+            FROM d GROUP BY source
+        ), level AS (
+            SELECT (1.5 * sum(source_size) OVER () - coalesce(sum(2.0 * source_size) OVER before, 0)) / (sum(weight) OVER () - coalesce(sum(weight) OVER before, 0)) AS each
+            FROM w WINDOW before AS (ORDER BY 2.0 * source_size / weight, source ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
+        ), t AS (
+            SELECT *, least(2.0 * source_size, (SELECT max(each) FROM level) * weight) AS target,
+                CAST('0x' || substr(sha256('2024:' || coalesce(source, '')), 1, 6) AS BIGINT) AS start
+            FROM w
+        ), fold AS (
+            SELECT source, 0 AS n, target AS words, CAST(source_size AS DOUBLE) AS rest, start AS place, 0 AS copies FROM t
+            UNION ALL
+            SELECT source, n, words - copies * size, rest - size, place, copies FROM (
+                SELECT f.source, r.n, f.words, f.rest, r.size, f.place + s.step AS place, ((f.place + s.step) >> 24) - (f.place >> 24) AS copies
+                FROM fold f JOIN ranked r ON f.source IS NOT DISTINCT FROM r.source AND r.n = f.n + 1 AND r.n <= 64,
+                LATERAL (SELECT CAST(CASE WHEN f.rest > 0 THEN floor(greatest(least(f.words / f.rest, 2.0), 0.0) * 16777216) ELSE 0 END AS BIGINT) AS step) s
+            )
+        ), late AS (
+            SELECT source, place, CAST(CASE WHEN rest > 0 THEN floor(greatest(least(words / rest, 2.0), 0.0) * 16777216) ELSE 0 END AS BIGINT) AS step FROM fold WHERE n = 64
+        )
+        SELECT r.doc_id, CAST(r.size AS BIGINT) AS size, t.source_size, t.target,
+            CAST(r.size * CASE WHEN r.size = 0 THEN 0 WHEN r.n <= 64 THEN f.copies ELSE ((l.place + (r.n - 64) * l.step) >> 24) - ((l.place + (r.n - 65) * l.step) >> 24) END AS BIGINT) AS taken
+        FROM ranked r JOIN t ON r.source IS NOT DISTINCT FROM t.source
+        LEFT JOIN fold f ON r.source IS NOT DISTINCT FROM f.source AND r.n = f.n
+        LEFT JOIN late l ON r.source IS NOT DISTINCT FROM l.source
+    """,
+    "op12_resampling": r"""
+        WITH RECURSIVE bits AS (
+            SELECT i, 0 AS k, i AS c FROM range(256) r(i)
+            UNION ALL SELECT i, k + 1, CASE WHEN c & 1 = 1 THEN xor(3988292384, c >> 1) ELSE c >> 1 END FROM bits WHERE k < 8
+        ), tab AS (SELECT list(c ORDER BY i) AS tab FROM bits WHERE k = 8),
+        words AS (
+            SELECT row_id, doc_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) AS w
+            FROM (SELECT row_number() OVER () AS row_id, doc_id, text FROM documents UNION ALL SELECT -item_id - 1, NULL, text FROM benchmark)
+        ), counted AS (SELECT row_id, w, count(*) AS n FROM words GROUP BY ALL),
+        codes AS (
+            SELECT w, xor(4294967295, list_reduce(list_concat([4294967295], list_transform(range(1, 2 * strlen(w), 2), lambda i: CAST('0x' || substr(hex(encode(w)), i, 2) AS BIGINT))),
+                lambda c, b: xor(c >> 8, tab[xor(c & 255, b) + 1]))) % 10000 AS bucket
+            FROM (SELECT DISTINCT w FROM counted), tab
+        ), sums AS (
+            SELECT bucket, sum(n) FILTER (row_id >= 0) AS s, sum(n) FILTER (row_id < 0) AS t FROM counted JOIN codes USING (w) GROUP BY bucket
+        ), whole AS (SELECT coalesce(sum(s), 0) AS s, coalesce(sum(t), 0) AS t FROM sums),
+        gain AS (
+            SELECT bucket, CAST(floor(1000 * ln((CAST(coalesce(sums.t, 0) AS DOUBLE) + 1) * (CAST(whole.s AS DOUBLE) + 10000) / ((CAST(coalesce(sums.s, 0) AS DOUBLE) + 1) * (CAST(whole.t AS DOUBLE) + 10000)))) AS BIGINT) AS g
+            FROM sums, whole
+        ), weights AS (
+            SELECT row_id, sum(n) AS n_features, sum(n * g) AS weight FROM counted JOIN codes USING (w) JOIN gain USING (bucket) WHERE row_id >= 0 GROUP BY row_id
+        ), scored AS (
+            SELECT doc_id, coalesce(n_features, 0) AS n_features, coalesce(weight, 0) AS weight,
+                coalesce(weight, 0) + CAST(floor(-1000 * ln(-ln((CAST('0x' || substr(sha256('2024:' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 8) AS BIGINT) + 0.5::DOUBLE) / 4294967296::DOUBLE))) AS BIGINT) AS score
+            FROM (SELECT row_number() OVER () AS row_id, doc_id FROM documents) LEFT JOIN weights USING (row_id)
+        ), placed AS (
+            SELECT *, row_number() OVER (PARTITION BY n_features >= 20 ORDER BY score DESC, doc_id) AS place, count(*) OVER (PARTITION BY n_features >= 20) AS total FROM scored
+        )
+        SELECT doc_id, CAST(n_features AS BIGINT) AS n_features, CAST(weight AS BIGINT) AS weight, CAST(score AS BIGINT) AS score,
+            CASE WHEN n_features >= 20 AND place <= 10 * total // 100 THEN CAST(place AS BIGINT) END AS rank
+        FROM placed
+    """,
+    "op13_divergence": r"""
+        WITH d AS (SELECT row_number() OVER () AS row_id, coalesce(lang, '') AS lang, coalesce(source, '') AS source, coalesce(text, '') AS text FROM documents),
+        words AS (SELECT row_id, lang, source, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM d),
+        kept AS (SELECT lang, term, count(*) AS c FROM words GROUP BY ALL HAVING count(DISTINCT row_id) >= 30),
+        grp AS (SELECT DISTINCT lang, source FROM d),
+        own AS (SELECT lang, source, term, count(*) AS c FROM words SEMI JOIN kept USING (lang, term) GROUP BY ALL),
+        v AS (SELECT lang, count(*) AS v, sum(c) AS n FROM kept GROUP BY lang),
+        size AS (SELECT grp.lang, grp.source, coalesce(sum(c), 0) AS n FROM grp LEFT JOIN own USING (lang, source) GROUP BY ALL),
+        p AS (
+            SELECT size.lang, size.source, kept.term, coalesce(own.c, 0) AS c, 1 + 1000000000 * (coalesce(own.c, 0) + 5)::HUGEINT // (size.n + 5 * v.v) AS p,
+                1 + 1000000000 * (kept.c + 5)::HUGEINT // (v.n + 5 * v.v) AS q
+            FROM size JOIN v USING (lang) JOIN kept USING (lang) LEFT JOIN own ON own.lang = size.lang AND own.source = size.source AND own.term = kept.term
+        ), pairs AS (
+            SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(x.value, 0) AS value
+            FROM grp a JOIN grp b ON a.lang = b.lang AND a.source <> b.source
+            LEFT JOIN (SELECT a.lang, a.source, b.source AS item, sum(abs(a.p - b.p)) AS value FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL) x
+                ON x.lang = a.lang AND x.source = a.source AND x.item = b.source
+        ), both_parts AS (
+            SELECT * FROM pairs UNION ALL SELECT lang, source, 'term', term, p - q FROM p WHERE c > 0 AND p > q
+        ), ranked AS (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS r FROM both_parts)
+        SELECT lang, source, part, item, CAST(value AS BIGINT) AS value, CAST(r AS INTEGER) AS rank FROM ranked WHERE part = 'pair' OR r <= 50
+    """,
 }
