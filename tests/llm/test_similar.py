@@ -105,6 +105,28 @@ def test_odd_rows(odd_docs, no_docs):
     assert near_duplicates.near_duplicates(no_docs).count() == 0
 
 
+def test_ids_that_stand_for_several_texts(spark):
+    """Every text of a repeated id links it: with the larger and with the smaller id repeated, and beside an empty row."""
+    r = np.random.default_rng(5)
+    bases = [[f"{c}{r.integers(1 << 30)}" for _ in range(60)] for c in "pqrst"]
+    near = [edited(r, b, 1) for b in bases]
+    rows = [(50, " ".join(b)) for b in bases[:3]] + [(10 + i, t) for i, t in enumerate(near[:3])]
+    rows += [(3, " ".join(bases[3])), (3, " ".join(bases[4])), (3, " ".join(bases[4])), (30, near[3]), (31, near[4]), (31, ""), (60, None), (60, near[3])]
+    for k, percent in ((3, 85), (5, 80)):
+        want = brute(rows, k, percent)
+        assert {c for i, _, c in want if i in (10, 11, 12, 50)} == {10} and {c for i, _, c in want if i in (3, 30, 31, 60)} == {3}
+        assert result(spark.createDataFrame(rows, "doc_id long, text string").repartition(5), k, percent) == want
+
+
+def test_partners_of_a_hot_centre(spark, monkeypatch):
+    """One text with many near copies: its partners are dealt out to several tasks."""
+    monkeypatch.setattr(near_duplicates, "PARTNERS", 7)
+    r = np.random.default_rng(12)
+    base = [f"w{r.integers(1 << 30)}" for _ in range(90)]
+    rows = [(i, edited(r, base, 1)) for i in range(60)] + [(100 + i, edited(r, base, 30)) for i in range(20)]
+    assert result(spark.createDataFrame(rows, "doc_id long, text string"), 3, 85) == brute(rows, 3, 85)
+
+
 def test_components_of_a_long_path(spark):
     edges = [(i, i + 1) for i in range(60)] + [(i + 1, i) for i in range(5)] + [(100, 101), (7, 7), (None, 3), (5, None)]
     got = dict(map(tuple, components.components(spark.createDataFrame(edges, "a long, b long")).collect()))

@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tickloom.session import ship_package
 
 BLOCK_BYTES = 2 << 20
+BATCH_BYTES = 8 << 20
+BATCH_CONF = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
 def position(df: DataFrame, name: str) -> int:
@@ -23,10 +26,29 @@ def position(df: DataFrame, name: str) -> int:
     raise ValueError(f"no column {name!r} among {df.columns}")
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Arrow batches of at most ``BATCH_BYTES`` (or less, if the session says so).
+
+    A batch stands in memory several times: in the JVM's growing vectors, in the stream and
+    in the Python worker. Spark's own bound of 64 MB fits one row of many megabytes, not
+    thousands of ordinary texts per running task.
+    """
+    if size_in_bytes(spark.conf.get(BATCH_CONF, "64m")) > BATCH_BYTES:
+        spark.conf.set(BATCH_CONF, str(BATCH_BYTES))
+
+
+def size_in_bytes(text: str) -> int:
+    """A size as Spark's settings write it ("64m", "67108864b"); unlimited ones are the largest."""
+    found = re.fullmatch(r"\s*(-?\d+)\s*([kmgtp]?)b?\s*", text.lower())
+    size = int(found[1]) << 10 * " kmgtp".index(found[2] or " ") if found else -1
+    return size if size > 0 else 1 << 62
+
+
 def by_position(df: DataFrame) -> DataFrame:
     """``df`` with its columns named ``_0``, ``_1``, ...: extra columns with clashing names
     never make a reference ambiguous."""
     ship_package(df.sparkSession)
+    small_batches(df.sparkSession)
     return df.toDF(*[f"_{i}" for i in range(len(df.columns))])
 
 
