@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from tickloom.llm import language, near_duplicates, packing, quality
 from tickloom.llm.frames import by_position, kept_rows, position
 from tickloom.llm.queries import language_model, quality_model, table, tokenizer_path
-from tickloom.session import scratch_path, ship_package
+from tickloom.session import pin, scratch_path, ship_package
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -42,9 +42,12 @@ def keep_one(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Rows with a null id stay; of rows that repeat an id one stays.
     """
     found = near_duplicates.near_duplicates(docs, words=5, percent=80)
-    kept = found.where(F.col("kept") & F.col("doc_id").isNotNull()).select(F.col("doc_id").alias("kept_id")).distinct()
+    kept = pin(found.where(F.col("kept") & F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").alias("kept_id")).agg(F.count(F.lit(1)).alias("rows")))
     flat, own = by_position(docs), F.col(f"_{position(docs, 'doc_id')}")
-    chosen = flat.join(kept, own == F.col("kept_id")).dropDuplicates(["kept_id"]).drop("kept_id")
+    chosen = flat.join(kept.select("kept_id"), own == F.col("kept_id"))
+    if not kept.where("rows > 1").isEmpty():
+        chosen = chosen.dropDuplicates(["kept_id"])
+    chosen = chosen.drop("kept_id")
     return chosen.union(flat.where(own.isNull())).toDF(*docs.columns)
 
 
