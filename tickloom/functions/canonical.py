@@ -274,3 +274,10 @@ def unique_columns(*frames_columns: list[str]) -> list[str]:
     return list(dict.fromkeys(reduce(lambda a, b: a + b, frames_columns, [])))
 
 
+def side_by_side(frames: list[DataFrame], on: list[str]) -> DataFrame:
+    """Frames joined on their key columns; a column that repeats is taken from the first frame that has it."""
+    out = frames[0]
+    for other in frames[1:]:
+        fresh = [c for c in unique_columns(out.columns, other.columns) if c not in out.columns]
+        out = out.join(other.select(*on, *fresh), on)
+    return out

@@ -165,7 +165,7 @@ def per_group(
     df: DataFrame,
     f: Frames,
     outputs: dict[str, str],
-    fn: Callable[[dict[str, np.ndarray]], dict[str, np.ndarray]],
+    fn: Callable[[dict[str, np.ndarray]], dict[str, np.ndarray | pa.Array]],
     inputs: list[str],
 ) -> DataFrame:
     """Add columns computed by numpy over one sorted group (a key, or a cell of it).
@@ -198,6 +198,9 @@ def per_group(
         arrays = {c: table[c].to_pandas().to_numpy() for c in inputs}
         parts = [fn({c: a[i:j] for c, a in arrays.items()}) for i, j in zip(starts, ends)]
         for n in outputs:
+            if isinstance(parts[0][n], pa.Array):
+                table = table.append_column(n, pa.concat_arrays([p[n] for p in parts]).cast(arrow[n]))
+                continue
             values = pd.Series(np.concatenate([p[n] for p in parts]))
             table = table.append_column(n, pa.Array.from_pandas(values, mask=values.isnull().to_numpy(), type=arrow[n]))
         yield from table.combine_chunks().to_batches()

@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -71,34 +72,28 @@ def averaged(metrics: DataFrame, by: list[str], cols: list[str], prefix: str) ->
     return metrics.groupBy(*by).agg(*[F.avg(c).alias(f"{prefix}_{c}") for c in cols])
 
 
-def bootstrap_sharpe(df: DataFrame, pnl: str, key: str, iterations: int = 1000, seed: int = 42) -> DataFrame:
-    """Bootstrap of the Sharpe ratio: p05, p50, p95.
+# Poisson(1): the chances of 0, of at most 1, ... of at most 7 draws
+_DRAWS = [sum(1 / math.factorial(i) for i in range(k + 1)) / math.e for k in range(8)]
 
-    Each row gets a Poisson(1) weight per replicate from a hash of its key, so results
-    do not depend on partitioning. A task emits only weighted moments, one row per
-    replicate; resampled rows are never formed.
-    """
 
-    def moments(batches):
-        total = np.zeros((iterations, 3))
-        reps = np.arange(iterations, dtype="uint64")
-        cuts = np.cumsum([np.exp(-1.0) / f for f in (1, 1, 2, 6, 24, 120, 720, 5040)])
-        for pdf in batches:
-            x = pdf["x"].to_numpy("float64")
-            ids = pdf["k"].to_numpy("int64").astype("uint64")
-            for i in range(0, len(x), 4096):
-                u = _uniform(ids[i : i + 4096, None], reps[None, :], seed)
-                w = np.searchsorted(cuts, u, side="right").astype("float64")
-                part = x[i : i + 4096, None]
-                total[:, 0] += w.sum(axis=0)
-                total[:, 1] += (w * part).sum(axis=0)
-                total[:, 2] += (w * part * part).sum(axis=0)
-        yield pd.DataFrame({"rep": np.arange(iterations), "n": total[:, 0], "s": total[:, 1], "q": total[:, 2]})
-
-    rows = df.select(F.xxhash64(key).alias("k"), F.col(pnl).cast("double").alias("x"))
-    per = rows.mapInPandas(moments, "rep long, n double, s double, q double").groupBy("rep").agg(
-        F.sum("n").alias("n"), F.sum("s").alias("s"), F.sum("q").alias("q")
-    )
+def bootstrap_sharpe(df: DataFrame, pnl: str, block: str | list[str], iterations: int = 1000, seed: int = 42) -> DataFrame:
+    """Block bootstrap of the Sharpe ratio of rows: p05, p50, p95.
+
+    Rows of a block (a day, a trade) are drawn together, so dependence inside it is kept. In
+    every replicate a block gets a Poisson(1) weight from the MD5 of seed, replicate and
+    block, so results do not depend on partitioning. Only the sums of a block meet the
+    replicates; resampled rows are never formed.
+    """
+    block = [block] if isinstance(block, str) else block
+    x = F.col(pnl).cast("double")
+    sums = df.groupBy(*block).agg(F.count(x).alias("n"), F.sum(x).alias("s"), F.sum(x * x).alias("q"))
+    name = F.concat_ws("|", *[F.col(c).cast("string") for c in block])
+    drawn = sums.withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(iterations - 1))))
+    digest = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("rep").cast("string"), name))
+    u = F.conv(F.substring(digest, 1, 12), 16, 10).cast("double") / F.lit(float(1 << 48))
+    drawn = drawn.withColumn("_u", u)
+    drawn = drawn.withColumn("_w", sum((flag(F.col("_u") >= cut) for cut in _DRAWS), F.lit(0)))
+    per = drawn.groupBy("rep").agg(*[F.sum(F.col("_w") * F.col(c)).alias(c) for c in "nsq"])
     mean = F.col("s") / F.col("n")
     sd = F.sqrt(F.greatest(F.col("q") / F.col("n") - mean * mean, F.lit(0.0)))
     sharpe = per.filter("n > 0").select((mean / (sd + 1e-9) * F.lit(float(YEAR) ** 0.5)).alias("sharpe"))
@@ -110,16 +105,6 @@ def bootstrap_sharpe(df: DataFrame, pnl: str, key: str, iterations: int = 1000,
     )
 
 
-def _uniform(ids: np.ndarray, reps: np.ndarray, seed: int) -> np.ndarray:
-    """Counter-based uniforms in [0, 1) (splitmix64 finaliser)."""
-    with np.errstate(over="ignore"):
-        z = ids + np.uint64(seed) * np.uint64(0x9E3779B97F4A7C15) + reps * np.uint64(0xD1B54A32D192ED03)
-        z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-        z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-        z = z ^ (z >> np.uint64(31))
-    return (z >> np.uint64(11)).astype("float64") / float(1 << 53)
-
-
 def trade_pairs(trades: DataFrame, order: EventOrder, tick_value: float = 1.0) -> DataFrame:
     """Trades 1-2, 3-4, ... of a key as round trips; pairs on one side are left out."""
     order = order.measured(trades)
@@ -192,19 +177,19 @@ def equity_risk(equity: DataFrame, order: EventOrder, initial: float, date: str
 def affine_scan(df: DataFrame, order: EventOrder, a: Column, b: Column, before: str, after: str) -> DataFrame:
     """y_t = a_t * y_(t-1) + b_t from y = 0, before and after each row.
 
-    Affine maps compose, so a hot key is scanned per cell and the few cell maps are
-    chained afterwards.
+    Affine maps compose, so a group is scanned by doubling (maps of 1, 2, 4, ... rows), and
+    a hot key per cell with the few cell maps chained afterwards.
     """
     order = order.measured(df)
 
     def scan(g: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
-        n = len(g["_step_a"])
-        A, B = np.empty(n), np.empty(n)
-        x, y = 1.0, 0.0
-        for i in range(n):
-            x, y = x * g["_step_a"][i], y * g["_step_a"][i] + g["_step_b"][i]
-            A[i], B[i] = x, y
-        return {"_map_a": A, "_map_b": B}
+        x, y = g["_step_a"].astype("float64"), g["_step_b"].astype("float64")
+        reach = 1
+        while reach < len(x):  # row i stands for the maps of its last 2 * reach rows
+            y = np.concatenate([y[:reach], x[reach:] * y[:-reach] + y[reach:]])
+            x = np.concatenate([x[:reach], x[reach:] * x[:-reach]])
+            reach *= 2
+        return {"_map_a": x, "_map_b": y}
 
     d = df.withColumns({"_step_a": a.cast("double"), "_step_b": b.cast("double")})
     maps = {"_map_a": "double", "_map_b": "double"}

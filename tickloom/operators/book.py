@@ -7,14 +7,14 @@ of events, where a cell starts from the levels that are live at its first row.
 
 from __future__ import annotations
 
-from bisect import bisect_left, insort
-
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tickloom.functions.cols import ratio
 from tickloom.functions.fast import per_group
+from tickloom.operators.levels import side_of, taken
 from tickloom.operators.microstructure import clamped_sum
 from tickloom.order import EventOrder, running
 
@@ -104,66 +104,38 @@ def order_book(df: DataFrame, order: EventOrder, fills_reduce: bool = False) ->
     return running(changes, level, {"level_size": ("sum", F.coalesce(F.col("delta"), F.lit(0)))})
 
 
-def _apply(prices: list, sizes: dict, price: float, size: float) -> float:
-    """Set one level; returns the change of the side's total."""
-    old = sizes.get(price, 0)
-    if size > 0:
-        if price not in sizes:
-            insort(prices, price)
-        sizes[price] = size
-    elif price in sizes:
-        del sizes[price]
-        prices.pop(bisect_left(prices, price))
-    return (size if size > 0 else 0) - old
-
-
 def _replayer(k: int):
     """Best levels, totals and top-k depth after each row of a sorted cell."""
 
-    def fn(g: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
-        n = len(g["_side"])
-        out = {c: np.full(n, np.nan) for c in ("best_bid", "best_ask", "bid_size", "ask_size", "bid_total", "ask_total", "sweep_levels")}
-        tops = {c: np.empty(n, dtype=object) for c in ("bid_prices", "bid_sizes", "ask_prices", "ask_sizes")}
-        bids, asks, bq, aq = [], [], {}, {}
-        bt = at = 0.0
-        side, price, size, clear, take = (g[c] for c in ("_side", "_price", "_size", "_clear", "_take"))
-        for i in range(n):
-            if clear[i]:
-                bids, asks, bq, aq, bt, at = [], [], {}, {}, 0.0, 0.0
-            if take[i] > 0:
-                out["sweep_levels"][i] = _levels_taken(bids, asks, bq, aq, g["_taker"][i], g["_limit"][i], take[i])
-            if side[i] == "B":
-                bt += _apply(bids, bq, price[i], size[i])
-            elif side[i] == "A":
-                at += _apply(asks, aq, price[i], size[i])
-            if bids:
-                out["best_bid"][i], out["bid_size"][i] = bids[-1], bq[bids[-1]]
-            if asks:
-                out["best_ask"][i], out["ask_size"][i] = asks[0], aq[asks[0]]
-            out["bid_total"][i], out["ask_total"][i] = bt, at
-            b, a = bids[: -k - 1 : -1] if k else [], asks[:k]
-            tops["bid_prices"][i], tops["ask_prices"][i] = b, a
-            tops["bid_sizes"][i], tops["ask_sizes"][i] = [float(bq[p]) for p in b], [float(aq[p]) for p in a]
-        return {**out, **tops}
+    def fn(g: dict[str, np.ndarray]) -> dict[str, np.ndarray | pa.Array]:
+        clear, take = g["_clear"].astype(bool), g["_take"].astype("float64")
+        price, size = g["_price"].astype("float64"), g["_size"].astype("float64")
+        epoch, n = np.cumsum(clear), len(clear)
+        out: dict[str, np.ndarray | pa.Array] = {}
+        sides = {name: side_of(code, g["_side"], price, size, epoch) for name, code in (("bid", "B"), ("ask", "A"))}
+        for name, side in sides.items():
+            tops = np.stack([best for best, _ in zip(side.levels(), range(max(k, 1)))], axis=1)
+            first, here = tops[:, 0], tops[:, 0] >= 0
+            for c, values in ((f"best_{name}", side.price), (f"{name}_size", side.size)):
+                out[c] = np.full(n, np.nan)
+                out[c][here] = values[first[here]]
+            out[f"{name}_total"] = side.totals()
+            tops = tops[:, :k]
+            offsets = np.concatenate([[0], np.cumsum((tops >= 0).sum(axis=1))]).astype("int32")
+            flat = tops[tops >= 0]
+            for c, values in ((f"{name}_prices", side.price), (f"{name}_sizes", side.size)):
+                out[c] = pa.ListArray.from_arrays(pa.array(offsets), pa.array(values[flat], pa.float64()))
+        out["sweep_levels"] = np.full(n, np.nan)
+        takes = np.flatnonzero(take > 0)
+        buys = g["_taker"][takes] == "B"
+        for at, side, above in ((takes[buys], sides["ask"], False), (takes[~buys], sides["bid"], True)):
+            if len(at):  # the book before the row, empty after a clear
+                out["sweep_levels"][at] = taken(side, np.where(clear[at], -1, at - 1), g["_limit"][at].astype("float64"), take[at], above)
+        return out
 
     return fn
 
 
-def _levels_taken(bids, asks, bq, aq, taker, limit, size) -> int:
-    """Opposite levels a fill of this size consumes within its price."""
-    taken = 0
-    if taker == "B":
-        ladder, sizes = (p for p in asks if p <= limit), aq
-    else:
-        ladder, sizes = (p for p in reversed(bids) if p >= limit), bq
-    for p in ladder:
-        if size <= 0:
-            break
-        taken += 1
-        size -= sizes[p]
-    return taken
-
-
 _REPLAY = {
     **{c: "double" for c in ("best_bid", "best_ask", "bid_size", "ask_size", "bid_total", "ask_total", "sweep_levels")},
     **{c: "array<double>" for c in ("bid_prices", "bid_sizes", "ask_prices", "ask_sizes")},

@@ -46,28 +46,24 @@ def _share(values: np.ndarray, limit: np.ndarray, n: int, above: bool) -> np.nda
 
 
 def _mode_share(values: np.ndarray, n: int) -> np.ndarray:
-    """Share of the most frequent value in each n-row window, kept incrementally."""
+    """Share of the most frequent value in each n-row window; NaN before n rows.
+
+    Windows are taken n at a time. A value's count in all of them is a difference of its
+    running count; values come in order of how often they occur near these windows, and
+    the rest is left out once it occurs no more often than every window's mode so far.
+    """
     out = np.full(len(values), np.nan)
-    counts: dict = {}
-    of: dict[int, int] = {}
-    top = 0
-    for i, v in enumerate(values):
-        if i >= n:
-            old = values[i - n]
-            c = counts[old]
-            counts[old] = c - 1
-            of[c] -= 1
-            of[c - 1] = of.get(c - 1, 0) + 1
-            if c == top and of[c] == 0:
-                top -= 1
-        c = counts.get(v, 0)
-        if c:
-            of[c] -= 1
-        counts[v] = c + 1
-        of[c + 1] = of.get(c + 1, 0) + 1
-        top = max(top, c + 1)
-        if i >= n - 1:
-            out[i] = top / n
+    codes = np.unique(values, return_inverse=True)[1]
+    for first in range(n - 1, len(values), n):
+        near = codes[first - n + 1 : first + n]
+        often = np.bincount(near)
+        best = np.zeros(len(near) - n + 1, dtype=np.int64)
+        for code in np.argsort(-often, kind="stable"):
+            if often[code] <= best.min():
+                break
+            seen = np.concatenate([[0], np.cumsum(near == code)])
+            np.maximum(best, seen[n:] - seen[:-n], out=best)
+        out[first : first + len(best)] = best / n
     return out
 
 

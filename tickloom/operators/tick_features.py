@@ -132,10 +132,29 @@ def event_features(df: DataFrame, order: EventOrder) -> DataFrame:
 
 
 def flow_features(df: DataFrame, order: EventOrder, minutes: list[int]) -> DataFrame:
-    """Volumes by side and action, price range and counts over trailing minutes."""
+    """Volumes by side and action, price range and counts over trailing minutes.
+
+    Distinct (price, side): an occurrence covers the time until it leaves the window. Where
+    the cover of a value starts anew a row counts one; where it ends before the value comes
+    again, the row takes it back once it has left. So the count is the covers open now: a
+    running sum of starts less ends, plus the ends of rows still in the window.
+    """
     order = order.measured(df)
     horizons = {f"w{m}": m * 60_000_000_000 for m in minutes}
-    base = running(df, order, {"_base": ("first", "price")})
+    clock = F.col(order.ts)
+
+    def near(d: DataFrame, f: Frames) -> DataFrame:
+        w = f.ordered()
+        gaps = {"_since": clock - F.lag(order.ts).over(w), "_until": F.lead(order.ts).over(w) - clock}
+        return d.withColumns(gaps)
+
+    base = windowed(df, order.by(*order.keys, "price", "side"), near, before=1, after=1)
+    covers = {}
+    for h, ns in horizons.items():
+        covers[f"_end_{h}"] = F.when(F.col("_until") <= ns, 0).otherwise(1)
+        covers[f"_open_{h}"] = F.when(F.col("_since") <= ns, 0).otherwise(1) - F.when(F.col("_until") <= ns, 0).otherwise(1)
+    base = base.withColumns(covers).drop("_since", "_until")
+    base = running(base, order, {"_base": ("first", "price"), **{f"_covers_{h}": ("sum", f"_open_{h}") for h in horizons}})
     x = F.col("price") - F.col("_base")
     size_if = lambda c: F.when(c, F.col("size")).otherwise(0)
     sums: dict[str, Column] = {
@@ -155,7 +174,7 @@ def flow_features(df: DataFrame, order: EventOrder, minutes: list[int]) -> DataF
         for h, ns in horizons.items():
             w = f.trailing(ns)
             cols[f"{h}_range"] = F.max("price").over(w) - F.min("price").over(w)
-            cols[f"{h}_unique"] = F.size(F.collect_set(F.struct("price", "side")).over(w))
+            cols[f"{h}_unique"] = F.sum(f"_end_{h}").over(w) + F.max(F.struct(*order.order, f"_covers_{h}")).over(f.trailing(0))[f"_covers_{h}"]
         return d.withColumns(cols)
 
     out = time_windowed(out, order, spread, max(horizons.values()))
@@ -180,7 +199,7 @@ def flow_features(df: DataFrame, order: EventOrder, minutes: list[int]) -> DataF
             f"avg_order_size_{m}m": g("volume") / n,
         }
     scratch = [c for c in out.columns if c.split("_")[0] in horizons]
-    return out.withColumns(cols).drop("_base", *scratch)
+    return out.withColumns(cols).drop("_base", *scratch, *[f"{c}{h}" for h in horizons for c in ("_end_", "_open_", "_covers_")])
 
 
 def history_features(df: DataFrame, order: EventOrder, large: float = 100) -> DataFrame:

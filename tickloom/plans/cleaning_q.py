@@ -322,6 +322,20 @@ def column_subsets(spark, sf):
     return mbo(spark, sf).select(*keep)
 
 
+@query(
+    "side_by_side_columns",
+    "instrument sequence action side size",
+    "price notional",
+    f"WITH {MBO_SQL} SELECT instrument, sequence, action, side, size, price, price * size AS notional FROM mbo",
+)
+def side_by_side_columns(spark, sf):
+    """Two feature tables that share columns, put side by side; a name that repeats comes from the first."""
+    m = mbo(spark, sf)
+    left = m.select("instrument", "sequence", "action", "price", "size")
+    right = m.select("instrument", "sequence", "side", (F.col("price") + 1).alias("price"), (F.col("price") * F.col("size")).alias("notional"))
+    return can.side_by_side([left, right], ["instrument", "sequence"])
+
+
 MID_SQL = f"""mid AS (SELECT *, avg(price) OVER {rows(20)} AS mid FROM mbo)"""
 
 

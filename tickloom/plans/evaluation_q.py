@@ -229,9 +229,21 @@ def walk_forward_averages(spark, sf):
     return bt.averaged(walk_forward_metrics(spark, sf), ["role"], ["sharpe", "win_rate"], "wf")
 
 
-@query("bootstrap_sharpe", "", "sharpe_p05 sharpe_p50 sharpe_p95")
+@query(
+    "bootstrap_sharpe",
+    "",
+    "sharpe_p05 sharpe_p50 sharpe_p95",
+    f"""WITH {MBO_SQL}, {_BT}, b AS (SELECT instrument || '|' || CAST(trade_date AS VARCHAR) AS k, count(*) AS n, sum(pnl) AS s, sum(pnl * pnl) AS q FROM pe GROUP BY 1),
+    u AS (SELECT b.*, r, CAST('0x' || substr(md5('42:' || r || ':' || k), 1, 12) AS BIGINT) / 281474976710656.0::DOUBLE AS u FROM b, range(1000) t(r)),
+    w AS (SELECT *, {' + '.join(f"CAST(u >= {c!r}::DOUBLE AS INTEGER)" for c in bt._DRAWS)} AS w FROM u),
+    m AS (SELECT r, sum(w * n) AS n, sum(w * s) AS s, sum(w * q) AS q FROM w GROUP BY r HAVING sum(w * n) > 0),
+    h AS (SELECT s / n / (sqrt(greatest(q / n - pow(s / n, 2), 0)) + 1e-9) * sqrt(252) AS x FROM m)
+    SELECT quantile_cont(x, 0.05) AS sharpe_p05, quantile_cont(x, 0.5) AS sharpe_p50, quantile_cont(x, 0.95) AS sharpe_p95 FROM h""",
+    digits=6,
+)
 def bootstrap_sharpe(spark, sf):
-    return bt.bootstrap_sharpe(traded(spark, sf)[0], "pnl", "sequence")
+    """Days of an instrument are drawn together."""
+    return bt.bootstrap_sharpe(traded(spark, sf)[0], "pnl", ["instrument", "trade_date"])
 
 
 _PAIRS = f"""fl AS (SELECT *, row_number() OVER ({W}) AS rn FROM mbo WHERE action = 'F' AND side <> 'N'), pr AS (SELECT instrument, (rn - 1) // 2 AS pair, arg_min(side, rn) AS s1, arg_max(side, rn) AS s2, arg_min(price, rn) AS p1, arg_max(price, rn) AS p2, arg_min(size, rn) AS q, count(*) AS n FROM fl GROUP BY 1, 2),
@@ -280,7 +292,22 @@ def equity_daily_risk(spark, sf):
     return bt.equity_risk(t.withColumn("equity", F.col("equity") + 100000.0), o, 100000.0)
 
 
-@query("position_average_cost", "instrument sequence position", "avg_price trade_pnl realized_pnl")
+@query(
+    "position_average_cost",
+    "instrument sequence position",
+    "avg_price trade_pnl realized_pnl",
+    f"""WITH RECURSIVE {MBO_SQL}, f AS (SELECT instrument, sequence, price, CASE WHEN side = 'B' THEN size ELSE -size END AS q, row_number() OVER ({W}) AS rn FROM mbo WHERE action = 'F' AND side <> 'N'),
+    p AS (
+      SELECT instrument, sequence, rn, CAST(q AS BIGINT) AS position, price AS avg_price, 0.0::DOUBLE AS trade_pnl, 0.0::DOUBLE AS realized_pnl FROM f WHERE rn = 1
+      UNION ALL
+      SELECT f.instrument, f.sequence, f.rn, p.position + f.q,
+        CASE WHEN p.position + f.q = 0 THEN 0 WHEN p.position * f.q >= 0 THEN (abs(p.position) * p.avg_price + abs(f.q) * f.price) / abs(p.position + f.q)
+          WHEN p.position * (p.position + f.q) > 0 THEN p.avg_price ELSE f.price END,
+        CASE WHEN p.position * f.q >= 0 THEN 0 ELSE least(abs(f.q), abs(p.position)) * sign(p.position) * (f.price - p.avg_price) END,
+        p.realized_pnl + CASE WHEN p.position * f.q >= 0 THEN 0 ELSE least(abs(f.q), abs(p.position)) * sign(p.position) * (f.price - p.avg_price) END
+      FROM p JOIN f ON f.instrument = p.instrument AND f.rn = p.rn + 1
+    ) SELECT * FROM p""",
+)
 def position_average_cost(spark, sf):
     m, o = sided_fills(spark, sf)
     return bt.positions(m, o).withColumn("position", F.col("position").cast("long"))
