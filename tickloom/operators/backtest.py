@@ -12,11 +12,12 @@ from tickloom.functions.cols import flag, ratio
 from tickloom.functions.fast import per_group
 from tickloom.operators.joins import asof_last
 from tickloom.operators.quantiles import exact_quantiles
-from tickloom.order import EventOrder, Frames, number_rows, running, time_windowed, windowed
+from tickloom.order import EventOrder, Frames, number_rows, one_pin, running, time_windowed, windowed
 
 YEAR = 252
 
 
+@one_pin
 def vector_backtest(
     df: DataFrame, order: EventOrder, prediction: str = "prediction",
     commission: float = 0.0, slippage_ticks: float = 0.0, tick: float = 0.25,
@@ -39,6 +40,7 @@ def vector_backtest(
     return running(d, order, {"equity": ("sum", "pnl")})
 
 
+@one_pin
 def with_drawdown(df: DataFrame, order: EventOrder, equity: str = "equity", eps: float = 1e-9) -> DataFrame:
     """(equity - running peak) / (peak + eps)."""
     d = running(df, order, {"_peak": ("max", equity)})
@@ -141,6 +143,7 @@ def trade_statistics(pairs: DataFrame, by: list[str], pnl: str = "pnl") -> DataF
     ).drop("_gain", "_loss")
 
 
+@one_pin
 def equity_risk(equity: DataFrame, order: EventOrder, initial: float, date: str = "trade_date") -> DataFrame:
     """Per key: return, daily Sharpe and volatility, drawdown, VaR and CVaR of days."""
     order = order.measured(equity)
@@ -211,6 +214,7 @@ def affine_scan(df: DataFrame, order: EventOrder, a: Column, b: Column, before:
     return out.drop("_step_a", "_step_b", "_map_a", "_map_b")
 
 
+@one_pin
 def positions(fills: DataFrame, order: EventOrder) -> DataFrame:
     """Position, average cost and realised pnl after each fill.
 
@@ -362,6 +366,7 @@ def barrier_exits(
     return out.filter(F.col(entry)).drop(*back.values()).withColumns({"pnl_ticks": ticks, "pnl_dollars": ticks * tick_value})
 
 
+@one_pin
 def trade_history_summary(trades: DataFrame, order: EventOrder, by: list[str], initial: float = 100_000.0) -> DataFrame:
     """Wins, losses, profit factor, drawdown, Sharpe, Sortino, Calmar, VaR, CVaR per group.
 

@@ -16,7 +16,7 @@ from tickloom.functions.cols import ratio
 from tickloom.functions.fast import per_group
 from tickloom.operators.levels import side_of, taken
 from tickloom.operators.microstructure import clamped_sum
-from tickloom.order import EventOrder, running
+from tickloom.order import EventOrder, one_pin, running
 
 LEVEL = ("book_epoch", "level_side", "price")
 
@@ -26,6 +26,7 @@ def with_epoch(df: DataFrame, order: EventOrder) -> DataFrame:
     return running(df, order, {"book_epoch": ("count", F.when(F.col("action") == "R", F.lit(1)))})
 
 
+@one_pin
 def level_book(df: DataFrame, order: EventOrder, fills: str = "own") -> DataFrame:
     """Each event with the size of the level it touches before and after it.
 
@@ -44,6 +45,7 @@ def level_book(df: DataFrame, order: EventOrder, fills: str = "own") -> DataFram
     return clamped_sum(d, order.by(*order.keys, *LEVEL), step, "level_size", "level_size_before")
 
 
+@one_pin
 def order_states(df: DataFrame, order: EventOrder, fills_reduce: bool = False) -> DataFrame:
     """Each event with its order's resting price, side and size after it.
 
@@ -82,6 +84,7 @@ def order_states(df: DataFrame, order: EventOrder, fills_reduce: bool = False) -
     return d.drop("_life", "_seg", "_size0", "_price0", "_cut", "_rest", "_side0", "_low")
 
 
+@one_pin
 def order_book(df: DataFrame, order: EventOrder, fills_reduce: bool = False) -> DataFrame:
     """Level changes of the order-level book: each event leaves the order's old level
     and enters its new one; ``level_size`` is the level's size afterwards."""

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tickloom.functions.cols import clip, flag
 from tickloom.functions.fast import correlation, per_group, rolling, rolling_quantile
 from tickloom.operators.normalise import scored
-from tickloom.order import EventOrder, Frames, windowed
+from tickloom.order import EventOrder, Frames, one_pin, windowed
 from tickloom.session import pin
 
 WINDOW = 1000
@@ -67,6 +67,7 @@ def _mode_share(values: np.ndarray, n: int) -> np.ndarray:
     return out
 
 
+@one_pin
 def by_side(df: DataFrame, order: EventOrder, n: int) -> DataFrame:
     """Within one side: share of sizes above the window's 0.8 quantile, fill ratio,
     continuation, and correlation of size with the price five rows ahead."""
@@ -126,6 +127,7 @@ def iceberg_probability(df: DataFrame, order: EventOrder, n: int) -> DataFrame:
     return windowed(df, order.by(*order.keys, "price", "side"), body, before=n)
 
 
+@one_pin
 def flow_features(df: DataFrame, order: EventOrder, n: int = WINDOW) -> DataFrame:
     """All flow features. ``flow_price_impact_accuracy`` and ``flow_price_correlation``
     look five rows ahead (label-like)."""

@@ -14,7 +14,7 @@ from tickloom.operators.bars import signed_size
 from tickloom.operators.book import level_book
 from tickloom.operators.horizons import trailing
 from tickloom.operators.joins import asof_last
-from tickloom.order import EventOrder, Frames, running, windowed
+from tickloom.order import EventOrder, Frames, one_pin, running, windowed
 from tickloom.session import pin
 
 MINUTE = 60_000_000_000
@@ -109,6 +109,7 @@ def absorption_counts(df: DataFrame, order: EventOrder, window_ns: int = MINUTE)
     ).drop("_w_a", "_w_r", "_w_x", "_w_events")
 
 
+@one_pin
 def large_orders(df: DataFrame, order: EventOrder, large: int = 1000) -> DataFrame:
     """Events of at least ``large`` with the fragments their order showed before."""
     order = order.measured(df)
@@ -186,6 +187,7 @@ def _anchored_in_cells(df: DataFrame, order: EventOrder, window_ns: int, out: st
     return df.join(numbered.select(*keys, F.col("_t").alias(order.ts), (F.col("_n") - 1).alias(out)), [*keys, order.ts])
 
 
+@one_pin
 def icebergs(
     df: DataFrame, order: EventOrder, min_size: int = 500, refills: int = 3, window_ns: int = MINUTE
 ) -> DataFrame:
@@ -227,6 +229,7 @@ def icebergs(
     )
 
 
+@one_pin
 def spoofing_events(df: DataFrame, order: EventOrder, min_size: int = 500, within_ns: int = 5_000_000_000, layer: int = 1000) -> DataFrame:
     """Large orders cancelled soon after they were added, scored and typed."""
     order = order.measured(df)

@@ -8,12 +8,13 @@ from pyspark.sql import functions as F
 from tickloom.functions.cols import flag, roll
 from tickloom.functions.fast import per_group, rolling, rolling_quantile
 from tickloom.operators.horizons import trailing
-from tickloom.order import EventOrder, Frames, running, windowed
+from tickloom.order import EventOrder, Frames, one_pin, running, windowed
 
 EVENT_WINDOWS = (10, 25, 50, 100, 200, 500)
 LARGE_HISTORY = 1000
 
 
+@one_pin
 def clamped_sum(
     df: DataFrame, order: EventOrder, delta: Column, after: str, before: str | None = None, reset: str | None = None
 ) -> DataFrame:
@@ -78,6 +79,7 @@ def event_windows(df: DataFrame, order: EventOrder, windows: tuple[int, ...] = E
     return windowed(df, order, body, before=history + max(windows))
 
 
+@one_pin
 def queue_position(df: DataFrame, order: EventOrder) -> DataFrame:
     """Orders ahead of an added order at its price and side, and 1/position."""
     level = order.by(*order.keys, "price", "side")
@@ -126,6 +128,7 @@ def dominance(df: DataFrame, order: EventOrder, n: int = 100) -> DataFrame:
     return windowed(df, order, body, before=n + 1)
 
 
+@one_pin
 def liquidity_void(df: DataFrame, order: EventOrder, n: int = 100) -> DataFrame:
     """Volume pulled by cancels, its speed, void probability and momentum."""
     order = order.measured(df)
@@ -160,6 +163,7 @@ def liquidity_void(df: DataFrame, order: EventOrder, n: int = 100) -> DataFrame:
     return windowed(d, order, body, before=n + 1)
 
 
+@one_pin
 def spoofing(
     df: DataFrame,
     order: EventOrder,
@@ -212,6 +216,7 @@ def spoofing(
     ).drop("_q90", "_life", "_placed_ts", "_placed", "_mods", "_filled")
 
 
+@one_pin
 def trade_runs(df: DataFrame, order: EventOrder, keep: int = 20) -> DataFrame:
     """Runs of same-side fills: length, momentum, size escalation, urgency and trends.
 

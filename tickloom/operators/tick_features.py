@@ -13,9 +13,10 @@ from tickloom.operators.filters import local_time
 from tickloom.operators.horizons import trailing
 from tickloom.operators.joins import asof_last
 from tickloom.operators.quantiles import exact_quantiles
-from tickloom.order import EventOrder, Frames, running, time_windowed, windowed
+from tickloom.order import EventOrder, Frames, one_pin, running, time_windowed, windowed
 
 
+@one_pin
 def basic_features(df: DataFrame, order: EventOrder, convention: str = "aggressor") -> DataFrame:
     """Price change, delta, imbalance, volatility, velocities, VWAP deviation, divergence."""
     order = order.measured(df)
@@ -63,6 +64,7 @@ def basic_features(df: DataFrame, order: EventOrder, convention: str = "aggresso
     return windowed(df, order, body, before=101)
 
 
+@one_pin
 def event_features(df: DataFrame, order: EventOrder) -> DataFrame:
     """Absorption, iceberg, spoofing, aggression surge, liquidity void.
 
@@ -131,6 +133,7 @@ def event_features(df: DataFrame, order: EventOrder) -> DataFrame:
     return out.drop(*[c for c in out.columns if c.startswith("_")])
 
 
+@one_pin
 def flow_features(df: DataFrame, order: EventOrder, minutes: list[int]) -> DataFrame:
     """Volumes by side and action, price range and counts over trailing minutes.
 
@@ -238,6 +241,7 @@ def history_features(df: DataFrame, order: EventOrder, large: float = 100) -> Da
     return windowed(df, order, body, before=501)
 
 
+@one_pin
 def time_rolling(df: DataFrame, order: EventOrder, cols: list[str], minutes: tuple[int, ...] = (1, 5, 15)) -> DataFrame:
     """Mean and sample deviation of columns over (t - m minutes, t]."""
     order = order.measured(df)

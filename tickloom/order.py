@@ -10,12 +10,17 @@ Two physical forms of the same operators:
 
 ``EventOrder.measured`` counts rows per key once and picks the form; nothing is
 dropped or capped in either.
+
+An operator of several steps sorts a huge key once: ``EventOrder.pinned`` numbers the
+rows, writes them with their number and cell, and every later scan over the key, or over
+finer keys inside it, works on those cells (``one_pin`` wraps an operator so).
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterable
 from dataclasses import dataclass, replace
+from functools import reduce, wraps
 
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
@@ -26,6 +31,8 @@ HOT_ROWS_CONF = "tickloom.hotKeyRows"
 CELL_ROWS_CONF = "tickloom.cellRows"
 DEFAULT_HOT_ROWS = 4_000_000
 DEFAULT_CELL_ROWS = 500_000
+_INDEX_BITS = 33  # monotonically_increasing_id: partition above, place in it below
+HELD_NUMBER, HELD_CELL = "_held_rn", "_held_cell"
 
 
 @dataclass(frozen=True)
@@ -34,7 +41,8 @@ class EventOrder:
 
     ``order`` must be unique within a key; ``ts`` is the nanosecond clock used by
     time frames. ``hot`` is the measured decision: True uses cells. ``density`` is the
-    measured number of rows per clock unit of the densest key.
+    measured number of rows per clock unit of the densest key. ``held`` names the keys
+    within which rows already carry a number and a cell.
     """
 
     keys: tuple[str, ...] = ("instrument",)
@@ -43,6 +51,21 @@ class EventOrder:
     hot: bool | None = None
     cell_rows: int | None = None
     density: float | None = None
+    held: tuple[str, ...] = ()
+
+    def pinned(self, df: DataFrame) -> tuple[DataFrame, "EventOrder"]:
+        """``df`` numbered and written once, if its largest key is huge, and the order that knows it."""
+        order = self.measured(df)
+        if not order.hot or order.carried(df):
+            return df, order
+        order = replace(order, held=())
+        size = order.rows_per_cell(df, 1)
+        numbered = number_rows(df, order, HELD_NUMBER).withColumn(HELD_CELL, F.expr(f"({HELD_NUMBER} - 1) div {size}"))
+        return numbered, replace(order, held=order.keys)
+
+    def carried(self, df: DataFrame) -> bool:
+        """Do the rows carry number and cell within some of these keys?"""
+        return bool(self.held) and set(self.held) <= set(self.keys) and {HELD_NUMBER, HELD_CELL} <= set(df.columns)
 
     def measured(self, df: DataFrame) -> "EventOrder":
         """Decide plain or cells from the largest key of ``df`` (one pruned count)."""
@@ -103,37 +126,42 @@ class Frames:
         return Frames((*self.keys, *extra), self.order, self.ts)
 
 
-def _blocks(df: DataFrame, order: EventOrder) -> DataFrame:
-    """Range-partition by (keys, order): a huge key spreads over many blocks.
+def one_pin(operator: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
+    """``operator(df, order, ...)`` whose steps share one sort of a huge key."""
 
-    Range bounds come from a sample, so the block id is pinned before it is used.
-    """
-    ranged = df.repartitionByRange(*[F.col(c) for c in (*order.keys, *order.order)])
-    return pin(ranged.withColumn("_blk", F.spark_partition_id()))
+    @wraps(operator)
+    def run(df: DataFrame, order: EventOrder, *args, **options) -> DataFrame:
+        if HELD_NUMBER in df.columns:  # an operator around this one holds the order
+            return operator(df, order, *args, **options)
+        held, order = order.pinned(df)
+        return operator(held, order, *args, **options).drop(HELD_NUMBER, HELD_CELL)
+
+    return run
 
 
 def number_rows(df: DataFrame, order: EventOrder, name: str = "_rn") -> DataFrame:
-    """Dense 1-based row number per key in replay order."""
+    """Dense 1-based row number per key in replay order.
+
+    A huge key is dealt by ranges of (key, order) and sorted there; a row's number is its
+    place in its range, less that of its key's first row, plus the key's rows in earlier
+    ranges. Range bounds come from a sample, so the sorted rows are pinned first.
+    """
     order = order.measured(df)
     if not order.hot:
         return df.withColumn(name, F.row_number().over(order.frames().ordered()).cast("long"))
-    blocks = _blocks(df, order)
-    local = blocks.withColumn(name, F.row_number().over(order.frames("_blk").ordered()))
-    # At most one key per block continues from an earlier block, so this table has
-    # no more rows than there are blocks and may be broadcast at any data size.
-    before = Window.partitionBy(*order.keys).orderBy("_blk").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = (
-        blocks.groupBy("_blk", *order.keys)
-        .count()
-        .withColumn("_off", F.sum("count").over(before))
-        .filter(F.col("_off") > 0)
-        .drop("count")
-    )
-    return (
-        local.join(F.broadcast(offsets), ["_blk", *order.keys], "left")
-        .withColumn(name, (F.col(name) + F.coalesce(F.col("_off"), F.lit(0))).cast("long"))
-        .drop("_blk", "_off")
-    )
+    if order.carried(df):
+        return running(df, order, {name: ("count", F.lit(1))})
+    keys, ids = list(order.keys), [F.col(c) for c in (*order.keys, *order.order)]
+    ranged = pin(df.repartitionByRange(*ids).sortWithinPartitions(*ids).withColumn("_at", F.monotonically_increasing_id()))
+    ranged = ranged.withColumn("_blk", F.shiftright("_at", _INDEX_BITS))
+    before = Window.partitionBy(*keys).orderBy("_blk").rowsBetween(Window.unboundedPreceding, -1)
+    firsts = ranged.groupBy(*keys, "_blk").agg(F.min("_at").alias("_first"), F.count(F.lit(1)).alias("_rows"))
+    firsts = firsts.withColumn("_before", F.coalesce(F.sum("_rows").over(before), F.lit(0))).drop("_rows")
+    firsts = firsts.withColumnsRenamed({k: f"_key{i}" for i, k in enumerate(keys)} | {"_blk": "_of"})
+    same = [F.col(k).eqNullSafe(F.col(f"_key{i}")) for i, k in enumerate(keys)]
+    placed = ranged.join(firsts, reduce(lambda a, b: a & b, same, F.col("_blk") == F.col("_of")))
+    number = (F.col("_at") - F.col("_first") + F.col("_before") + 1).cast("long")
+    return placed.withColumn(name, number).drop("_at", "_blk", "_of", "_first", "_before", *[f"_key{i}" for i in range(len(keys))])
 
 
 def windowed(
@@ -172,8 +200,9 @@ def time_windowed(
 ) -> DataFrame:
     """Run ``body`` whose frames reach back at most ``before_ns`` on the clock.
 
-    Cells still hold a fixed number of rows; how far a row must be copied forward is
-    read from the start times of the cells, so bursts do not make a cell grow.
+    Cells own a fixed number of rows; how far a row must be copied forward is read from
+    the start times of the cells. A cell's copies are the rows within ``before_ns`` of it,
+    so a burst denser than cells makes them many: keep such reaches to sums (``trailing``).
     """
     order = order.measured(df)
     if not order.hot:
@@ -265,8 +294,11 @@ def running(
     keys = list(order.keys)
     size = order.rows_per_cell(df, 1)
     inputs = {f"_in_{n}": c for n, c in source.items()}
-    cells = number_rows(df.withColumns(inputs), order).withColumn("_cell", F.expr(f"(_rn - 1) div {size}"))
-    inner = Frames((*keys, "_cell"), ("_rn",), "_rn")
+    if order.carried(df):
+        cells = df.withColumns({**inputs, "_scan_rn": F.col(HELD_NUMBER), "_scan_cell": F.col(HELD_CELL)})
+    else:
+        cells = number_rows(df.withColumns(inputs), order, "_scan_rn").withColumn("_scan_cell", F.expr(f"(_scan_rn - 1) div {size}"))
+    inner = Frames((*keys, "_scan_cell"), ("_scan_rn",), "_scan_rn")
     local = cells.withColumns(
         {f"_own_{n}": _SCANS[kind][0](F.col(f"_in_{n}")).over(frame(inner, n)) for n, (kind, _) in scans.items()}
     )
@@ -274,26 +306,29 @@ def running(
     for n, (kind, _) in scans.items():
         c = F.col(f"_in_{n}")
         if kind == "last":
-            totals.append(F.max_by(c, F.when(c.isNotNull(), F.col("_rn"))).alias(f"_tot_{n}"))
+            totals.append(F.max_by(c, F.when(c.isNotNull(), F.col("_scan_rn"))).alias(f"_tot_{n}"))
         elif kind == "first":
-            totals.append(F.min_by(c, F.when(c.isNotNull(), F.col("_rn"))).alias(f"_tot_{n}"))
+            totals.append(F.min_by(c, F.when(c.isNotNull(), F.col("_scan_rn"))).alias(f"_tot_{n}"))
         else:
             totals.append(_SCANS[kind][0](c).alias(f"_tot_{n}"))
-    over_cells = Window.partitionBy(*keys).orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)
-    carried = cells.groupBy(*keys, "_cell").agg(*totals)
+    over_cells = Window.partitionBy(*keys).orderBy("_scan_cell").rowsBetween(Window.unboundedPreceding, -1)
+    carried = cells.groupBy(*keys, "_scan_cell").agg(*totals)
     carried = carried.select(
         *keys,
-        "_cell",
+        "_scan_cell",
         *[_SCANS[kind][0](F.col(f"_tot_{n}")).over(over_cells).alias(f"_carry_{n}") for n, (kind, _) in scans.items()],
     )
-    joined = local.join(carried, [*keys, "_cell"], "left")
+    # every row of a cell has its row in ``carried``, null keys too
+    carried = carried.withColumnsRenamed({k: f"_key{i}" for i, k in enumerate(keys)} | {"_scan_cell": "_of"})
+    same = [F.col(k).eqNullSafe(F.col(f"_key{i}")) for i, k in enumerate(keys)]
+    joined = local.join(carried, reduce(lambda a, b: a & b, same, F.col("_scan_cell") == F.col("_of")), "left")
     out = {}
     for n, (kind, _) in scans.items():
         own = F.col(f"_own_{n}")
         own = F.coalesce(own, F.lit(0)) if kind == "count" else own
         out[n] = _SCANS[kind][1](F.col(f"_carry_{n}"), own)
-    scratch = [f"{p}{n}" for n in scans for p in ("_in_", "_own_", "_carry_")]
-    return joined.withColumns(out).drop("_cell", "_rn", *scratch)
+    scratch = [f"{p}{n}" for n in scans for p in ("_in_", "_own_", "_carry_")] + [f"_key{i}" for i in range(len(keys))]
+    return joined.withColumns(out).drop("_scan_cell", "_scan_rn", "_of", *scratch)
 
 
 def global_order(*order: str) -> EventOrder:
