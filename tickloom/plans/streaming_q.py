@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from tickloom.plans.binding import MBO_SQL, W, mbo, mbo_of, rows, span, table
 from tickloom.plans.book_q import ALL_SQL
 from tickloom.plans.registry import REGISTRY, query
+from tickloom.plans.tick_features_q import BASIC_SQL
 from tickloom.session import scratch_path
 from tickloom.streaming import sources as ss
 from tickloom.streaming import state as st
@@ -12,14 +13,15 @@ from tickloom.streaming import windows as sw
 
 
 FILES = 5
+FILE_ROWS = 500_000
 LATE, LATE_S = "10 minutes", 600
 HOUR, HOUR_S = "1 hour", 3_600
 
 
 def arrivals(spark, sf, delayed, late_s=None):
-    """The events as ``FILES`` files, one a trigger: each holds a stretch of time in shuffled
-    order; rows for which ``delayed(id, microseconds to the stretch's end)`` holds arrive
-    with the next file.
+    """The events in ``FILES`` stretches of time, one a trigger, each in shuffled order in
+    files of about ``FILE_ROWS`` rows; rows for which ``delayed(id, microseconds to the
+    stretch's end)`` holds arrive with the next stretch.
 
     With ``late_s`` one file more closes the input: a copy of the newest row, dated further
     ahead than the allowed lateness. The watermark then passes every event, but never this
@@ -27,17 +29,19 @@ def arrivals(spark, sf, delayed, late_s=None):
     events = table(spark, sf, "events")
     folder = scratch_path(spark, "arrivals")
     n, at = F.col("event_id"), F.unix_micros(F.col("ts").cast("timestamp"))
-    low, high = events.agg(F.min(at), F.max(at)).first()
+    low, high, count = events.agg(F.min(at), F.max(at), F.count(F.lit(1))).first()
+    files = max(1, -(-count // (FILES * FILE_ROWS)))  # a stretch is a trigger, and many tasks where it is large
     width = max((high or 0) - (low or 0), 1) // FILES + 1
     since = at - F.lit(low or 0)
     stretch = F.floor((since - since % width) / width)
     part = F.least(stretch + delayed(n, width - since % width).cast("int"), F.lit(FILES - 1))
     for i in range(FILES):
-        events.where(part == i).orderBy(F.xxhash64(n)).coalesce(1).write.mode("append").parquet(folder)
+        mixed = events.where(part == i).repartition(files, F.xxhash64(n)).sortWithinPartitions(F.xxhash64(n))
+        mixed.write.mode("append").parquet(folder)
     if late_s is not None and high is not None:
         ahead = F.timestamp_micros(F.lit(high + (late_s + 1) * 1_000_000)).cast(events.schema["ts"].dataType)
         events.where(at == high).limit(1).withColumn("ts", ahead).write.mode("append").parquet(folder)
-    raw = ss.event_files(spark, folder, events.schema, files_per_trigger=1)
+    raw = ss.event_files(spark, folder, events.schema, files_per_trigger=files)
     return mbo_of(raw).withColumn("event_time", F.timestamp_micros(F.expr("ts_event div 1000")))
 
 
@@ -51,24 +55,15 @@ def done(df, name, mode="append"):
     return ss.run_to_table(df, scratch_path(df.sparkSession, name), mode)
 
 
-def _passed(ms: int) -> str:
-    """Rows the watermark has passed at the end of the input."""
-    return f"ts_event // 1000000 < (SELECT max(ts_event) // 1000000 FROM mbo) - {ms}"
-
-
-_CLOSED = "(SELECT max(ts) FROM mbo) - INTERVAL 10 MINUTE"
-
-
 @query(
     "stream_footprint_bars",
     "instrument start_us volume delta",
     "open high low close",
     f"""WITH {MBO_SQL} SELECT instrument, epoch_us(time_bucket(INTERVAL 60 MINUTE, ts)) AS start_us, arg_min(price, (ts_event, sequence)) AS open, max(price) AS high, min(price) AS low, arg_max(price, (ts_event, sequence)) AS close,
-      CAST(sum(size) AS BIGINT) AS volume, CAST(sum(CASE side WHEN 'B' THEN size WHEN 'A' THEN -size ELSE 0 END) AS BIGINT) AS delta FROM mbo GROUP BY instrument, time_bucket(INTERVAL 60 MINUTE, ts)
-    HAVING time_bucket(INTERVAL 60 MINUTE, ts) + INTERVAL 60 MINUTE <= {_CLOSED}""",
+      CAST(sum(size) AS BIGINT) AS volume, CAST(sum(CASE side WHEN 'B' THEN size WHEN 'A' THEN -size ELSE 0 END) AS BIGINT) AS delta FROM mbo GROUP BY instrument, time_bucket(INTERVAL 60 MINUTE, ts)""",
 )
 def stream_footprint_bars(spark, sf):
-    out = done(sw.stream_bars(stream(spark, sf), "60 minutes", "10 minutes"), "bars")
+    out = done(sw.stream_bars(stream(spark, sf, HOUR_S + LATE_S), "60 minutes", "10 minutes"), "bars")
     return out.withColumn("start_us", F.unix_micros("bar_start"))
 
 
@@ -77,10 +72,10 @@ def stream_footprint_bars(spark, sf):
     "instrument start_us volume delta events",
     "",
     f"""WITH {MBO_SQL}, w AS (SELECT *, unnest([time_bucket(INTERVAL 30 MINUTE, ts), time_bucket(INTERVAL 30 MINUTE, ts) - INTERVAL 30 MINUTE]) AS b FROM mbo)
-    SELECT instrument, epoch_us(b) AS start_us, CAST(sum(size) AS BIGINT) AS volume, CAST(sum(CASE side WHEN 'B' THEN size WHEN 'A' THEN -size ELSE 0 END) AS BIGINT) AS delta, count(*) AS events FROM w GROUP BY instrument, b HAVING b + INTERVAL 60 MINUTE <= {_CLOSED}""",
+    SELECT instrument, epoch_us(b) AS start_us, CAST(sum(size) AS BIGINT) AS volume, CAST(sum(CASE side WHEN 'B' THEN size WHEN 'A' THEN -size ELSE 0 END) AS BIGINT) AS delta, count(*) AS events FROM w GROUP BY instrument, b""",
 )
 def stream_sliding_flow(spark, sf):
-    out = done(sw.stream_sliding(stream(spark, sf), "60 minutes", "30 minutes", "10 minutes"), "sliding")
+    out = done(sw.stream_sliding(stream(spark, sf, HOUR_S + LATE_S), "60 minutes", "30 minutes", "10 minutes"), "sliding")
     return out.withColumn("start_us", F.unix_micros("window_start"))
 
 
@@ -89,10 +84,10 @@ def stream_sliding_flow(spark, sf):
     "instrument start_us events volume",
     "",
     f"""WITH {MBO_SQL}, g AS (SELECT *, CASE WHEN ts_event - lag(ts_event) OVER ({W}) < 3600000000000 THEN 0 ELSE 1 END AS brk FROM mbo), s AS (SELECT *, sum(brk) OVER {span(None, 0)} AS sid FROM g)
-    SELECT instrument, epoch_us(min(ts)) AS start_us, count(*) AS events, CAST(sum(size) AS BIGINT) AS volume FROM s GROUP BY instrument, sid HAVING max(ts) + INTERVAL 60 MINUTE <= {_CLOSED}""",
+    SELECT instrument, epoch_us(min(ts)) AS start_us, count(*) AS events, CAST(sum(size) AS BIGINT) AS volume FROM s GROUP BY instrument, sid""",
 )
 def stream_sessions(spark, sf):
-    out = done(sw.stream_sessions(stream(spark, sf), "60 minutes", "10 minutes"), "sessions")
+    out = done(sw.stream_sessions(stream(spark, sf, HOUR_S + LATE_S), "60 minutes", "10 minutes"), "sessions")
     return out.withColumn("start_us", F.unix_micros("session_start"))
 
 
@@ -112,7 +107,7 @@ def stream_latest_quotes(spark, sf):
     "stream_live_book",
     "instrument sequence bid_size ask_size",
     "best_bid best_ask",
-    f"WITH {ALL_SQL} SELECT instrument, sequence, best_bid, best_ask, CAST(bid_size AS BIGINT) AS bid_size, CAST(ask_size AS BIGINT) AS ask_size FROM bk WHERE {_passed(600_000)}",
+    f"WITH {ALL_SQL} SELECT instrument, sequence, best_bid, best_ask, CAST(bid_size AS BIGINT) AS bid_size, CAST(ask_size AS BIGINT) AS ask_size FROM bk",
 )
 def stream_live_book(spark, sf):
     s = stream(spark, sf, LATE_S).select(*st.EVENT_COLUMNS)
@@ -125,7 +120,7 @@ def stream_live_book(spark, sf):
     "spoofing_score",
     f"""WITH {MBO_SQL}, a AS (SELECT *, count(*) FILTER (action = 'A') OVER (PARTITION BY instrument, order_id ORDER BY ts_event, sequence ROWS UNBOUNDED PRECEDING) AS life FROM mbo),
     l AS (SELECT *, first_value(ts_event) OVER w AS t0, first_value(size) OVER w AS s0 FROM a WINDOW w AS (PARTITION BY instrument, order_id, life ORDER BY ts_event, sequence))
-    SELECT instrument, sequence, s0 AS placed_size, ts_event - t0 AS time_to_cancel, least(1, (259200000000000 - (ts_event - t0)) / 259200000000000) AS spoofing_score FROM l WHERE action = 'C' AND life > 0 AND s0 >= 20 AND ts_event - t0 <= 259200000000000 AND {_passed(3_600_000)}""",
+    SELECT instrument, sequence, s0 AS placed_size, ts_event - t0 AS time_to_cancel, least(1, (259200000000000 - (ts_event - t0)) / 259200000000000) AS spoofing_score FROM l WHERE action = 'C' AND life > 0 AND s0 >= 20 AND ts_event - t0 <= 259200000000000""",
 )
 def stream_spoofing(spark, sf):
     s = stream(spark, sf, HOUR_S).select(*st.EVENT_COLUMNS)
@@ -137,8 +132,7 @@ def stream_spoofing(spark, sf):
     "stream_icebergs",
     "instrument sequence replenishment_count visible_size",
     "confidence_score",
-    f"""SELECT i.* FROM ({REGISTRY["iceberg_events"].sql}) AS i
-      JOIN (WITH {MBO_SQL} SELECT sequence FROM mbo WHERE {_passed(3_600_000)}) AS p USING (sequence)""",
+    REGISTRY["iceberg_events"].sql,
 )
 def stream_icebergs(spark, sf):
     s = stream(spark, sf, HOUR_S).select(*st.EVENT_COLUMNS)
@@ -148,10 +142,11 @@ def stream_icebergs(spark, sf):
 
 @query(
     "stream_rolling_tail",
-    "instrument sequence imbalance",
-    "vwap50 price_mom",
-    f"""WITH {MBO_SQL}, t AS (SELECT *, CASE side WHEN 'B' THEN size WHEN 'A' THEN -size ELSE 0 END AS d, coalesce(price - lag(price) OVER ({W}), 0) AS c FROM mbo)
-    SELECT instrument, sequence, CAST(sum(d) OVER {rows(20)} AS BIGINT) AS imbalance, sum(price * size) OVER {rows(50)} / sum(size) OVER {rows(50)} AS vwap50, sum(c) OVER {rows(20)} AS price_mom FROM t QUALIFY {_passed(600_000)}""",
+    "instrument sequence direction rows",
+    "price_change delta cum_delta imbalance volatility size_norm delta_norm buy_size sell_size buy_velocity sell_velocity bid_ask_imbalance_ratio"
+    " delta_pressure_gradient vwap50 vwap_dev price_mom delta_mom mom_divergence",
+    f"""WITH {MBO_SQL}, {BASIC_SQL} SELECT * EXCLUDE (cum_delta), sum(delta) OVER {rows(512)} AS cum_delta, CASE side WHEN 'B' THEN size ELSE 0 END AS buy_size,
+      CASE side WHEN 'A' THEN size ELSE 0 END AS sell_size, count(*) OVER {rows(512)} AS "rows" FROM basic""",
 )
 def stream_rolling_tail(spark, sf):
     s = stream(spark, sf, LATE_S).select(*st.EVENT_COLUMNS)
@@ -162,7 +157,7 @@ def stream_rolling_tail(spark, sf):
     "stream_signal_changes",
     "instrument sequence side previous",
     "",
-    f"WITH {MBO_SQL}, l AS (SELECT *, lag(side) OVER ({W}) AS previous FROM mbo) SELECT instrument, sequence, side, previous FROM l WHERE previous <> side AND {_passed(600_000)}",
+    f"WITH {MBO_SQL}, l AS (SELECT *, lag(side) OVER ({W}) AS previous FROM mbo) SELECT instrument, sequence, side, previous FROM l WHERE previous <> side",
 )
 def stream_signal_changes(spark, sf):
     s = stream(spark, sf, LATE_S).select(*st.EVENT_COLUMNS)
@@ -191,6 +186,46 @@ def stream_json_ticks(spark, sf):
     return done(ss.with_status(ss.json_tick_files(spark, path)), "ticks")
 
 
+@query(
+    "stream_recent_rows",
+    "instrument sequence side size",
+    "price",
+    f"WITH {MBO_SQL} SELECT instrument, sequence, side, size, price FROM mbo QUALIFY row_number() OVER (PARTITION BY instrument ORDER BY ts_event DESC, sequence DESC) <= 512",
+)
+def stream_recent_rows(spark, sf):
+    """The newest 512 rows of every instrument, kept from batch to batch."""
+    recent = sw.RecentRows(scratch_path(spark, "recent"), 512, ["instrument"], ["ts_event", "sequence"])
+    return recent.run(stream(spark, sf).select(*st.EVENT_COLUMNS))
+
+
+@query(
+    "stream_first_rows",
+    "instrument sequence side size",
+    "price",
+    f"WITH {MBO_SQL} SELECT instrument, sequence, side, size, price FROM mbo ORDER BY ts_event, sequence LIMIT 700",
+)
+def stream_first_rows(spark, sf):
+    """The first 700 rows to arrive; the stream ends by itself."""
+    s = arrivals(spark, sf, lambda n, left: F.lit(False)).select(*st.EVENT_COLUMNS)
+    return sw.FirstRows(scratch_path(spark, "first"), 700, ["ts_event", "sequence"]).run(s)
+
+
+@query(
+    "stream_status",
+    "batches rows",
+    "last_price",
+    f"WITH {MBO_SQL} SELECT {FILES} AS batches, count(*) AS \"rows\", arg_max(price, (ts_event, sequence)) AS last_price FROM mbo",
+)
+def stream_status(spark, sf):
+    """Counters of a running query, read from its progress."""
+    s = ss.with_status(stream(spark, sf), order=("event_time", "sequence"))
+    path = scratch_path(spark, "status")
+    q = ss.to_files(s.select(*st.EVENT_COLUMNS), f"{path}/data", f"{path}/_checkpoint")
+    q.awaitTermination()
+    told = ss.status(q)
+    return spark.createDataFrame([(told["batches"], told["rows"], told["last_price"])], "batches int, rows long, last_price double")
+
+
 @query(
     "stream_late_side_output",
     "kind sequence",

@@ -87,14 +87,21 @@ def run_to_table(df: DataFrame, path: str, output_mode: str = "append") -> DataF
     return spark.read.parquet(f"{path}/data")
 
 
-def progress(query: StreamingQuery) -> dict:
-    """Rows seen and the observed metrics of the last trigger."""
-    p = query.lastProgress or {}
-    return {"rows": p.get("numInputRows", 0), "observed": p.get("observedMetrics", {}), "batch": p.get("batchId")}
-
-
-def with_status(df: DataFrame, name: str = "status") -> DataFrame:
-    """Attach counters (rows, last price by time) that each trigger reports."""
+def with_status(df: DataFrame, name: str = "status", order: tuple[str, ...] = ("event_time",)) -> DataFrame:
+    """Attach counters (rows, price of the newest row, newest time) that each trigger reports."""
     return df.observe(
-        name, F.count(F.lit(1)).alias("rows"), F.max_by("price", "event_time").alias("last_price"), F.max("event_time").alias("last_time")
+        name, F.count(F.lit(1)).alias("rows"), F.max_by("price", F.struct(*order)).alias("last_price"), F.max(order[0]).alias("last_time")
     )
+
+
+def status(query: StreamingQuery, name: str = "status") -> dict:
+    """Totals of the counters of ``with_status`` over the triggers the query still remembers.
+
+    Keys: batches, rows, last_price, last_time (of the trigger with the newest time).
+    """
+    seen = [p["observedMetrics"][name] for p in query.recentProgress if name in (p["observedMetrics"] or {})]
+    newest = max((m for m in seen if m["last_time"] is not None), key=lambda m: str(m["last_time"]), default=None)
+    return {
+        "batches": sum(m["rows"] > 0 for m in seen), "rows": sum(m["rows"] for m in seen),
+        "last_price": newest and newest["last_price"], "last_time": newest and newest["last_time"],
+    }

@@ -227,38 +227,59 @@ class IcebergCandidates(Released):
 
 
 class RollingTail(Released):
-    """Online features from the last ``n`` rows of a key, kept as list state."""
+    """Online features of every row over the last ``n`` rows of its key, kept as list state.
 
-    output = "instrument string, ts_event long, sequence long, imbalance long, vwap50 double, price_mom double, rows long"
+    The same columns as the batch bundle of basic features; running totals reach back over
+    the kept rows, and ``rows`` says how many these are.
+    """
+
+    output = (
+        "instrument string, ts_event long, sequence long, price_change double, direction int, delta double, cum_delta double, imbalance double, volatility double, "
+        "size_norm double, delta_norm double, buy_size double, sell_size double, buy_velocity double, sell_velocity double, bid_ask_imbalance_ratio double, "
+        "delta_pressure_gradient double, vwap50 double, vwap_dev double, price_mom double, delta_mom double, mom_divergence double, rows long"
+    )
 
     def __init__(self, n: int = 512):
         self.n = n
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.wait(handle)
-        self.tail = handle.getListState("tail", "price double, size long, side string")
+        self.tail = handle.getListState("tail", "price double, size double, side string")
+
+    def features(self, rows: pd.DataFrame, first: bool) -> pd.DataFrame:
+        """Of rows in order; ``first`` says that the first of them is the key's first."""
+        price, size = rows["price"].astype("float64"), rows["size"].astype("float64")
+        buy, sell = size.where(rows["side"] == "B", 0.0), size.where(rows["side"] == "A", 0.0)
+        total = lambda x, k: x.rolling(k, min_periods=1).sum()
+        spread = lambda x, k: x.rolling(k, min_periods=2).std().fillna(0.0)
+        part = lambda x, y: (x / y.where(y != 0)).fillna(0.0)
+        delta, change = buy - sell, price.diff().fillna(0.0)
+        ret = change / price.shift().where(price.shift() != 0)
+        bought, sold = total(buy, 20), total(sell, 20)
+        vwap = (total(price * size, 50) / total(size, 50).where(total(size, 50) != 0)).fillna(price)
+        momentum, pressure = total(change, 20), total(delta, 20)
+        gradient = delta.copy()
+        if first and len(gradient):
+            gradient.iloc[0] = 0.0
+        return pd.DataFrame(
+            {
+                "price_change": change, "direction": (change > 0).astype("int32"), "delta": delta, "cum_delta": total(delta, self.n), "imbalance": pressure,
+                "volatility": spread(ret, 50), "size_norm": part(size, size.rolling(100, min_periods=1).mean()), "delta_norm": delta / (spread(size, 100) + 1e-6),
+                "buy_size": buy, "sell_size": sell, "buy_velocity": bought, "sell_velocity": sold, "bid_ask_imbalance_ratio": part(bought - sold, bought + sold),
+                "delta_pressure_gradient": gradient, "vwap50": vwap, "vwap_dev": part(price - vwap, vwap), "price_mom": momentum, "delta_mom": pressure,
+                "mom_divergence": momentum.where(momentum.abs() > 1e-9, 1.0) - pressure, "rows": np.minimum(np.arange(1, len(rows) + 1), self.n),
+            }
+        )
 
     def apply(self, key, new):
         old = pd.DataFrame(list(self.tail.get()), columns=["price", "size", "side"])
-        both = pd.concat([old, new[["price", "size", "side"]]], ignore_index=True)
-        sign = both["side"].map({"B": 1, "A": -1}).fillna(0)
-        delta = (both["size"] * sign).astype("float64")
-        value = (both["price"] * both["size"]).astype("float64")
-        change = both["price"].astype("float64").diff().fillna(0.0)
-        roll = lambda s, k: s.rolling(k, min_periods=1).sum()
-        out = pd.DataFrame(
-            {
-                "instrument": key[0],
-                "imbalance": roll(delta, 20).astype("int64"),
-                "vwap50": roll(value, 50) / roll(both["size"].astype("float64"), 50),
-                "price_mom": roll(change, 20),
-                "rows": np.minimum(np.arange(1, len(both) + 1), self.n),
-            }
-        ).iloc[len(old):]
+        both = pd.concat([old, new[["price", "size", "side"]]], ignore_index=True) if len(old) else new[["price", "size", "side"]].reset_index(drop=True)
+        out = self.features(both, first=not len(old)).iloc[len(old):]
+        out.insert(0, "instrument", key[0])
         out.insert(1, "ts_event", new["ts_event"].to_numpy())
         out.insert(2, "sequence", new["sequence"].to_numpy())
         keep = both.iloc[-self.n:]
-        self.tail.put([(float(p), int(s), str(d)) for p, s, d in keep.itertuples(index=False)])
+        self.tail.put([(float(p), float(s), str(d)) for p, s, d in keep.itertuples(index=False)])
         yield out
 
     def close(self) -> None:
