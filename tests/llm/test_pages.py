@@ -86,3 +86,21 @@ def test_odd_rows(spark):
     assert [r["text"] for r in got if r["page_id"] in (2, 3, None)] == ["", "", ""]
     assert next(r for r in got if r["page_id"] == 5)["n_chars"] == 899_999
     assert html_text.page_text(df.where("page_id > 9")).count() == 0
+
+
+def test_unclosed_and_stray_tags_take_linear_time():
+    """Unclosed controls, and closing tags of names that are not open, cost no search each."""
+    import time
+
+    for page in ("<p>text <button>" * 20_000, "<div>" * 5_000 + "word</p>" * 20_000, "<span class='ad'>x</b></i>" * 10_000):
+        began = time.perf_counter()
+        html_text.main_text(page)
+        assert time.perf_counter() - began < 2
+
+
+def test_keyword_lists_are_no_text():
+    """A long block outside the article that holds no frequent word goes with its neighbours."""
+    words = "casino bonus jackpot poker roulette slots vegas bingo baccarat blackjack craps keno lottery betting odds parlay spread moneyline handicap wager"
+    article = "<p>The river rose in the night and the people of the town went to the bridge to see how high it was.</p>" * 3
+    page = f"<html><body><nav><a href='/'>Home</a></nav><div>{words}</div><article>{article}</article><footer>Imprint</footer></body></html>"
+    assert "jackpot" not in html_text.main_text(page) and html_text.main_text(page).count("bridge") == 3

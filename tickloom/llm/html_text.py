@@ -8,6 +8,7 @@ take the label of the nearest decided neighbours, first those of the same sectio
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 from html import unescape
@@ -90,6 +91,8 @@ def blocks_of(html: str) -> list[Block]:
     # open elements: (name, furniture, main, section)
     stack: list[tuple[str, bool, bool, int]] = [("", False, False, 0)]
     parts: list[str] = []
+    open_names: Counter[str] = Counter()
+    never: set[str] = set()  # names whose closing tag was looked for in vain: it does not come later either
     links = sections = at = 0
     in_link = False
     leaf = ""
@@ -131,27 +134,32 @@ def blocks_of(html: str) -> list[Block]:
                 flush()
                 _, _, main, section = stack[-1]
                 stack.append((name, True, main, section))
+                open_names[name] += 1
             elif closing and stack[-1][0] == name:
                 flush()
                 stack.pop()
+                open_names[name] -= 1
             continue
         flush()
         in_link = False
         if name in SKIPPED:
             if not closing and not attributes.rstrip().endswith("/"):
-                close = re.compile(rf"</{re.escape(name)}\b[^>]*>", re.I).search(html, at)
+                close = None if name in never else re.compile(rf"</{re.escape(name)}\b[^>]*>", re.I).search(html, at)
                 if close:
                     at = close.end()
-                elif name in RAW:
-                    at = end
+                else:
+                    never.add(name)
+                    if name in RAW:
+                        at = end
             continue
         if name in VOID:
             continue
         if closing:
             leaf = ""
-            for depth in range(len(stack) - 1, 0, -1):
-                if stack[depth][0] == name:
-                    del stack[depth:]
+            while open_names[name]:  # what stands open inside closes with it
+                last = stack.pop()[0]
+                open_names[last] -= 1
+                if last == name:
                     break
             continue
         leaf = name
@@ -165,6 +173,7 @@ def blocks_of(html: str) -> list[Block]:
             sections += 1
         boiler = name in BOILER or (name == "header" and not main) or name not in MAIN and _furniture(attributes, main)
         stack.append((name, furniture or boiler, main or name in MAIN, sections if sectioning else section))
+        open_names[name] += 1
     flush()
     return out
 
@@ -182,9 +191,9 @@ def decided(block: Block) -> bool | None:
     if len(words) < SHORT_WORDS and len(block.text) < LONG_CHARS:
         return None
     stop = sum(w in STOP for w in words) / max(len(words), 1)
-    if stop >= STOP_LOW or len(block.text) >= LONG_CHARS or block.main:
+    if stop >= STOP_LOW or block.main:
         return True
-    return None
+    return None  # outside the article, length alone does not make keywords or an advert text
 
 
 def labelled(blocks: list[Block]) -> list[bool]:
