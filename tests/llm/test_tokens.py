@@ -233,3 +233,24 @@ def test_ended_searches_are_made_again():
         for a, k in items:
             placed[a] = placed.get(a, 0) + n * k
     assert placed == counts
+
+
+def test_workers_let_go_of_what_others_kept(monkeypatch):
+    """An operator that starts in a worker drops the memo of the one before it, not its own."""
+    from tickloom.llm import frames
+
+    monkeypatch.setattr(frames, "_KEPT", {})
+    dropped = []
+    double = lambda batches: (2 * b for b in batches)
+    first, second = frames.lean(double, "first", lambda: dropped.append("first")), frames.lean(double, "second")
+    assert list(first([1])) == [2] and list(first([2])) == [4] and not dropped
+    assert list(second([3])) == [6] and dropped == ["first"] and not frames._KEPT
+
+
+def test_batches_are_bounded_by_bytes(spark):
+    from tickloom.llm import frames
+
+    sizes = {"64m": 64 << 20, "67108864b": 64 << 20, "4096": 4096, "2k": 2048, "-1b": 1 << 62}
+    assert {t: frames.size_in_bytes(t) for t in sizes} == sizes
+    frames.small_batches(spark)
+    assert frames.size_in_bytes(spark.conf.get(frames.BATCH_CONF)) <= frames.BATCH_BYTES

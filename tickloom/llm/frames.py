@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import re
 from collections.abc import Callable, Iterator
 
@@ -98,3 +99,31 @@ def byte_blocks(column: pa.Array, size: int = BLOCK_BYTES) -> Iterator[tuple[np.
         end = max(int(np.searchsorted(at, at[start] + size, side="right")) - 1, start + 1)
         yield whole[at[start] : at[end]], at[start : end + 1] - at[start]
         start = end
+
+
+#: What operators keep in this Python worker from task to task, by operator, and how to let go of it.
+_KEPT: dict[str, Callable[[], object]] = {}
+
+
+def lean(run: Callable[[Iterator], Iterator], owner: str, drop: Callable[[], object] | None = None) -> Callable[[Iterator], Iterator]:
+    """``run`` over batches, after which the worker gives its free memory back to the system.
+
+    Workers live on and serve other operators. What those kept between tasks (``drop`` lets
+    go of it) goes when this one starts; buffers that this one freed go when it ends.
+    """
+
+    def inner(batches: Iterator) -> Iterator:
+        for other in [o for o in _KEPT if o != owner]:
+            _KEPT.pop(other)()
+        if drop is not None:
+            _KEPT[owner] = drop
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+            if trim is not None:
+                trim(0)
+
+    inner.__annotations__ = dict(getattr(run, "__annotations__", {}))
+    return inner

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tickloom.llm.frames import BLOCK_BYTES, byte_blocks, pick
+from tickloom.llm.frames import BLOCK_BYTES, byte_blocks, lean, pick
 
 FEATURE_BITS = 13
 SAMPLE_TEXTS = 3_200
@@ -175,7 +175,7 @@ def predict(text: Column, broadcast) -> Column:
             yield pa.StructArray.from_arrays([pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(score < AMBIGUOUS)], names=["lang_pred", "score", "ambiguous"])
 
     run.__annotations__ = {"batches": Iterator[pa.Array], "return": Iterator[pa.Array]}
-    return F.arrow_udf(run, "lang_pred string, score double, ambiguous boolean")(text)
+    return F.arrow_udf(lean(run, "language"), "lang_pred string, score double, ambiguous boolean")(text)
 
 
 def language_of(df: DataFrame, model: LanguageModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

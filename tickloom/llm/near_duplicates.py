@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tickloom.llm.components import components
-from tickloom.llm.frames import byte_blocks, pick
+from tickloom.llm.frames import byte_blocks, lean, pick
 from tickloom.llm.hashing import mix, shingle_sets
 from tickloom.llm.membership import maybe_in
 from tickloom.session import pin
@@ -107,7 +107,7 @@ def signatures(docs: DataFrame, words: int, bins: int = BINS, bands: int = BANDS
             )
 
     run.__annotations__ = {"batches": Iterator[pa.Array], "return": Iterator[pa.Array]}
-    made = F.arrow_udf(run, "n long, f1 long, f2 long, bits array<long>, bands array<long>")
+    made = F.arrow_udf(lean(run, "near_duplicates"), "n long, f1 long, f2 long, bits array<long>, bands array<long>")
     return docs.select("doc_id", "h", made("text").alias("s")).select("doc_id", "h", "s.*")
 
 
@@ -151,7 +151,7 @@ def confirm(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> Dat
                     at += 1
             yield pa.RecordBatch.from_arrays([batch.column("id").filter(pa.array(good)), batch.column("b").filter(pa.array(good))], names=["a", "b"])
 
-    return rows.mapInArrow(run, "a long, b long")
+    return rows.mapInArrow(lean(run, "near_duplicates"), "a long, b long")
 
 
 def _key(*columns: str):
@@ -227,7 +227,7 @@ def near_duplicates(df: DataFrame, words: int = 5, percent: int = 80, id_col: st
                 at += len(found)
 
     texts = open_.select("id").join(maybe_in(named, "id", open_, "id"), "id")
-    shingles = pin(texts.mapInArrow(sets_of, "id long, s long"))
+    shingles = pin(texts.mapInArrow(lean(sets_of, "near_duplicates"), "id long, s long"))
     common = pin(shingles.groupBy("s").agg(F.count(F.lit(1)).alias("df")).where(F.col("df") > 1))
     shared = maybe_in(shingles, "s", common, "s").join(common, "s")
     # rarest first: shingles of one class only stand at the front and need no partner

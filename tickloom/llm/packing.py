@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tickloom.llm.frames import pick, texts_of
+from tickloom.llm.frames import lean, pick, texts_of
 from tickloom.llm.token_counts import blocks, library, stand_ins
 from tickloom.session import pin
 
@@ -157,7 +157,7 @@ def token_pieces(text: Column, path: str, most: int, end_id: int) -> Column:
             yield pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), values)
 
     run.__annotations__ = {"batches": Iterator[pa.Array], "return": Iterator[pa.Array]}
-    return F.arrow_udf(run, f"array<{PIECE}>")(text)
+    return F.arrow_udf(lean(run, "packing", id_coder.cache_clear), f"array<{PIECE}>")(text)
 
 
 def _best_fit(space: int, lengths: list[int], left: dict[int, int]) -> list[tuple[int, int]]:

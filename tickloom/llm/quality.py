@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tickloom.llm.frames import byte_blocks, pick
+from tickloom.llm.frames import byte_blocks, lean, pick
 from tickloom.llm.hashing import span_hashes, word_spans
 
 SAMPLE_DOCUMENTS = 3_000
@@ -224,7 +224,7 @@ def quality_score(text: Column, broadcast) -> Column:
             yield pa.array(np.concatenate(scores) if scores else np.zeros(0), pa.float64())
 
     run.__annotations__ = {"batches": Iterator[pa.Array], "return": Iterator[pa.Array]}
-    return F.arrow_udf(run, "double")(text)
+    return F.arrow_udf(lean(run, "quality"), "double")(text)
 
 
 def quality_of(df: DataFrame, model: LineField, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
