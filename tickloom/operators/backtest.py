@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -12,7 +14,8 @@ from tickloom.functions.cols import flag, ratio
 from tickloom.functions.fast import per_group
 from tickloom.operators.joins import asof_last
 from tickloom.operators.quantiles import exact_quantiles
-from tickloom.order import EventOrder, Frames, number_rows, one_pin, running, time_windowed, windowed
+from tickloom.order import EventOrder, Frames, number_rows, one_pin, running, windowed
+from tickloom.session import pin
 
 YEAR = 252
 
@@ -323,6 +326,102 @@ class _Tree:
         return out
 
 
+def _exits(ts: np.ndarray, px: np.ndarray, start: np.ndarray, buy: np.ndarray, up: np.ndarray, down: np.ndarray, until: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Exit row, reason and whether a barrier was met, for positions that see rows from ``start`` on."""
+    above, below = _Tree(px).first(start, up), _Tree(-px).first(start, -down)
+    take, lose = np.where(buy, above, below), np.where(buy, below, above)
+    last = np.searchsorted(ts, until, side="right") - 1
+    met = np.minimum(take, lose) <= last
+    reason = np.where(lose <= last, np.where(lose < take, "stop_loss", "take_profit"), np.where(take <= last, "take_profit", "time_limit"))
+    return np.minimum(np.minimum(take, lose), last), reason, met
+
+
+_EXIT_COLUMNS = {"exit_reason": "string", "exit_ts": "bigint", "exit_price": "double"}
+
+
+def _exits_of_group(order: EventOrder, entry: str, side: str, stop: float, target: float, hold_ns: int):
+    """Exits inside one sorted group; ``_open`` marks entries that no row of the group has decided."""
+
+    def solve(g: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
+        ts, px = g[order.ts], g["price"].astype("float64")
+        n, idx = len(ts), np.flatnonzero(g[entry].astype(bool))
+        buy = g[side][idx] == "B"
+        up, down = px[idx] + np.where(buy, target, stop), px[idx] - np.where(buy, stop, target)
+        at, why, met = _exits(ts, px, idx + 1, buy, up, down, ts[idx] + hold_ns)
+        reason, exit_ts, exit_px, open_ = np.full(n, None, dtype=object), np.full(n, -1, dtype="int64"), np.full(n, np.nan), np.zeros(n, dtype=bool)
+        reason[idx], exit_ts[idx], exit_px[idx], open_[idx] = why, ts[at], px[at], ~met & (at == n - 1)
+        return {"exit_reason": reason, "exit_ts": exit_ts, "exit_price": exit_px, "_open": open_}
+
+    return solve
+
+
+def _exits_beyond(d: DataFrame, order: EventOrder, side: str, stop: float, target: float, hold_ns: int, size: int) -> DataFrame:
+    """Exits of the entries that their own cell left open: keys, _rn and the exit columns.
+
+    A cell's summary is its first time and its price range. In a tree over the summaries
+    of the cells in reach an entry finds the one cell that decides it, the first whose range
+    meets a barrier or else the last one in time, and only there it meets rows. So cells are
+    joined with cells, entries with summaries and each open entry with one cell; no row is
+    copied because an entry might reach it. A cell that decides many is copied per ``size`` of them.
+    """
+    keys, ts = list(order.keys), order.ts
+    named = [F.col(k).alias(f"_key{i}") for i, k in enumerate(keys)]
+    on = [f"_key{i}" for i in range(len(keys))]
+    buy = F.col(side) == "B"
+    waiting = d.filter("_open").select(
+        *named, "_cell", "_rn", buy.alias("buy"), (F.col(ts) + hold_ns).alias("until"),
+        (F.col("price") + F.when(buy, target).otherwise(stop)).cast("double").alias("up"), (F.col("price") - F.when(buy, stop).otherwise(target)).cast("double").alias("down"),
+    )
+    cells = d.groupBy(*named, "_cell").agg(F.min(ts).alias("_from"), F.max(ts).alias("_to"), F.min("price").cast("double").alias("lo"), F.max("price").cast("double").alias("hi"))
+    width = max(hold_ns, 1)
+    near = F.explode(F.sequence(F.expr(f"_to div {width}"), F.expr(f"(_to + {hold_ns}) div {width}")))
+    left = cells.select(*on, "_cell", "_to", near.alias("_b"))
+    right = cells.select(*on, F.col("_cell").alias("_next"), F.col("_from").alias("_start"), "lo", "hi", F.expr(f"_from div {width}").alias("_b"))
+    reach = left.join(right, [*on, "_b"]).filter((F.col("_next") > F.col("_cell")) & (F.col("_start") <= F.col("_to") + hold_ns))
+    reach = reach.select(*on, "_cell", "_next", "_start", "lo", "hi")
+    held = ", ".join(f"_key{i} {d.schema[k].dataType.simpleString()}" for i, k in enumerate(keys))
+    columns = [*on, "_next", "_rn", "buy", "until", "up", "down"]
+
+    def decide(entries: pa.Table, ahead: pa.Table) -> pa.Table:
+        ahead = ahead.sort_by("_next")
+        start, lo, hi, cell = (ahead[c].to_numpy() for c in ("_start", "lo", "hi", "_next"))
+        until, up, down = (entries[c].to_numpy() for c in ("until", "up", "down"))
+        last = np.searchsorted(start, until, side="right") - 1
+        zero = np.zeros(len(until), dtype=np.int64)
+        hit = np.minimum(_Tree(hi).first(zero, up), _Tree(-lo).first(zero, -down)) if len(cell) else zero
+        goes = last >= 0
+        to = np.minimum(hit, last)[goes]
+        entries = entries.filter(pa.array(goes)).append_column("_next", pa.array(cell[to], pa.int64()))
+        return entries.select(columns)
+
+    decide.__annotations__ = {"entries": pa.Table, "ahead": pa.Table, "return": pa.Table}
+    schema = f"{held}, _next long, _rn long, buy boolean, until long, up double, down double"
+    reach = reach.withColumnsRenamed({c: f"{c}_" for c in (*on, "_cell")})
+    visits = pin(waiting.groupBy(*on, "_cell").cogroup(reach.groupBy(*[f"{c}_" for c in (*on, "_cell")])).applyInArrow(decide, schema))
+    parts = visits.groupBy(*on, "_next").agg(F.ceil(F.count(F.lit(1)) / size).alias("_parts"))
+    rows = d.select(*named, F.col("_cell").alias("_next"), F.col("_rn").alias("_at"), F.col(ts).alias("ts"), F.col("price").cast("double").alias("px"))
+    rows = rows.join(parts, [*on, "_next"]).withColumn("_part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_parts") - 1))).drop("_parts")
+    guests = visits.join(parts, [*on, "_next"]).withColumn("_part", F.pmod(F.xxhash64("_rn"), F.col("_parts"))).drop("_parts")
+    found = [*on, "_rn", *(f"late_{c}" for c in _EXIT_COLUMNS)]
+
+    def visit(cell: pa.Table, entries: pa.Table) -> pa.Table:
+        cell = cell.sort_by("_at")
+        clock, px = cell["ts"].to_numpy(), cell["px"].to_numpy()
+        until, up, down = (entries[c].to_numpy() for c in ("until", "up", "down"))
+        bought = entries["buy"].to_numpy(zero_copy_only=False).astype(bool)
+        at, why, _ = _exits(clock, px, np.zeros(len(until), dtype=np.int64), bought, up, down, until)
+        entries = entries.rename_columns([c.removesuffix("_") for c in entries.column_names])
+        entries = entries.append_column("late_exit_reason", pa.array(why.astype(object), pa.string()))
+        entries = entries.append_column("late_exit_ts", pa.array(clock[at], pa.int64())).append_column("late_exit_price", pa.array(px[at], pa.float64()))
+        return entries.select(found)
+
+    visit.__annotations__ = {"cell": pa.Table, "entries": pa.Table, "return": pa.Table}
+    by = [*on, "_next", "_part"]
+    guests = guests.withColumnsRenamed({c: f"{c}_" for c in by})
+    late = rows.groupBy(*by).cogroup(guests.groupBy(*[f"{c}_" for c in by])).applyInArrow(visit, f"{held}, _rn long, late_exit_reason string, late_exit_ts long, late_exit_price double")
+    return late.withColumnsRenamed({f"_key{i}": f"_of{i}" for i in range(len(keys))} | {"_rn": "_of_rn"})
+
+
 def barrier_exits(
     df: DataFrame, order: EventOrder, entry: str, side: str, stop: float, target: float, hold_ns: int,
     tick: float = 0.25, tick_value: float = 12.5,
@@ -331,39 +430,27 @@ def barrier_exits(
 
     ``entry`` is a boolean column, ``side`` is B or A, ``stop`` and ``target`` are price
     distances. A position that meets neither barrier within ``hold_ns`` leaves at the
-    last price inside it. Entries look only ``hold_ns`` ahead, so hot keys are cut into
-    cells; no entry-tick pairs are formed.
+    last price inside it. Exits are searched in a tree of price ranges over the rows of a
+    key; a huge key is cut into cells, and what a cell leaves open is searched in a tree
+    over the cells behind it. No entry-tick pairs are formed and no cell grows with ``hold_ns``.
     """
     order = order.measured(df)
-    back = {c: f"_neg_{c}" for c in order.order}
-    d = df.withColumns({n: -F.col(c) for c, n in back.items()})
-    reverse = EventOrder(keys=order.keys, order=tuple(back.values()), ts=back[order.ts], hot=order.hot, cell_rows=order.cell_rows)
-
-    def solve(g: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
-        ts, px = -g[back[order.ts]][::-1], g["price"][::-1].astype("float64")
-        go, buy = g[entry][::-1].astype(bool), (g[side][::-1] == "B")
-        n = len(ts)
-        idx = np.flatnonzero(go)
-        sign = np.where(buy[idx], 1.0, -1.0)
-        up, down = _Tree(px), _Tree(-px)
-        take, lose = px[idx] + sign * target, px[idx] - sign * stop
-        t_hit = np.where(sign > 0, up.first(idx + 1, take), down.first(idx + 1, -take))
-        s_hit = np.where(sign > 0, down.first(idx + 1, -lose), up.first(idx + 1, lose))
-        last = np.searchsorted(ts, ts[idx] + hold_ns, side="right") - 1
-        at = np.minimum(np.minimum(t_hit, s_hit), last)
-        reason = np.full(n, None, dtype=object)
-        exit_ts, exit_px = np.full(n, -1, dtype="int64"), np.full(n, np.nan)
-        reason[idx] = np.where(s_hit <= last, np.where(s_hit < t_hit, "stop_loss", "take_profit"), np.where(t_hit <= last, "take_profit", "time_limit"))
-        exit_ts[idx], exit_px[idx] = ts[at], px[at]
-        return {"exit_reason": reason[::-1], "exit_ts": exit_ts[::-1], "exit_price": exit_px[::-1]}
-
-    cols = {"exit_reason": "string", "exit_ts": "bigint", "exit_price": "double"}
-    out = time_windowed(
-        d, reverse, lambda x, f: per_group(x, f, cols, solve, [back[order.ts], "price", entry, side]), hold_ns
-    )
+    solve = _exits_of_group(order, entry, side, stop, target, hold_ns)
+    inputs, cols = [order.ts, "price", entry, side], {**_EXIT_COLUMNS, "_open": "boolean"}
+    if not order.hot:
+        out = per_group(df, order.frames(), cols, solve, inputs).filter(F.col(entry))
+    else:
+        keys, size = list(order.keys), order.rows_per_cell(df, 1)
+        d = number_rows(df, order, "_rn").withColumn("_cell", F.expr(f"(_rn - 1) div {size}"))
+        d = pin(per_group(d, Frames((*keys, "_cell"), ("_rn",), "_rn"), cols, solve, inputs))
+        late = _exits_beyond(d, order, side, stop, target, hold_ns, size)
+        same = [F.col(k).eqNullSafe(F.col(f"_of{i}")) for i, k in enumerate(keys)]
+        out = d.filter(F.col(entry)).join(late, reduce(lambda a, b: a & b, same, F.col("_rn") == F.col("_of_rn")), "left")
+        out = out.withColumns({c: F.coalesce(f"late_{c}", c) for c in _EXIT_COLUMNS})
+        out = out.drop("_rn", "_cell", "_of_rn", *[f"_of{i}" for i in range(len(keys))], *[f"late_{c}" for c in _EXIT_COLUMNS])
     sign = F.when(F.col(side) == "B", 1.0).otherwise(-1.0)
     ticks = sign * (F.col("exit_price") - F.col("price")) / tick
-    return out.filter(F.col(entry)).drop(*back.values()).withColumns({"pnl_ticks": ticks, "pnl_dollars": ticks * tick_value})
+    return out.drop("_open").withColumns({"pnl_ticks": ticks, "pnl_dollars": ticks * tick_value})
 
 
 @one_pin

@@ -13,7 +13,7 @@ from tickloom.functions.fast import quantiles_in, rolling
 from tickloom.operators import book as bk
 from tickloom.operators import classification, detectors, horizons, labels, microstructure, normalise, order_flow, tick_features
 from tickloom.operators.joins import level_totals
-from tickloom.order import EventOrder, Frames, windowed
+from tickloom.order import EventOrder, Frames, one_pin, windowed
 
 
 def _macd(d: DataFrame, f: Frames, price: str) -> DataFrame:
@@ -233,25 +233,30 @@ FEATURE_SETS["execution_aware_extreme_v1"] = [
 CHAINED = {"book", "normalised", "ofi"}
 
 
+@one_pin
 def feature_set(df: DataFrame, order: EventOrder, name: str, columns: list[str] | None = None) -> DataFrame:
     """Run a named feature set; with ``columns`` the optimizer drops what they do not need.
 
-    Independent steps run on the narrow event table and are joined on the event key, so
-    wide rows are shuffled once and not through every window.
+    One pass: every step works on the rows of the step before, so steps over one key share
+    its shuffle and sort, and nothing is joined back. What earlier steps added rides along in
+    one column while a step that needs only the event columns runs; a name that two steps
+    give keeps the value of the first.
     """
     if name not in FEATURE_SETS:
         raise ValueError(f"unknown feature set {name}; known: {', '.join(FEATURE_SETS)}")
     order = order.measured(df)
-    on = [*order.keys, *order.order]
-    out = df
-    for step in FEATURE_SETS[name]:
+    steps = sorted(FEATURE_SETS[name], key=lambda step: step not in CHAINED)  # stable: the others after, in their order
+    base, out = list(df.columns), df
+    for step in steps:
         if step in CHAINED:
             out = STEPS[step](out, order)
-    for step in FEATURE_SETS[name]:
+    for step in steps:
         if step not in CHAINED:
-            side = STEPS[step](df, order)
-            fresh = [c for c in side.columns if c not in out.columns]
-            out = out.join(side.select(*on, *fresh), on)
+            made = [c for c in out.columns if c not in base]
+            packed = out.select(*base, F.struct(*made).alias("earlier_features")) if made else out
+            out = STEPS[step](packed, order)
+            fresh = [c for c in out.columns if c not in base and c not in made and c != "earlier_features"]
+            out = out.select(*base, *[F.col(f"earlier_features.{c}").alias(c) for c in made], *fresh)
     return out.select(*columns) if columns else out
 
 

@@ -142,6 +142,23 @@ def feature_set_extreme(spark, sf):
     return bu.feature_set(m, mbo_order(m), "execution_aware_extreme_v1")
 
 
+def _whole_set(name):
+    def plan(spark, sf):
+        m = mbo(spark, sf).select(*_CORE)
+        return bu.feature_set(m, mbo_order(m), name)
+
+    plan.__doc__ = f"Every column of feature set {name}."
+    return plan
+
+
+for _short, _name in (
+    ("raw", "raw_mbo_v1"), ("basic", "basic_normalized_v1"), ("advanced", "advanced_features_v1"),
+    ("medium", "execution_aware_medium_v1"), ("heavy", "execution_aware_heavy_v1"),
+):
+    _sql = f"WITH {MBO_SQL} SELECT ts_event, sequence, instrument, ts_recv, action, side, order_id, price, size, flags, trade_date FROM mbo"
+    query(f"feature_set_{_short}", "*" if _short != "raw" else " ".join(c for c in _CORE if c != "price"), "price" if _short == "raw" else "", _sql if _short == "raw" else None)(_whole_set(_name))
+
+
 @query("mbo_feature_pipeline", "instrument sequence", "net_flow_ratio_5m order_pressure mid_price_ma_5m price_return_3r")
 def mbo_feature_pipeline(spark, sf):
     m = mbo(spark, sf).select(*_CORE)

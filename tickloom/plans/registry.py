@@ -42,6 +42,8 @@ def _shaped(q: Query, df: DataFrame) -> DataFrame:
         r = F.round(F.col(c).cast("double"), q.digits)
         return F.when(r == 0, F.lit(0.0)).otherwise(r).alias(c)
 
+    if q.exact == ("*",):  # every column, those of floating point rounded
+        return df.select(*[rounded(c) if t == "double" else F.col(c) for c, t in df.dtypes])
     return df.select(*[F.col(c) for c in q.exact], *[rounded(c) for c in q.floats])
 
 
