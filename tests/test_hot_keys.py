@@ -16,6 +16,7 @@ from support import SF
 NAMES = [
     "detector_summaries", "iceberg_events", "book_quotes_at_events", "horizon_price_and_volatility", "flow_autocorrelation",
     "trade_technicals", "asof_last_price", "walk_forward_by_rows", "user_rolling_function", "var_cvar",
+    "trade_runs", "barrier_exits", "position_average_cost", "rolling_time_flow",
 ]
 
 
