@@ -21,6 +21,7 @@ from tickloom.llm.hashing import span_hashes, word_spans
 
 SAMPLE_DOCUMENTS = 3_000
 SAMPLE_BYTES = 65_536
+BLOCK_BYTES = 1 << 19  # a block's features take 80 times its bytes
 SHAPE_SLOTS = 64
 STEPS = 150
 THRESHOLD = 0.3
@@ -201,7 +202,7 @@ def train(docs: DataFrame, labels: DataFrame, documents: int = SAMPLE_DOCUMENTS,
     def measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             labels, at = batch.column("label"), 0
-            for data, offsets in byte_blocks(batch.column("text")):
+            for data, offsets in byte_blocks(batch.column("text"), BLOCK_BYTES):
                 starts, ends, first = lines_of(data, offsets)
                 x = line_features(data, starts, ends, first, offsets).astype(np.float16)
                 parts = [x[a:b].tobytes() for a, b in zip(first, first[1:])]
@@ -220,7 +221,7 @@ def quality_score(text: Column, broadcast) -> Column:
 
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for column in batches:
-            scores = [text_scores(data, offsets, broadcast.value) for data, offsets in byte_blocks(column)]
+            scores = [text_scores(data, offsets, broadcast.value) for data, offsets in byte_blocks(column, BLOCK_BYTES)]
             yield pa.array(np.concatenate(scores) if scores else np.zeros(0), pa.float64())
 
     run.__annotations__ = {"batches": Iterator[pa.Array], "return": Iterator[pa.Array]}
