@@ -137,12 +137,13 @@ def train(labelled: DataFrame, texts: int = SAMPLE_TEXTS) -> LanguageModel:
         for batch in batches:
             lang, at = batch.column("lang"), 0
             for data, offsets in byte_blocks(batch.column("text")):
-                for v in gram_vectors(data, offsets):
-                    held = np.flatnonzero(v).astype(np.int32)
-                    yield pa.RecordBatch.from_arrays([lang.slice(at, 1), pa.array([held.tobytes()], pa.binary()), pa.array([v[held].astype(np.float32).tobytes()], pa.binary())], names=["lang", "slots", "values"])
-                    at += 1
+                for few in range(0, len(offsets) - 1, 256):
+                    for v in gram_vectors(data, offsets[few : few + 257]):
+                        held = np.flatnonzero(v).astype(np.int32)
+                        yield pa.RecordBatch.from_arrays([lang.slice(at, 1), pa.array([held.tobytes()], pa.binary()), pa.array([v[held].astype(np.float32).tobytes()], pa.binary())], names=["lang", "slots", "values"])
+                        at += 1
 
-    got = sample.select("lang", "text").mapInArrow(vectors, "lang string, slots binary, values binary").collect()
+    got = sample.select("lang", "text").mapInArrow(lean(vectors, "language"), "lang string, slots binary, values binary").collect()
     got.sort(key=lambda r: (r["lang"], r["slots"], r["values"]))
     x = np.zeros((len(got), 1 << FEATURE_BITS), dtype=np.float32)
     for i, r in enumerate(got):

@@ -209,7 +209,7 @@ def train(docs: DataFrame, labels: DataFrame, documents: int = SAMPLE_DOCUMENTS,
                 yield pa.RecordBatch.from_arrays([labels.slice(at, len(parts)).cast(pa.int32()), pa.array(parts, pa.binary())], names=["label", "lines"])
                 at += len(parts)
 
-    got = sample.select("label", "text").mapInArrow(measured, "label int, lines binary").collect()
+    got = sample.select("label", "text").mapInArrow(lean(measured, "quality"), "label int, lines binary").collect()
     got.sort(key=lambda r: (r["label"], r["lines"]))
     parts = [np.frombuffer(r["lines"], np.float16).reshape(-1, WIDTH).astype(np.float32) for r in got]
     first = np.concatenate([[0], np.cumsum([len(p) for p in parts])])
