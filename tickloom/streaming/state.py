@@ -12,6 +12,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
@@ -32,56 +33,90 @@ def _sorted(rows: Iterator[pd.DataFrame]) -> pd.DataFrame:
     return pd.concat(parts, ignore_index=True).sort_values(["ts_event", "sequence"], kind="stable")
 
 
+def _packed(rows: pd.DataFrame) -> bytes:
+    """Rows as one Arrow stream."""
+    table = pa.Table.from_pandas(rows, preserve_index=False)
+    out = pa.BufferOutputStream()
+    with pa.ipc.new_stream(out, table.schema) as writer:
+        writer.write_table(table)
+    return out.getvalue().to_pybytes()
+
+
+def _unpacked(data: bytes) -> pd.DataFrame:
+    return pa.ipc.open_stream(pa.py_buffer(data)).read_all().to_pandas()
+
+
 class Released(StatefulProcessor):
     """Applies events in event-time order across micro-batches.
 
-    Rows wait in list state until the watermark has passed them; a timer at each
-    batch's oldest waiting row releases what is due, sorted, to ``apply``. Rows behind
+    Rows wait in map state until the watermark has passed them, as Arrow bytes by stretch of
+    ``bucket_ms`` of event time and by arrival; a timer at the oldest waiting row releases what
+    is due, sorted, to ``apply``. A timer reads the stretches that are due and writes back at
+    most the rest of one; later ones are not touched, however long they are. Rows behind
     the watermark are dropped by it, so the order of arrival never changes a result.
     Without a watermark (``late=None``) rows are applied as they come.
     """
 
     timed = False
+    bucket_ms = 10_000
     columns = ["ts_event", "sequence", "action", "side", "order_id", "price", "size"]
-    _kinds = "ts_event long, sequence long, action string, side string, order_id string, price double, size long"
 
     def wait(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.waiting = handle.getListState("waiting", self._kinds)
+        self.waiting = handle.getMapState("waiting", "bucket long, part long", "rows binary")
+        self.stretches = handle.getValueState("stretches", "bucket array<long>, first_ms array<long>, parts array<long>")
 
     def _empty(self) -> pd.DataFrame:
         return pd.DataFrame({c.split()[0]: pd.Series(dtype="float64" if c.endswith("double") else "object") for c in self.output.split(", ")})
 
+    def _known(self) -> dict[int, tuple[int, int]]:
+        """Oldest millisecond and number of parts of every stretch with waiting rows."""
+        held = self.stretches.get()
+        return {} if held is None else {b: (first, n) for b, first, n in zip(*held)}
+
+    def _remember(self, known: dict[int, tuple[int, int]]) -> None:
+        if known:
+            self.stretches.update(([*known], [first for first, _ in known.values()], [n for _, n in known.values()]))
+        else:
+            self.stretches.clear()
+
     def handleInputRows(self, key, rows, timerValues):
         if not self.timed:
             yield from self.apply(key, _sorted(rows))
             return
-        due = None
+        known, due = self._known(), None
         for pdf in rows:
-            self.waiting.appendList([tuple(None if pd.isna(v) else v for v in r) for r in pdf[self.columns].itertuples(index=False, name=None)])
-            first = int(pdf["ts_event"].min() // 1_000_000) + 1
-            due = first if due is None else min(due, first)
+            ms = pdf["ts_event"] // 1_000_000
+            due = int(ms.min()) if due is None else min(due, int(ms.min()))
+            for bucket, part in pdf[self.columns].groupby(ms // self.bucket_ms, sort=False):
+                first, n = known.get(int(bucket), (1 << 62, 0))
+                self.waiting.updateValue((int(bucket), n), (_packed(part),))
+                known[int(bucket)] = (min(first, int(part["ts_event"].min() // 1_000_000)), n + 1)
         if due is not None:
-            self.handle.registerTimer(max(due, timerValues.getCurrentWatermarkInMs() + 1))
+            self._remember(known)
+            self.handle.registerTimer(max(due, timerValues.getCurrentWatermarkInMs()) + 1)
         yield self._empty()
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
-        mark = timerValues.getCurrentWatermarkInMs()
-        held = pd.DataFrame(list(self.waiting.get()), columns=self.columns)
-        if held.empty:
+        mark, known, ready = timerValues.getCurrentWatermarkInMs(), self._known(), []
+        for bucket in sorted(b for b, (first, _) in known.items() if first < mark):
+            _, n = known.pop(bucket)
+            held = pd.concat([_unpacked(self.waiting.getValue((bucket, i))[0]) for i in range(n)], ignore_index=True)
+            for i in range(n):
+                self.waiting.removeKey((bucket, i))
+            due = held["ts_event"] // 1_000_000 < mark
+            ready.append(held[due])
+            if not due.all():  # only the stretch that the watermark stands in
+                rest = held[~due]
+                self.waiting.updateValue((bucket, 0), (_packed(rest),))
+                known[bucket] = (int(rest["ts_event"].min() // 1_000_000), 1)
+        if not ready:
             yield self._empty()
             return
-        ready = held["ts_event"] // 1_000_000 < mark
-        rest = held[~ready]
-        if rest.empty:
-            self.waiting.clear()
-        else:
-            self.waiting.put([tuple(r) for r in rest.astype(object).itertuples(index=False, name=None)])
-            self.handle.registerTimer(max(int(rest["ts_event"].min() // 1_000_000) + 1, mark + 1))
-        if ready.any():
-            yield from self.apply(key, held[ready].sort_values(["ts_event", "sequence"], kind="stable"))
-        else:
-            yield self._empty()
+        self._remember(known)
+        if known:
+            self.handle.registerTimer(max(min(first for first, _ in known.values()), mark) + 1)
+        yield from self.apply(key, pd.concat(ready, ignore_index=True).sort_values(["ts_event", "sequence"], kind="stable"))
 
 
 class LiveBook(Released):
