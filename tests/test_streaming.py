@@ -1,6 +1,7 @@
 """Streams in several micro-batches give what the batch operators give."""
 
 import duckdb
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -88,6 +89,78 @@ def test_late_rows_go_to_the_side(spark, events, tmp_path):
     assert spark.read.parquet(f"file://{tmp_path}/out/on_time").count() == len(events)
 
 
+class Held:
+    """State and timers of one key in memory; ``read`` lists what was fetched by key."""
+
+    def __init__(self):
+        self.value, self.rows, self.timers, self.read = None, {}, [], []
+
+    def getMapState(self, name, *schemas):
+        return self
+
+    getValueState = getMapState
+
+    def get(self):
+        return self.value
+
+    def update(self, value):
+        self.value = value
+
+    def clear(self):
+        self.value = None
+
+    def getValue(self, key):
+        self.read.append(key)
+        return self.rows[key]
+
+    def updateValue(self, key, value):
+        self.rows[key] = value
+
+    def removeKey(self, key):
+        del self.rows[key]
+
+    def registerTimer(self, ms):
+        self.timers.append(ms)
+
+
+class Clock:
+    def __init__(self, ms):
+        self.getCurrentWatermarkInMs = lambda: ms
+
+
+class Echo(st.Released):
+    output = "ts_event long, sequence long"
+
+    def init(self, handle):
+        self.wait(handle)
+
+    def close(self):
+        pass
+
+    def apply(self, key, pdf):
+        yield pdf[["ts_event", "sequence"]]
+
+
+def test_a_timer_reads_only_the_stretches_that_are_due():
+    held, p = Held(), Echo()
+    p.timed = True
+    p.init(held)
+    ms = [5, 12_000, 3, 55_000, 12_500, 17_000, 3, 91_000, 14_000]
+    given = pd.DataFrame({"ts_event": [m * 1_000_000 + 7 for m in ms], "sequence": range(len(ms)), "action": "A", "side": [None] * len(ms), "order_id": "x", "price": 1.5, "size": 3})
+    list(p.handleInputRows(("I",), iter([given[:4], given[4:6]]), Clock(0)))
+    list(p.handleInputRows(("I",), iter([given[6:]]), Clock(0)))
+    assert held.timers == [4, 4] and sorted(held.rows) == [(0, 0), (0, 1), (1, 0), (1, 1), (1, 2), (5, 0), (9, 0)]
+    out = lambda mark: [tuple(r) for f in p.handleExpiredTimer(("I",), Clock(mark), None) for r in f.itertuples(index=False)]
+    assert [q for _, q in out(14_000)] == [2, 6, 0, 1, 4]  # 14,000 is not yet passed
+    assert {b for b, _ in held.read} == {0, 1} and sorted(held.rows) == [(1, 0), (5, 0), (9, 0)]
+    assert held.timers[-1] == 14_001
+    assert out(14_000) == [] and len(held.rows) == 3
+    held.read.clear()
+    assert [q for _, q in out(60_000)] == [8, 5, 3]
+    assert held.read == [(1, 0), (5, 0)] and held.timers[-1] == 91_001
+    assert [q for _, q in out(100_000)] == [7] and held.rows == {} and held.value is None
+
+
 load_all()
 ALL = [n for n in plans() if n.startswith("stream_")]
 
