@@ -205,6 +205,47 @@ def test_prose_with_licence_words(spark, licence_model):
     assert out[-len(known) :] == [("mit", True), ("apache", True), ("proprietary", True)]
 
 
+def test_sentences_kept_from_the_fit(spark, licence_model):
+    """Written after the fit was settled: prose with licence words, and licences of families that have no template."""
+    prose = [
+        "Her pilot's licence was suspended by the authority last week.",
+        "The court ruled that the copyright belonged to the heirs of the painter.",
+        "Fishermen must carry a valid license and obey the rules of the harbour.",
+        "The public library reserves a room for readers on Mondays.",
+        "He was licensed as an architect in two states.",
+        "The company released its yearly report under pressure from investors.",
+        "Use of the pool is free of charge for any person staying at the hotel.",
+        "The work was dedicated to his mother and performed in the public square.",
+        "This file was found in the archive, and a copy was sent to the police.",
+        "Version 4 of the plan was distributed to all members of the foundation.",
+        "You may not enter the domain of the king without permission.",
+        "The general spoke to the public about the conditions of the war.",
+        "The software was free, but the support had to be paid.",
+        "A dog license costs ten dollars in this county.",
+        "The terms of the mortgage were subject to approval by the bank.",
+        "They reserved the right to cancel the concert.",
+        "The taxi licence system limits the number of cars.",
+        "Prior written notice is required to end the lease.",
+        "The poetic license of the author annoyed the historians.",
+        "No part of the story was true, said the publication.",
+    ]
+    strange = [
+        "Licensed under the Eclipse Public License 2.0.",
+        "This library is distributed under the Boost Software License.",
+        "Released under the ISC License.",
+        "SPDX-License-Identifier: BSL-1.0",
+        "Licensed under the WTFPL.",
+        "Distributed under the Open Font License, version 1.1.",
+        "Licensed under the European Union Public Licence.",
+        "This work is licensed under the Open Database License.",
+        "Licensed under the PostgreSQL License.",
+        "Released under the Python Software Foundation License.",
+    ]
+    df = spark.createDataFrame(list(enumerate(prose + strange)), "doc_id long, text string")
+    out = [r["licence"] for r in licences.licence_scan(df, licence_model).orderBy("doc_id").collect()]
+    assert out == ["none"] * len(prose) + ["unknown"] * len(strange)
+
+
 def test_cover_needs_order_and_name(spark, licence_model):
     """Brute force of the cover: runs of two and three words, and a name where the template has one."""
     lines = ["Licensed under the MIT License.", "License MIT the under licensed.", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software."]
