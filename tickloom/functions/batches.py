@@ -60,7 +60,7 @@ def rolling_apply(df: DataFrame, order: EventOrder, column: str, n: int, fn: Cal
     def solve(g: dict) -> dict:
         return {out: pd.Series(g[column].astype("float64")).rolling(n).apply(fn, raw=False).to_numpy()}
 
-    return windowed(df, order, lambda d, f: per_group(d, f, {out: "double"}, solve, [column]), before=n)
+    return windowed(df, order, lambda d, f: per_group(d, f, {out: "double"}, solve, [column], n), before=n)
 
 
 def training_shards(df: DataFrame, path: str, shards: int, key: str) -> None:
