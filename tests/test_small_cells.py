@@ -6,7 +6,10 @@ import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from support import rows
+from __spark_entry__ import queries
+from support import SF, rows
+from tickloom import order as tick_order
+from tickloom.operators import horizons as hz
 from tickloom.operators import order_flow as of
 from tickloom.order import EventOrder
 
@@ -36,3 +39,30 @@ def test_order_flow_windows_hold_a_cell(long_key, monkeypatch):
     assert cut.agg(F.max("held")).first()[0] <= 2 * of.REACH < ROWS
     cols = ["sequence", "price_zscore_120r", "vol_std_60r", "price_autocorr_lag_5", "price_entropy"]
     assert rows(cut, *cols) == rows(whole, *cols)
+
+
+@pytest.fixture
+def pins(monkeypatch):
+    seen = []
+    monkeypatch.setattr(tick_order, "pin", lambda df, pin=tick_order.pin: seen.append(df) or pin(df))
+    return seen
+
+
+@pytest.mark.parametrize("kind", ["sums", "price"])
+def test_horizons_of_a_long_key_run_in_cells(long_key, pins, kind):
+    spans = {"a": 7_000_000_000, "b": 400_000_000_000}
+    at = {"sums": lambda o: hz.trailing(long_key, o, {"n": "size"}, spans, "scan"), "price": lambda o: hz.trailing_price(long_key, o, spans)}[kind]
+    cut, made = at(EventOrder().measured(long_key)), len(pins)
+    cols = ["sequence", *[f"{h}_{'n' if kind == 'sums' else 'price_change'}" for h in spans]]
+    assert made and rows(cut, *cols) == rows(at(EventOrder(hot=False)), *cols)
+
+
+def test_resilience_of_a_long_key_runs_in_cells(spark, pins):
+    plain = rows(queries()["liquidity_resilience"](spark, SF), "instrument", "sequence", "recovery_seconds")
+    assert not pins
+    spark.conf.set("tickloom.wideRows", "20")
+    try:
+        cut = queries()["liquidity_resilience"](spark, SF)
+        assert pins and rows(cut, "instrument", "sequence", "recovery_seconds") == plain
+    finally:
+        spark.conf.unset("tickloom.wideRows")
