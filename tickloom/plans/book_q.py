@@ -633,7 +633,9 @@ def impact_and_quote_stability(spark, sf):
     SELECT instrument, sequence, (calm - ts_event) / 1e9 AS recovery_seconds FROM n WHERE hit""",
 )
 def liquidity_resilience(spark, sf):
-    b, o = the_book(spark, sf, 0)
+    m = mbo(spark, sf)
+    o = mbo_order(m).spread(m)
+    b = book.book_at_events(book.level_book(m, o), o, 0)
     return det.resilience(det.liquidity_stress(b, o), b, o)
 
 
