@@ -254,3 +254,23 @@ def test_batches_are_bounded_by_bytes(spark):
     assert {t: frames.size_in_bytes(t) for t in sizes} == sizes
     frames.small_batches(spark)
     assert frames.size_in_bytes(spark.conf.get(frames.BATCH_CONF)) <= frames.BATCH_BYTES
+
+
+def test_pieces_that_come_back_are_learned_once(monkeypatch):
+    """Words of one block only do not keep recurring ones out of a full memo; results are the library's."""
+    monkeypatch.setattr(packing, "MEMO_ENTRIES", 40)
+    monkeypatch.setattr(bpe_codec, "PIECE_MEMO", 40)
+    monkeypatch.setattr(bpe_codec, "CHUNK_MEMO", 1)
+    coder, codec = packing.ByteLevelIds(BYTE), bpe_codec.Codec(WORD)
+    base, often, once = ([f"{name}{chr(97 + i)}" for i in range(n)] for name, n in (("base", 20), ("often", 15), ("once", 17)))
+    asked: dict[str, list[set[str]]] = {"six": [], "nine": []}
+    learn, learned = coder._learn, codec.learned
+    coder._learn = lambda missing: asked["six"].append(set(missing)) or learn(missing)
+    codec.learned = lambda missing: asked["nine"].append(set(missing)) or learned(missing)
+    for block in range(5):  # what the first block alone holds fills the memo
+        text = " ".join(["start", *base, *(often if block else once)])
+        assert coder.encode([text]) == coder.whole([text])
+        assert codec.encode([[text]]) == codec.library_codes([text])
+    for calls in asked.values():
+        assert sum(not missing.isdisjoint(often) for missing in calls) == 1
+    assert max(len(coder.memo.of), len(codec.pieces.of)) <= 40

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tickloom.llm.frames import byte_blocks, pick
+from tickloom.llm.frames import Memo, byte_blocks, pick
 from tickloom.llm.token_counts import library
 
 WINDOW = 8
@@ -64,7 +64,7 @@ class Codec:
             # tokens are joined by a space unless the file states a decoder, whose output cannot be joined
             self.joins = json.load(f).get("decoder") is None
         self.chunks: dict[str, Coded] = {}
-        self.pieces: dict[str, Coded] = {}
+        self.pieces = Memo(PIECE_MEMO)
         self.agrees: dict[str, bool] = {}
         self.decimal = [str(i) for i in range(self.tokenizer.get_vocab_size())]
 
@@ -114,21 +114,12 @@ class Codec:
             self.chunks.clear()
             new = {c for chunks in texts for c in chunks}
         split = {c: self.repaired(c.split(" ")) for c in new}
-        distinct = set().union(*split.values())
-        missing = distinct.difference(self.pieces)
-        if len(self.pieces) + len(missing) > PIECE_MEMO and 2 * len(missing) > len(distinct):
-            self.pieces.clear()  # it fits these texts no more
-            missing = distinct
-        more = self.learned(missing)
-        if len(self.pieces) + len(more) <= PIECE_MEMO:
-            self.pieces.update(more)
-            more = {}
-        if more:
-            of, fresh = self.pieces.get, more.get
-            self.chunks.update((c, self.join([of(p) or fresh(p) for p in pieces])) for c, pieces in split.items())
-        else:
-            of = self.pieces.__getitem__
-            self.chunks.update((c, self.join(list(map(of, pieces)))) for c, pieces in split.items())
+        missing = self.pieces.missing(set().union(*split.values()))
+        if missing:
+            self.pieces.learn(self.learned(missing))
+        of = self.pieces.of.__getitem__
+        self.chunks.update((c, self.join(list(map(of, pieces)))) for c, pieces in split.items())
+        self.pieces.settle()
         return [self.join([self.chunks[c] for c in chunks]) for chunks in texts]
 
     def parts(self, piece: str) -> list[str] | None:
@@ -143,15 +134,15 @@ class Codec:
 
     def learned(self, missing: set[str]) -> dict[str, Coded]:
         """Codes of new pieces; all that cannot be joined from known ones go to the library in one batch."""
-        levels = []
+        known, levels = self.pieces.of, []
         for _ in range(2):  # lines first, then the marks that close them
             cut = {p: parts for p in missing if (parts := self.parts(p))}
             levels.append(cut)
-            missing = (missing - cut.keys()) | {q for parts in cut.values() for q in parts if q not in self.pieces}
+            missing = (missing - cut.keys()) | {q for parts in cut.values() for q in parts if q not in known}
         last = list(missing)
         out = dict(zip(last, self.library_codes(last))) if last else {}
         for cut in reversed(levels):
-            out.update((p, self.join([self.pieces.get(q) or out[q] for q in parts])) for p, parts in cut.items())
+            out.update((p, self.join([known.get(q) or out[q] for q in parts])) for p, parts in cut.items())
         return out
 
     def decoded(self, code: Coded) -> str:

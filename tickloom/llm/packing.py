@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tickloom.llm.frames import lean, pick, texts_of
+from tickloom.llm.frames import Memo, lean, pick, texts_of
 from tickloom.llm.token_counts import blocks, library, stand_ins
 from tickloom.session import pin
 
@@ -47,8 +47,7 @@ class ByteLevelIds:
 
     A byte-level vocabulary never merges across a space or a line break between two
     characters other than white space, so what stands between them is encoded once and
-    reused. The memo fills with the first, and so mostly the frequent, pieces; when it is
-    full, others are encoded per block. Texts with longer runs of white space, and texts
+    reused. The memo keeps the pieces that come back; those of one block only make room. Texts with longer runs of white space, and texts
     that hold an added token (it ends a segment, and so a run of white space, anywhere),
     go to the library whole.
     """
@@ -63,7 +62,7 @@ class ByteLevelIds:
             self.opens[i] = token.startswith(of[32])
         self.line, *self.marks = self.whole(["\n", *MARKS])
         self.breaks = int(np.frombuffer(self.line, "<u4")[0])
-        self.memo: dict[str, bytes] = {}
+        self.memo = Memo(MEMO_ENTRIES)
 
     def whole(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, dtype="<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -87,7 +86,7 @@ class ByteLevelIds:
         """Ids of pieces: " " + piece, or the piece itself if it opens with a line break."""
         # a sentence mark after a letter is a pre-token of its own
         ended = {p: p[:-1] for p in missing if len(p) > 1 and p[-1] in MARKS and p[-2].isalpha() and p[-2] < LATIN_END}
-        memo = self.memo
+        memo = self.memo.of
         plain = (missing - ended.keys()) | {q for q in ended.values() if q not in memo}
         clear = [p for p in plain if p and not p[-1].isspace()]
         spaced = [p for p in clear if not p[0].isspace()]
@@ -108,22 +107,13 @@ class ByteLevelIds:
         split = [None if self.apart(t) else t.replace("\n", " \n").split(" ") for t in texts]
         heads = self.whole([s[0] if s else t for s, t in zip(split, texts)])
         rest = [s[1:] if s else () for s in split]
-        distinct = set().union(*rest)
-        missing = distinct.difference(self.memo)
-        more: dict[str, bytes] = {}
+        missing = self.memo.missing(set().union(*rest))
         if missing:
-            if len(self.memo) + len(missing) > MEMO_ENTRIES and 2 * len(missing) > len(distinct):
-                self.memo.clear()  # it fits these texts no more
-                missing = distinct
-            more = self._learn(missing)
-            if len(self.memo) + len(more) <= MEMO_ENTRIES:
-                self.memo.update(more)
-                more = {}
-        if more:
-            of, new = self.memo.get, more.__getitem__
-            return [h + b"".join([of(p) or new(p) for p in r]) for h, r in zip(heads, rest)]
-        of = self.memo.__getitem__
-        return [h + b"".join(map(of, r)) for h, r in zip(heads, rest)]
+            self.memo.learn(self._learn(missing))
+        of = self.memo.of.__getitem__
+        out = [h + b"".join(map(of, r)) for h, r in zip(heads, rest)]
+        self.memo.settle()
+        return out
 
 
 @lru_cache(maxsize=2)
