@@ -9,9 +9,11 @@ from pyspark.sql import functions as F
 from __spark_entry__ import queries
 from support import SF, rows
 from tickloom import order as tick_order
+from tickloom.operators import bundles
 from tickloom.operators import horizons as hz
 from tickloom.operators import order_flow as of
-from tickloom.order import EventOrder
+from tickloom.functions.ema import ema, ema_in_cells
+from tickloom.order import EventOrder, windowed
 
 ROWS = 4000
 
@@ -57,6 +59,41 @@ def test_horizons_of_a_long_key_run_in_cells(long_key, pins, kind):
     assert made and rows(cut, *cols) == rows(at(EventOrder(hot=False)), *cols)
 
 
+def test_steps_of_a_feature_set_hold_a_cell(long_key, monkeypatch):
+    """A long key's steps run in cells on the event columns; tied rows and null keys stay."""
+    held = lambda d, f: d.withColumn("held", F.count(F.lit(1)).over(Window.partitionBy(*f.keys)))
+    monkeypatch.setitem(bundles.STEPS, "probe", lambda d, o: windowed(d, o, held, before=5))
+    monkeypatch.setitem(bundles.FEATURE_SETS, "tried", ["book", "normalised", "ofi", "probe", "cancel_share"])
+    keys = F.when(F.col("sequence") % 3 > 0, F.col("instrument"))
+    m = long_key.withColumns({"instrument": keys, "trade_date": F.to_date(F.timestamp_seconds(F.expr("ts_event div 1000000000")))})
+    cut = bundles.feature_set(m, EventOrder().measured(m), "tried").cache()
+    whole = bundles.feature_set(m, EventOrder(hot=False), "tried")
+    assert cut.agg(F.max("held")).first()[0] <= 305 < whole.agg(F.max("held")).first()[0]
+    assert cut.columns == whole.columns
+    cols = [c for c, t in whole.dtypes if not t.startswith("array") and c != "held"]
+    assert rows(cut, *cols) == rows(whole, *cols)
+
+
+def test_average_in_cells_is_the_average(long_key):
+    alphas = {"fast": 0.1, "slow": 0.001}
+    cut = ema_in_cells(long_key, EventOrder(hot=True, cell_rows=70), "price", alphas)
+    whole = ema(long_key, EventOrder().frames(), {n: ("price", a, None) for n, a in alphas.items()})
+    cut, whole = (d.orderBy("sequence").select(*alphas).toPandas().to_numpy() for d in (cut, whole))
+    assert len(cut) == ROWS and np.allclose(cut, whole, rtol=1e-12)
+
+
+def test_horizons_in_cells_are_frames(long_key):
+    """Also of values that are not finite, and of rows that tie on the clock."""
+    odd = F.when(F.col("sequence") % 997 == 5, float("nan")).when(F.col("sequence") % 499 == 7, float("inf")).otherwise(F.col("price"))
+    d = long_key.withColumns({"ts_event": F.expr("ts_event - ts_event % 2000000000"), "odd": odd})
+    spans, sums = {"a": 7_000_000_000, "b": 60_000_000_000}, {"n": "size", "p": "odd"}
+    cut = hz.trailing(d, EventOrder(hot=True, cell_rows=300), sums, spans)
+    whole = hz.trailing(d, EventOrder(hot=False), sums, spans, "frame")
+    cols = ["sequence", *[f"{h}_{c}" for h in spans for c in ("n", "events")], *[f"{h}_p" for h in spans]]
+    text = lambda x: rows(x.withColumns({f"{h}_p": F.round(f"{h}_p", 4).cast("string") for h in spans}), *cols)
+    assert cut.columns and text(cut) == text(whole)
+
+
 def test_resilience_of_a_long_key_runs_in_cells(spark, pins):
     plain = rows(queries()["liquidity_resilience"](spark, SF), "instrument", "sequence", "recovery_seconds")
     assert not pins
