@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from __spark_entry__ import queries
 from support import SF, rows
 from tickloom import order as tick_order
-from tickloom.operators import bundles
+from tickloom.operators import bundles, classification, tick_features
 from tickloom.operators import horizons as hz
 from tickloom.operators import order_flow as of
 from tickloom.functions.ema import ema, ema_in_cells
@@ -74,6 +74,14 @@ def test_steps_of_a_feature_set_hold_a_cell(long_key, monkeypatch):
     assert rows(cut, *cols) == rows(whole, *cols)
 
 
+def test_columns_of_the_caller_stay(long_key):
+    """Also those marked with a leading underscore, such as the row of a feature set in parts."""
+    marked = long_key.withColumn(bundles.ROW, F.col("sequence"))
+    for operator in (classification.flow_features, tick_features.event_features):
+        made = operator(marked, EventOrder(hot=False)).columns
+        assert bundles.ROW in made and not [c for c in made if c.startswith("_") and c != bundles.ROW]
+
+
 def test_average_in_cells_is_the_average(long_key):
     alphas = {"fast": 0.1, "slow": 0.001}
     cut = ema_in_cells(long_key, EventOrder(hot=True, cell_rows=70), "price", alphas)
