@@ -137,12 +137,14 @@ def book_side_summary(spark, sf):
     "book_localised",
     "instrument sequence bid_near_levels ask_near_levels",
     "bid_near_volume ask_near_volume bid_far_volume ask_far_volume",
-    f"""WITH {ALL_SQL}, n AS (SELECT *, coalesce(list_sum([bq[i] for i in range(1, len(bq) + 1) if abs(bp[i] - price) <= 2]), 0) AS bn, coalesce(list_sum([aq[i] for i in range(1, len(aq) + 1) if abs(ap[i] - price) <= 2]), 0) AS an FROM bk)
+    f"""WITH {ALL_SQL.replace("[1:10]", "")}, n AS (SELECT *, coalesce(list_sum([bq[i] for i in range(1, len(bq) + 1) if abs(bp[i] - price) <= 2]), 0) AS bn, coalesce(list_sum([aq[i] for i in range(1, len(aq) + 1) if abs(ap[i] - price) <= 2]), 0) AS an FROM bk)
     SELECT instrument, sequence, CAST(len([x for x in bp if abs(x - price) <= 2]) AS INTEGER) AS bid_near_levels, CAST(len([x for x in ap if abs(x - price) <= 2]) AS INTEGER) AS ask_near_levels,
       bn AS bid_near_volume, an AS ask_near_volume, bid_total - bn AS bid_far_volume, ask_total - an AS ask_far_volume FROM n""",
 )
 def book_localised(spark, sf):
-    return book.localised(the_book(spark, sf)[0], F.col("price"), 2.0)
+    m = mbo(spark, sf)
+    o = mbo_order(m)
+    return book.localised(book.level_book(m, o), o, F.col("price"), 2.0)
 
 
 _WIDE = [f"{s}_{c}_{i}" for s in ("bid", "ask") for c in ("price", "size") for i in range(1, 6)]
