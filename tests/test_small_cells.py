@@ -102,6 +102,31 @@ def test_horizons_in_cells_are_frames(long_key):
     assert cut.columns and text(cut) == text(whole)
 
 
+def test_flow_of_a_long_key_is_shuffled_once(long_key):
+    """In cells of time, without a numbered copy of the rows; null, NaN, infinite and tied rows too."""
+    at = lambda n, k: F.col("sequence") % n == k
+    odd = F.when(at(991, 5), float("nan")).when(at(499, 7), float("inf")).when(~at(37, 3), F.col("price"))
+    d = long_key.withColumns({
+        "ts_event": F.when(~at(1300, 9), F.expr("ts_event - ts_event % 2000000000 - 700000000000")), "price": odd,
+        "size": F.when(~at(41, 2), F.col("size")), "side": F.when(~at(43, 1), F.col("side")),
+        "instrument": F.when(at(5, 1), "OTHER").when(~at(5, 2), F.col("instrument")),
+    })
+    assert tick_features._flow_in_cells(d, EventOrder(hot=False, largest=9), {"w1": 60_000_000_000}) is None
+    cells, spans = EventOrder(hot=True, cell_rows=120), {"w1": 60_000_000_000, "w4": 240_000_000_000}
+    cut = tick_features.flow_features(d, cells, [1, 4])
+    assert cut._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 1
+    whole = tick_features._flow_columns(tick_features._flow_by_scans(d, EventOrder(hot=False, density=0.0), spans), [1, 4])
+    assert cut.columns == whole.columns
+    text = {c: F.round(c, 3).cast("string") for c in whole.columns if c.endswith("m")}
+    assert rows(cut.withColumns(text), "sequence", *text) == rows(whole.withColumns(text), "sequence", *text)
+    twice = long_key.filter("sequence < 500").withColumn("ts_event", F.expr("ts_event - ts_event % 2000000000"))
+    twice = twice.unionByName(twice.filter(at(100, 50)))
+    p = twice.toPandas()
+    inside = lambda t: p[(p.ts_event <= t) & (p.ts_event >= t - 60_000_000_000)]
+    want = sorted(((r.sequence, len(w := inside(r.ts_event)), len(w[["price", "side"]].drop_duplicates())) for r in p.itertuples()), key=str)
+    assert rows(tick_features.flow_features(twice, cells, [1]), "sequence", "order_count_1m", "unique_orders_1m") == want
+
+
 def test_resilience_of_a_long_key_runs_in_cells(spark, pins):
     plain = rows(queries()["liquidity_resilience"](spark, SF), "instrument", "sequence", "recovery_seconds")
     assert not pins

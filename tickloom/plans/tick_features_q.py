@@ -94,7 +94,7 @@ def flow_sql(m: int) -> str:
       rng AS price_range_60m, sd AS price_volatility_60m, n AS order_count_60m, uniq AS unique_orders_60m, volume / n AS avg_order_size_60m FROM f""",
 )
 def rolling_time_flow(spark, sf):
-    m = mbo(spark, sf)
+    m = mbo(spark, sf).select("instrument", "ts_event", "sequence", "action", "side", "price", "size")
     return tf.flow_features(m, mbo_order(m), [60])
 
 
