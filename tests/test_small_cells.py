@@ -74,6 +74,20 @@ def test_steps_of_a_feature_set_hold_a_cell(long_key, monkeypatch):
     assert rows(cut, *cols) == rows(whole, *cols)
 
 
+def test_pipeline_of_a_long_key_runs_in_parts(long_key, monkeypatch):
+    """No window holds the arrays of the book; keys may be null, rows come twice."""
+    m = long_key.filter("sequence < 1600").withColumn("instrument", F.when(F.col("sequence") % 3 > 0, F.col("instrument")))
+    asked = []
+    seen = lambda d, *more, was=bundles.microstructure.event_windows: asked.append(d.columns) or was(d, *more, (10, 70), 90)
+    monkeypatch.setattr(bundles.microstructure, "event_windows", seen)
+    cut = bundles.mbo_pipeline(m, EventOrder(hot=True, cell_rows=500))
+    assert "bid_prices" not in asked.pop()
+    whole = bundles.mbo_pipeline(m, EventOrder(hot=False, largest=9))
+    cols = [c for c, t in whole.dtypes if not c.startswith("_") and not t.startswith("array")]
+    assert sorted(cut.columns) == sorted(c for c in whole.columns if not c.startswith("_"))
+    assert rows(cut, *cols) == rows(whole, *cols)
+
+
 def test_columns_of_the_caller_stay(long_key):
     """Also those marked with a leading underscore, such as the row of a feature set in parts."""
     marked = long_key.withColumn(bundles.ROW, F.col("sequence"))
